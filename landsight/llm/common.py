@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch may hold: what bounds a Python worker's memory.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

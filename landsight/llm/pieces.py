@@ -5,9 +5,12 @@ space mark, then the text with spaces turned into that mark. No piece holds a ma
 falls into chunks (marks and what follows them) whose merges cannot interact, and each chunk has its own agenda: the
 possible merges, best score first, leftmost first among equals. A merge that comes up is skipped if a hash keyed by seed
 and variant, of the merge's rank and its number in the agenda, is under the dropout rate; a skipped merge may be proposed
-again when a neighbour changes. The variant is a keyed hash of the document's id and the chunk's ordinal, one of ``VARIANTS``, so
-the same word is cut in different ways at different places while results depend on nothing but seed, id and text, and
-chunks of a variant can be kept. With rate 0 the ids are those of the model's own library.
+again when a neighbour changes. A document's chunks are taken in runs, and the variant of a run is a keyed hash of the
+document's id and the run's number, one of ``VARIANTS``, so the same word is cut in different ways at different places
+while results depend on nothing but seed, id and text. With rate 0 the ids are those of the model's own library.
+
+Chunks of a variant are kept once made. Those that a batch of documents lacks are made together: one row each in arrays
+of symbols and of the ranks of adjacent pairs, in which every step takes each row's best candidate.
 
 Characters outside the vocabulary, and marks that stand in the text itself, become byte pieces, so every text decodes
 to itself.
@@ -15,10 +18,13 @@ to itself.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, compress, repeat
+from operator import is_
 from typing import Any
 
 import numpy as np
@@ -31,13 +37,17 @@ from .common import bounded_batches
 
 MARK = "▁"
 RATE, SEED, VARIANTS = 0.1, 17, 4
+#: Chunks in a run.
+RUN = 64
 #: Chunks kept per worker: the first ones seen for good, later ones until their number is reached; the longest that is kept.
 KEPT_FIRST, KEPT_LATER, KEPT_CHARS = 400_000, 200_000, 24
-#: Chunks up to so many characters are merged without a heap.
+#: Chunks up to so many characters are merged without a heap, and those that can be kept in arrays.
 SCANNED = 32
 #: Rank of a pair that is no piece, and the size of the keyed table of skips (a power of two) less one.
-NEVER, SKIP_MASK = 1 << 60, (1 << 16) - 1
-_CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+NEVER, SKIP_MASK = 1 << 30, (1 << 16) - 1
+#: Steps of the candidate number in the table of skips.
+STRIDE = 7919
+_CHUNK = re.compile(" +[^ ]*|[^ ]+")
 
 
 class Vocabulary:
@@ -64,7 +74,7 @@ class Vocabulary:
                 else:
                     self.byte_of[i] = value
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.ids[piece], scores[piece] = i, sp.get_score(i)
+                self.ids[piece.replace(MARK, " ")], scores[piece.replace(MARK, " ")] = i, sp.get_score(i)
         place = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {piece: place[s] for piece, s in scores.items()}
         if 0 in self.bytes_at:
@@ -90,7 +100,7 @@ def merged(chunk: str, score: dict[str, int], skipped: bytes) -> list[str]:
         if best == NEVER:
             break
         i = ranks.index(best)
-        turn += 7919
+        turn += STRIDE
         if skipped[best + turn & SKIP_MASK]:
             ranks[i] = NEVER
             continue
@@ -112,7 +122,7 @@ def _merged_by_heap(chunk: str, score: dict[str, int], skipped: bytes) -> list[s
         rank, a, b, c = heapq.heappop(agenda)
         if end[a] != b or end[b] != c:
             continue
-        turn += 7919
+        turn += STRIDE
         if skipped[rank + turn & SKIP_MASK]:
             continue
         end[a], end[b] = c, 0
@@ -129,69 +139,185 @@ def _merged_by_heap(chunk: str, score: dict[str, int], skipped: bytes) -> list[s
     return out
 
 
+class Pairs:
+    """The pairs of pieces that merge to a piece: an open-addressing table that arrays are looked up in."""
+
+    BITS = 20
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.width = len(v.text) + 1
+        found = {}
+        for piece, rank in v.rank.items():
+            for k in range(1, len(piece)):
+                if (a := v.ids.get(piece[:k])) is not None and (b := v.ids.get(piece[k:])) is not None:
+                    found[a * self.width + b] = (rank, v.ids[piece])
+        self.bits = max(self.BITS, (2 * len(found)).bit_length() + 1)
+        size = 1 << self.bits
+        self.key, self.rank, self.made = np.full(size, -1, np.int64), np.full(size, NEVER, np.int64), np.zeros(size, np.int64)
+        keys = np.array([*found], np.int64)
+        for key, at, (rank, made) in zip(keys.tolist(), self._slot(keys).tolist(), found.values()):
+            while self.key[at] >= 0:
+                at = (at + 1) & (size - 1)
+            self.key[at], self.rank[at], self.made[at] = key, rank, made
+        points = [(ord(p), i) for p, i in v.ids.items() if len(p) == 1]
+        self.char = np.full(max((c for c, _ in points), default=128) + 2, -1, np.int64)
+        self.char[:128] = v.bytes_at[:128]  # a byte piece merges with nothing
+        for c, i in points:
+            self.char[c] = i
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged piece of each pair; NEVER where it is none or b is absent (negative)."""
+        keys = np.where(b < 0, -2, a * self.width + b)
+        at = self._slot(keys)
+        rest = np.flatnonzero((self.key[at] != keys) & (self.key[at] >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & (len(self.key) - 1)
+            got = self.key[at[rest]]
+            rest = rest[(got != keys[rest]) & (got >= 0)]
+        hit = self.key[at] == keys
+        return np.where(hit, self.rank[at], NEVER), self.made[at]
+
+    def merged(self, chunks: list[str], skipped: np.ndarray) -> list[tuple[int, ...] | None]:
+        """Ids of chunks of one length, as ``merged`` gives them; None for a chunk with a character outside the vocabulary."""
+        n, size = len(chunks), len(chunks[0])
+        points = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).reshape(n, size)
+        s = self.char[np.minimum(points, len(self.char) - 1)]
+        out: list[tuple[int, ...] | None] = [None] * n
+        rows = np.flatnonzero((s >= 0).all(1))
+        s = s[rows]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        if size > 1:
+            r, m = (x.reshape(len(rows), size - 1) for x in self.find(s[:, :-1].ravel(), s[:, 1:].ravel()))
+            col, turn = np.arange(size), 0
+            while len(rows):
+                every = np.arange(len(rows))
+                j = r.argmin(1)
+                best = r[every, j]
+                if (over := best == NEVER).any():
+                    done.append((rows[over], s[over]))
+                    live = ~over
+                    rows, s, r, m, j, best = (x[live] for x in (rows, s, r, m, j, best))
+                    every = every[: len(rows)]
+                turn += STRIDE
+                skip = skipped[best + turn & SKIP_MASK]
+                r[every[skip], j[skip]] = NEVER
+                at = every[~skip]
+                k = j[~skip]
+                if not len(at):
+                    continue
+                s[at, k] = m[at, k]
+                after = col + (col > k[:, None])
+                kept = s[at]
+                s[at] = np.where(after < size, np.take_along_axis(kept, np.minimum(after, size - 1), 1), -1)
+                after = np.minimum(after[:, :-1], size - 2)
+                r_at, m_at = np.take_along_axis(r[at], after, 1), np.take_along_axis(m[at], after, 1)
+                r_at[:, -1] = NEVER
+                here = np.arange(len(at))
+                for left, ok in ((k - 1, k > 0), (k, k < size - 1)):
+                    i, c = here[ok], left[ok]
+                    r_at[i, c], m_at[i, c] = self.find(s[at[i], c], s[at[i], c + 1])
+                r[at], m[at] = r_at, m_at
+        done.append((rows, s))
+        for which, ids in done:
+            real = ids >= 0
+            flat, edges = ids[real].tolist(), np.concatenate(([0], real.sum(1).cumsum())).tolist()
+            for row, a, b in zip(which.tolist(), edges, edges[1:]):
+                out[row] = tuple(flat[a:b])
+        return out
+
+
 class Encoder:
-    """Encodes and decodes texts; keeps the ids of short chunks."""
+    """Encodes and decodes texts; keeps the ids of short chunks. A chunk is named by what follows its first space."""
 
     def __init__(self, model: bytes, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> None:
         if not 0 <= rate < 1:
             raise ValueError("the dropout rate is at least 0 and under 1")
-        self.vocabulary, self.rate, self.seed, self.variants = Vocabulary(model), rate, seed, variants if rate else 1
+        self.vocabulary, self.seed, self.variants = Vocabulary(model), seed, variants if rate else 1
+        self.pairs = Pairs(self.vocabulary)
         limit = int(rate * (1 << 64))
         self.skipped = [bytes(xxhash.xxh64_intdigest(f"{v}:{k}", seed) < limit for k in range(SKIP_MASK + 1)) for v in range(self.variants)]
+        self.skips = np.array([np.frombuffer(x, np.bool_) for x in self.skipped])
         self.kept: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
         self.later: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
 
     def chunk(self, chunk: str, variant: int) -> tuple[int, ...]:
-        later = self.later[variant]
-        if found := later.get(chunk):
-            return found
+        """Ids of one whole chunk."""
         v = self.vocabulary
-        pieces = merged(chunk, v.rank, self.skipped[variant])
-        try:
-            out = tuple([v.ids[p] for p in pieces])
-        except KeyError:
-            out = tuple(i for p in pieces for i in ([v.ids[p]] if p in v.ids else v.bytes_of(p)))
-        if len(chunk) <= KEPT_CHARS:
-            own = self.kept[variant]
+        out: list[int] = []
+        for p in merged(chunk, v.rank, self.skipped[variant]):
+            i = v.ids.get(p)
+            out += v.bytes_of(p) if i is None else (i,)
+        return tuple(out)
+
+    def make(self, names: list[str], variant: int) -> dict[str, tuple[int, ...]]:
+        """Ids of the chunks of these names, which are kept."""
+        own, later = self.kept[variant], self.later[variant]
+        out: dict[str, tuple[int, ...]] = {}
+        by: dict[int, list[str]] = {}
+        for name in names:
+            if (found := later.get(name)) is not None:
+                out[name] = found
+            elif len(name) < KEPT_CHARS:
+                by.setdefault(len(name), []).append(name)
+            else:
+                out[name] = self.chunk(" " + name, variant)
+        for group in by.values():
+            ids = self.pairs.merged([" " + name for name in group], self.skips[variant])
+            new = {n: self.chunk(" " + n, variant) if x is None else x for n, x in zip(group, ids)}
+            out |= new
             if len(own) * self.variants < KEPT_FIRST:
-                own[chunk] = out
+                own |= new
             else:
                 if len(later) * self.variants >= KEPT_LATER:
                     later.clear()
-                later[chunk] = out
+                later |= new
         return out
 
-    def encode(self, text: str | None, doc: Any = None) -> list[int]:
-        """Ids of a text; none for a null or empty one. doc: what the variants of its chunks are drawn by."""
-        if not text:
-            return []
-        out: list[int] = []
-        mark = self.vocabulary.bytes_of(MARK)
-        state, turn = xxhash.xxh64_intdigest(f"doc:{doc}", self.seed), 0
-        for k, part in enumerate(text.split(MARK)):
-            if k:
-                out += mark
-            chunks = _CHUNK.findall(part.replace(" ", MARK) if k else MARK + part.replace(" ", MARK))
-            if self.variants == 1:
-                get, make = self.kept[0].get, self.chunk
-                for c in chunks:
-                    out += get(c) or make(c, 0)
-                continue
-            drawn = self._drawn(state, turn, len(chunks))
-            turn += len(chunks)
-            gets, make = [own.get for own in self.kept], self.chunk
-            for c, v in zip(chunks, drawn):
-                out += gets[v](c) or make(c, v)
+    def encode(self, texts: list[str | None], docs: list[Any]) -> list[list[int]]:
+        """Ids of each text; none for a null or empty one. docs: what the variants of its runs are drawn by."""
+        waiting: list[dict[str, None]] = [{} for _ in self.kept]
+        whole: list[list[tuple[int, list[str] | None, list]]] = []
+        for text, doc in zip(texts, docs):
+            parts: list[tuple[int, list[str] | None, list]] = []
+            key, run = f"doc:{doc}:", 0
+            mark = tuple(self.vocabulary.bytes_of(MARK))
+            for k, part in enumerate(text.split(MARK) if text else ()):
+                if k:
+                    parts.append((0, None, [mark]))
+                    first = _CHUNK.match(part)
+                    if first and first[0][0] != " ":
+                        parts.append((0, None, [self.chunk(first[0], 0)]))
+                        part = part[first.end() :]
+                    if not part:
+                        continue
+                else:
+                    part = " " + part
+                names = [c[1:] for c in _CHUNK.findall(part)] if "  " in part else part[1:].split(" ")
+                for at in range(0, len(names), RUN):
+                    run += 1
+                    v = xxhash.xxh64_intdigest(f"{key}{run}", self.seed) % self.variants
+                    own = names[at : at + RUN]
+                    got = [*map(self.kept[v].get, own)]
+                    if None in got:
+                        waiting[v].update(dict.fromkeys(compress(own, map(is_, got, repeat(None)))))
+                    parts.append((v, own, got))
+            whole.append(parts)
+        made = [self.make([*names], v) for v, names in enumerate(waiting)]
+        out = []
+        for parts in whole:
+            ids: list[int] = []
+            for v, own, got in parts:
+                if None in got:
+                    new = made[v]
+                    got = [new[n] if x is None else x for n, x in zip(own, got)]
+                ids += chain.from_iterable(got)
+            out.append(ids)
         return out
 
-    def _drawn(self, state: int, turn: int, n: int) -> list[int]:
-        """Variants of n chunks from ordinal ``turn`` on, by a keyed mix of document and ordinal."""
-        with np.errstate(over="ignore"):
-            x = (np.arange(turn + 1, turn + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(state)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return ((x >> np.uint64(33)) % np.uint64(self.variants)).tolist()
-
     def decode(self, ids: list[int]) -> str:
         """The text of ids that ``encode`` made."""
         v = self.vocabulary
@@ -237,9 +363,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         e = _encoder(model.value, rate, seed, variants)
         for b in batches:
             sizes, whole, flat = [0], [], []
-            for doc, text in zip(b.column(0), b.column(1)):
-                t = text.as_py()
-                ids = e.encode(t, doc.as_py())
+            texts = b.column(1).to_pylist()
+            gc.disable()  # hundreds of thousands of tuples, none in a cycle
+            try:
+                coded = e.encode(texts, b.column(0).to_pylist())
+            finally:
+                gc.enable()
+            for t, ids in zip(texts, coded):
                 whole.append(e.decode(ids) == (t or ""))
                 flat.append(np.array(ids, np.int32))
                 sizes.append(sizes[-1] + len(ids))
