@@ -23,7 +23,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, compress, repeat
+from itertools import compress, repeat
 from operator import is_
 from typing import Any
 
@@ -40,11 +40,15 @@ RATE, SEED, VARIANTS = 0.1, 17, 4
 #: Chunks in a run.
 RUN = 64
 #: Chunks kept per worker: the first ones seen for good, later ones until their number is reached; the longest that is kept.
-KEPT_FIRST, KEPT_LATER, KEPT_CHARS = 400_000, 200_000, 24
+KEPT_FIRST, KEPT_LATER, KEPT_CHARS = 300_000, 100_000, 24
+#: Characters of texts that are encoded together: bounds a worker's memory (a longer text is taken alone).
+TOGETHER = 4_000_000
 #: Chunks up to so many characters are merged without a heap, and those that can be kept in arrays.
 SCANNED = 32
 #: Rank of a pair that is no piece, and the size of the keyed table of skips (a power of two) less one.
 NEVER, SKIP_MASK = 1 << 30, (1 << 16) - 1
+#: How ids are kept.
+ID = np.dtype("<i4")
 #: Steps of the candidate number in the table of skips.
 STRIDE = 7919
 _CHUNK = re.compile(" +[^ ]*|[^ ]+")
@@ -181,12 +185,12 @@ class Pairs:
         hit = self.key[at] == keys
         return np.where(hit, self.rank[at], NEVER), self.made[at]
 
-    def merged(self, chunks: list[str], skipped: np.ndarray) -> list[tuple[int, ...] | None]:
-        """Ids of chunks of one length, as ``merged`` gives them; None for a chunk with a character outside the vocabulary."""
+    def merged(self, chunks: list[str], skipped: np.ndarray) -> list[bytes | None]:
+        """Ids (as ``ID`` numbers) of chunks of one length, as ``merged`` gives them; None for a chunk with a character outside the vocabulary."""
         n, size = len(chunks), len(chunks[0])
         points = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).reshape(n, size)
         s = self.char[np.minimum(points, len(self.char) - 1)]
-        out: list[tuple[int, ...] | None] = [None] * n
+        out: list[bytes | None] = [None] * n
         rows = np.flatnonzero((s >= 0).all(1))
         s = s[rows]
         done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -224,9 +228,9 @@ class Pairs:
         done.append((rows, s))
         for which, ids in done:
             real = ids >= 0
-            flat, edges = ids[real].tolist(), np.concatenate(([0], real.sum(1).cumsum())).tolist()
+            flat, edges = ids[real].astype(ID).tobytes(), np.concatenate(([0], 4 * real.sum(1).cumsum())).tolist()
             for row, a, b in zip(which.tolist(), edges, edges[1:]):
-                out[row] = tuple(flat[a:b])
+                out[row] = flat[a:b]
         return out
 
 
@@ -241,22 +245,22 @@ class Encoder:
         limit = int(rate * (1 << 64))
         self.skipped = [bytes(xxhash.xxh64_intdigest(f"{v}:{k}", seed) < limit for k in range(SKIP_MASK + 1)) for v in range(self.variants)]
         self.skips = np.array([np.frombuffer(x, np.bool_) for x in self.skipped])
-        self.kept: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
-        self.later: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
+        self.kept: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.later: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
-    def chunk(self, chunk: str, variant: int) -> tuple[int, ...]:
+    def chunk(self, chunk: str, variant: int) -> bytes:
         """Ids of one whole chunk."""
         v = self.vocabulary
         out: list[int] = []
         for p in merged(chunk, v.rank, self.skipped[variant]):
             i = v.ids.get(p)
             out += v.bytes_of(p) if i is None else (i,)
-        return tuple(out)
+        return np.array(out, ID).tobytes()
 
-    def make(self, names: list[str], variant: int) -> dict[str, tuple[int, ...]]:
+    def make(self, names: list[str], variant: int) -> dict[str, bytes]:
         """Ids of the chunks of these names, which are kept."""
         own, later = self.kept[variant], self.later[variant]
-        out: dict[str, tuple[int, ...]] = {}
+        out: dict[str, bytes] = {}
         by: dict[int, list[str]] = {}
         for name in names:
             if (found := later.get(name)) is not None:
@@ -277,14 +281,14 @@ class Encoder:
                 later |= new
         return out
 
-    def encode(self, texts: list[str | None], docs: list[Any]) -> list[list[int]]:
+    def encode(self, texts: list[str | None], docs: list[Any]) -> list[np.ndarray]:
         """Ids of each text; none for a null or empty one. docs: what the variants of its runs are drawn by."""
         waiting: list[dict[str, None]] = [{} for _ in self.kept]
         whole: list[list[tuple[int, list[str] | None, list]]] = []
         for text, doc in zip(texts, docs):
             parts: list[tuple[int, list[str] | None, list]] = []
             key, run = f"doc:{doc}:", 0
-            mark = tuple(self.vocabulary.bytes_of(MARK))
+            mark = np.array(self.vocabulary.bytes_of(MARK), ID).tobytes()
             for k, part in enumerate(text.split(MARK) if text else ()):
                 if k:
                     parts.append((0, None, [mark]))
@@ -309,13 +313,13 @@ class Encoder:
         made = [self.make([*names], v) for v, names in enumerate(waiting)]
         out = []
         for parts in whole:
-            ids: list[int] = []
+            ids: list[bytes] = []
             for v, own, got in parts:
                 if None in got:
                     new = made[v]
                     got = [new[n] if x is None else x for n, x in zip(own, got)]
-                ids += chain.from_iterable(got)
-            out.append(ids)
+                ids += got
+            out.append(np.frombuffer(b"".join(ids), ID))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -343,6 +347,17 @@ def _encoder(model: bytes, rate: float, seed: int, variants: int) -> Encoder:
     return Encoder(model, rate, seed, variants)
 
 
+def _together(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    at = size = 0
+    for k, t in enumerate(texts):
+        if k > at and size + len(t or "") > TOGETHER:
+            yield at, k
+            at, size = k, 0
+        size += len(t or "")
+    if texts:
+        yield at, len(texts)
+
+
 def model_bytes(path: str) -> bytes:
     """A model file, read by the driver; the executors get its bytes, of at most some megabytes."""
     with open(path, "rb") as f:
@@ -363,16 +378,18 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         e = _encoder(model.value, rate, seed, variants)
         for b in batches:
             sizes, whole, flat = [0], [], []
-            texts = b.column(1).to_pylist()
-            gc.disable()  # hundreds of thousands of tuples, none in a cycle
-            try:
-                coded = e.encode(texts, b.column(0).to_pylist())
-            finally:
-                gc.enable()
-            for t, ids in zip(texts, coded):
-                whole.append(e.decode(ids) == (t or ""))
-                flat.append(np.array(ids, np.int32))
-                sizes.append(sizes[-1] + len(ids))
+            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for at, to in _together(texts):
+                gc.disable()  # many small objects, none in a cycle
+                try:
+                    coded = e.encode(texts[at:to], names[at:to])
+                finally:
+                    gc.enable()
+                for t, ids in zip(texts[at:to], coded):
+                    whole.append(e.decode(ids.tolist()) == (t or ""))
+                    flat.append(ids)
+                    sizes.append(sizes[-1] + len(ids))
+                del coded
             ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
             counts = pa.array(np.diff(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), counts, ids, pa.array(whole, pa.bool_())], [id_col, "n_tokens", "ids", "lossless"])
