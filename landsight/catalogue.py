@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import queries_scalar, queries_series, queries_space
+from .fixtures import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["oracle_sql", "queries", "queries_scalar", "queries_series", "queries_space"]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -138,7 +138,7 @@ def panorama(sites: DataFrame, cells: DataFrame, grid: Grid, key: str = "site",
     s = sites.withColumn("az_idx", F.explode(F.sequence(F.lit(0), F.lit(n_az - 1)))).withColumn("d_idx", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
     s = s.withColumn("az", d(az_lo) + F.col("az_idx") * d(az_step)).withColumn("dist", d(60.0) + F.col("d_idx") * d(step_d))
     la, lo = destination(F.col("lat"), F.col("lon"), F.col("az"), F.col("dist"))
-    s = s.withColumn("__id", F.struct(key, "az_idx", "d_idx")).withColumn("lat", la).withColumn("lon", lo)
+    s = s.withColumns({"__id": F.struct(key, "az_idx", "d_idx"), "lat": la, "lon": lo})
     s = sample_bilinear(s, cells, grid, "__id", out="__h")
     s = s.withColumn("ang", F.degrees(F.atan2(F.col("__h") - drop_m(F.col("dist")) - F.col("height"), F.col("dist"))))
     w = W.Window.partitionBy(key, "az_idx").orderBy("d_idx")
