@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags. Containers that say by tag, role or class that they are menus, headers,
 footers, sidebars, notices, adverts, forms or comments are left out with what they hold. The first pass classifies each
 other block by link density, length and stop-word density; short blocks and middling ones stay undecided. If the page
-marks its article, blocks outside it are boilerplate, and inside it prose needs no stop words, only few links. In the
+marks its article, blocks outside it are boilerplate, and inside it prose needs no stop words, and only lists of links go. In the
 second pass undecided blocks inherit the label of the nearest decided neighbour; a heading looks ahead on a tie.
 """
 
@@ -42,7 +42,7 @@ BOILERPLATE_WORDS = frozenset(
     "newsletter subscribe subscription signup signin login register share sharing social comment comments disqus reply replies respond "
     "related recommended recommendations widget toolbar pagination pager search form skip".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADINGS, ITEMS = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("li dt dd td th".split())
 #: Containers whose class words say nothing about all that they hold.
 WHOLE = frozenset("html body main article".split())
 CLOSED_BY = {"p": BLOCKS, "li": frozenset({"li"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"}),
@@ -65,6 +65,7 @@ class Block:
     linked: int = 0
     main: bool = False
     heading: bool = False
+    item: bool = False
     text: str = ""
     label: str = ""
 
@@ -102,12 +103,12 @@ def blocks_of(html: str) -> list[Block]:
     skip_at = article_at = link_at = -1  # depths of the outermost open container of each sort
     at = 0
 
-    def flush(heading: bool = False) -> None:
+    def flush(opened: str = "") -> None:
         nonlocal now
         now.text = " ".join("".join(now.parts).split())
         if now.text:
             out.append(now)
-        now = Block(main=article_at >= 0, heading=heading)
+        now = Block(main=article_at >= 0, heading=opened in HEADINGS, item=opened in ITEMS)
 
     def say(chunk: str) -> None:
         if skip_at < 0 and chunk:
@@ -146,7 +147,7 @@ def blocks_of(html: str) -> list[Block]:
             at = end.end()
             continue
         if tag in BLOCKS:
-            flush(tag in HEADINGS)
+            flush(tag)
         if tag in VOID or attributes.endswith("/"):
             continue
         near = len(stack) - 1
@@ -171,7 +172,7 @@ def classify(block: Block) -> str:
     n = len(block.text)
     links = block.linked / max(1, sum(map(len, block.text.split())))
     if links > (LINKS_BAD_IN_ARTICLE if block.main else LINKS_BAD):
-        return "bad"
+        return "short" if block.main and not block.item else "bad"
     if n < SHORT_CHARS:
         return "short"
     if block.main:

@@ -82,7 +82,7 @@ RULES = [
 ]
 #: Every sentence rule needs one of these.
 _NEEDED = re.compile(r"licen[sc]e|licensed|redistribut|permission|copyright|warrant|rights reserved|public domain|\(c\)|©|released under|distributed under|in no event|without restriction|anyone is free|do what the|compliance")
-_CUT = re.compile(r"\n+|(?<=[^.!?\s][.;:])\s+")
+_CUT = re.compile(r"\n+|(?<=[^.!?\s][.;])\s+")
 _NOISE = re.compile(r"[^a-z0-9.+()©]+")
 _RULES = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 GAP = "-"
@@ -110,7 +110,7 @@ def _name(base: str, got: dict[str, str]) -> str:
     elif base == "BSD" and ("bsd" in got or "bsd2" in got):
         return f"BSD-{got.get('bsd') or got.get('bsd2')}-Clause"
     elif base == "SPDX":
-        return "SPDX:" + got["spdx"].strip()
+        return "SPDX:" + got["spdx"].strip().replace(" ", "-")
     later = "-or-later" if "later" in got or "later2" in got else ""
     return base + (f"-{version}" if version else "") + later
 
