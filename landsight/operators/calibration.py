@@ -36,7 +36,7 @@ def coarse_poses(rows: DataFrame, skyline: DataFrame, poses: DataFrame, az_lo: f
 
     rows: site, u, v; poses: site, width, height, yaw0, hfov, k1. Every combination is scored as rows of one job.
     """
-    grid = poses.withColumn("dy", F.explode(F.sequence(F.lit(-yaw_half), F.lit(yaw_half)))).withColumn("pitch", F.explode(F.sequence(F.lit(pitch[0]), F.lit(pitch[1]))).cast("double"))
+    grid = poses.withColumn("dy", F.explode(F.sequence(F.lit(-yaw_half), F.lit(yaw_half)))).withColumn("pitch", F.explode(F.sequence(F.lit(pitch[0]), F.lit(pitch[1])))).withColumn("pitch", F.col("pitch").cast("double"))
     if lens:
         pairs = F.explode(F.array(*(F.struct(d(h).alias("h"), d(k).alias("k")) for h, k in lens)))
         grid = grid.withColumn("__l", pairs).withColumn("hfov", F.col("__l.h")).withColumn("k1", F.col("__l.k")).drop("__l")

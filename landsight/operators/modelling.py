@@ -92,7 +92,7 @@ def metrics(pred: DataFrame, group: list[str], target: str = "lfmc", year: str =
     flat = (F.stddev_pop(p - q) <= 1e-9) | (F.stddev_pop(t - q) <= 1e-9)
     main = pred.groupBy(*group).agg(
         F.count("*").alias("n"), F.count_distinct(year).alias("years"), F.sqrt(F.avg((p - t) * (p - t))).alias("rmse"), F.avg(F.abs(p - t)).alias("mae"),
-        (1 - ratio(sse, F.var_pop(t) * F.count("*"))).alias("r2"), F.when(flat, F.lit(0.0)).otherwise(F.corr(t - q, p - q)).alias("anomaly_r"),
+        (1 - ratio(sse, F.var_pop(t) * F.count("*"))).alias("r2"), F.when(flat, F.lit(0.0)).otherwise(ratio(F.covar_pop(t - q, p - q), F.stddev_pop(t - q) * F.stddev_pop(p - q))).alias("anomaly_r"),
         F.avg(agree.cast("double")).alias("below80"))
     return main.join(beat, group) if group else main.crossJoin(beat)
 

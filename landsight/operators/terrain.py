@@ -70,8 +70,8 @@ def sample_bilinear(points: DataFrame, cells: DataFrame, grid: Grid, key: str, l
 
 
 def observers(sites: DataFrame, cells: DataFrame, grid: Grid, key: str = "site", mast_m: float = 10.0) -> DataFrame:
-    """Adds h_obs: ground (bilinear) and mast."""
-    return sample_bilinear(sites, cells, grid, key, out="__g").withColumn("h_obs", F.col("__g") + d(mast_m)).drop("__g")
+    """Adds h_obs: ground (bilinear) and mast. Sites where the raster has no ground are left out."""
+    return sample_bilinear(sites, cells, grid, key, out="__g").where("__g is not null").withColumn("h_obs", F.col("__g") + d(mast_m)).drop("__g")
 
 
 def rays(sites: DataFrame, cells: DataFrame, grid: Grid, key: str = "site", r_max: float = 30_000.0, n_az: int = 3600, step_m: float | None = None, corners: bool = False, outside_z: float | None = None) -> DataFrame:
@@ -79,6 +79,7 @@ def rays(sites: DataFrame, cells: DataFrame, grid: Grid, key: str = "site", r_ma
 
     A sample is visible if its angle is at least that of all before it on its ray. With ``corners`` the raster is read
     and reported by the nearest cell corner instead of centre. Off the raster the edge goes on, or is ``outside_z``.
+    Samples on cells that the raster lacks are left out.
     """
     step = d(step_m) if step_m else grid.step_m(F.col("lat")) / 2
     s = sites.withColumn("__step", step).withColumn("__k", F.explode(F.sequence(F.lit(1), F.ceil((d(r_max) - F.col("__step") * 1e-9) / F.col("__step")).cast("int"))))
@@ -90,7 +91,7 @@ def rays(sites: DataFrame, cells: DataFrame, grid: Grid, key: str = "site", r_ma
     row, col = (r, k) if corners else grid.cell(F.col("lat"), F.col("lon"))
     s = s.withColumn("__off", ~(r.between(0, grid.rows - 1) & k.between(0, grid.cols - 1)))
     r, k = grid.clipped(r, k)
-    s = s.withColumn("__r", r).withColumn("__c", k).join(cells.select(F.col("row").alias("__r"), F.col("col").alias("__c"), "z"), ["__r", "__c"], "left")
+    s = s.withColumn("__r", r).withColumn("__c", k).join(cells.select(F.col("row").alias("__r"), F.col("col").alias("__c"), "z"), ["__r", "__c"])
     if outside_z is not None:
         s = s.withColumn("z", F.when(F.col("__off"), d(outside_z)).otherwise(F.col("z")))
     s = s.withColumn("ang", (F.col("z") - drop_m(F.col("dist")) - F.col("h_obs")) / F.col("dist"))

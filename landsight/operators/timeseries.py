@@ -115,8 +115,8 @@ def sustained_moves(df: DataFrame, keys: list[str], ts: str = "ts", x: str = "tx
     med = lambda v, a, b: F.when(F.count(v).over(w.rowsBetween(a, b)) >= least, F.percentile(c(v), F.lit(0.5)).over(w.rowsBetween(a, b)))
     at = df.select(*keys, ts, *(med(v, 1 - window, 0).alias(f"b{v}") for v in (x, y)), *(med(v, 0, window - 1).alias(f"a{v}") for v in (x, y)))
     at = at.select(*keys, ts, F.hypot(*(F.lead(f"a{v}").over(by_time(keys, ts)) - F.col(f"b{v}") for v in (x, y))).alias("jump")).where(F.col("jump") > least_px)
-    found = at.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(ts, "jump"))).alias("m"))
-    kind = found.schema["m"].dataType.simpleString()
+    found = at.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(ts, "jump"))).alias("__m"))
+    kind = found.schema["__m"].dataType.simpleString()
 
     def step(kept: Column, move: Column) -> Column:
         last = F.element_at(kept, -1)
@@ -124,8 +124,8 @@ def sustained_moves(df: DataFrame, keys: list[str], ts: str = "ts", x: str = "tx
         swap = F.when(move["jump"] > last["jump"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(move))).otherwise(kept)
         return F.when(F.size(kept) == 0, F.array(move)).when(near, swap).otherwise(F.concat(kept, F.array(move)))
 
-    kept = F.aggregate("m", F.array().cast(kind), lambda a, m: F.when(F.size(a) == 0, F.array(m)).otherwise(step(a, m)))
-    return found.select(*keys, F.explode(kept).alias("k")).select(*keys, f"k.{ts}", "k.jump")
+    kept = F.aggregate("__m", F.array().cast(kind), lambda a, m: F.when(F.size(a) == 0, F.array(m)).otherwise(step(a, m)))
+    return found.select(*keys, F.explode(kept).alias("__k")).select(*keys, f"__k.{ts}", "__k.jump")
 
 
 def interpolated(df: DataFrame, keys: list[str], value: str, date: str = "date", limit: int = 20, out: str = "filled") -> DataFrame:

@@ -164,11 +164,11 @@ def w14_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH a AS (SELECT site, year(date) AS year, sum(lfmc) AS s, count(*) AS n FROM {SAMPLES} GROUP BY ALL)
-SELECT site, CAST(year AS INTEGER) AS year, round((sum(s) OVER w - s) / nullif(sum(n) OVER w - n, 0), 4) + 0.0 AS clim FROM a WINDOW w AS (PARTITION BY site)""")
+SELECT site, CAST(year AS INTEGER) AS year, round((sum(s) OVER w - s) / nullif(sum(n) OVER w - n, 0), 8) + 0.0 AS clim FROM a WINDOW w AS (PARTITION BY site)""")
 def w16_other_years_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = samples(spark, sf_dir).groupBy("site", F.year("date").alias("year")).agg(F.sum("lfmc").alias("s"), F.count("*").alias("n"))
     w = timeseries.W.Window.partitionBy("site")
-    return a.select("site", "year", rounded(F.try_divide(F.sum("s").over(w) - F.col("s"), F.sum("n").over(w) - F.col("n")), 4).alias("clim"))
+    return a.select("site", "year", rounded(F.try_divide(F.sum("s").over(w) - F.col("s"), F.sum("n").over(w) - F.col("n")), 8).alias("clim"))
 
 
 @query(f"""WITH e AS (SELECT view, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM {VIEW_DAYS} GROUP BY view),

@@ -90,7 +90,7 @@ def g3_sees_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT site, round(z, 6) + 0.0 AS ground FROM {bilinear(MASTS, 'site')}")
 def p18_bilinear_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terrain.sample_bilinear(masts(spark, sf_dir), cells(spark, sf_dir), GRID, "site", out="g").select("site", rounded("g", 6).alias("ground"))
+    return terrain.sample_bilinear(masts(spark, sf_dir), cells(spark, sf_dir), GRID, "site", out="g").where("g is not null").select("site", rounded("g", 6).alias("ground"))
 
 
 @query(f"""WITH g AS (SELECT row, col, (coalesce(lead(z) OVER x, z) - coalesce(lag(z) OVER x, z)) / (CASE WHEN lead(z) OVER x IS NULL OR lag(z) OVER x IS NULL THEN 1 ELSE 2 END * (111320 * cos(radians(38)) / 1200)) AS gx,
@@ -134,9 +134,9 @@ def a21_hilltops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.hilltops(cells(spark, sf_dir), 7, 6).select("row", "col", rounded("z", 6).alias("z"))
 
 
-@query(f"SELECT CAST(row // 5 AS INTEGER) AS row, CAST(col // 5 AS INTEGER) AS col, round(avg(z), 6) + 0.0 AS z FROM {CELLS} GROUP BY 1, 2")
+@query(f"SELECT CAST(row // 5 AS INTEGER) AS row, CAST(col // 5 AS INTEGER) AS col, round(avg(z), 10) + 0.0 AS z FROM {CELLS} GROUP BY 1, 2")
 def a22_coarse_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terrain.coarsened(cells(spark, sf_dir), 5).select("row", "col", rounded("z", 6).alias("z"))
+    return terrain.coarsened(cells(spark, sf_dir), 5).select("row", "col", rounded("z", 10).alias("z"))
 
 
 @query(f"""WITH t AS (SELECT row, col, k, CAST(floor(z / 4) AS INTEGER) + k AS z FROM {CELLS}, (VALUES (0), (1)) AS i(k) WHERE (row + col + k) % 3 <> 0),
