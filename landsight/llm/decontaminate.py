@@ -2,9 +2,10 @@
 
 The benchmark is taken in blocks of bounded size (``BLOCK_CHARS``); the corpus is read once for each block, so what is
 sent to the executors never grows with either table. One pass finds every n-gram that a document shares with an item
-and keeps the words around it. The corpus frequency of each shared n-gram is then counted over all documents, and the
-rarer ones of each item become its seeds: always at least half of the item's n-grams that occur at all, so an item
-that leaked into a third of the corpus keeps its seeds. Passages with a seed are aligned to the whole item.
+and keeps the words around it. The corpus frequency of each shared n-gram is then counted over all documents, and those
+that are not far more frequent than the item's others become its seeds (``RARE``). Rareness is measured within an item,
+so an item that leaked into a third of the corpus keeps its seeds, and so do a few edited copies beside exact ones.
+Passages with a seed are aligned to the whole item.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import bounded_batches, stored
 SEED_WORDS = 4
 #: A block of the benchmark has up to so many characters (a single longer item is a block of its own).
 BLOCK_CHARS = 4_000_000
+#: A seed occurs in at most so many times the median number of passages of its item's n-grams, and so many more.
+RARE = (4, 4)
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the highest possible alignment score from which a document counts as contaminated by an item.
 CONTAMINATED = 0.4
@@ -148,13 +151,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def rare_seeds(passages: DataFrame) -> set[int]:
-    """Gram numbers that are seeds: of each item's grams found in the corpus, those in no more passages than the median.
+    """Gram numbers that are seeds: of each item's grams found in the corpus, those not far above the median of passages.
 
     At most as many numbers as the benchmark block has n-grams.
     """
     spread = passages.select("item", "id", F.explode("grams").alias("gram")).groupBy("item", "gram").agg(F.count("*").alias("df"))
     of_item = W.Window.partitionBy("item")
-    kept = spread.withColumn("middle", F.expr("percentile(df, 0.5)").over(of_item)).where("df <= middle")
+    kept = spread.withColumn("middle", F.expr("percentile(df, 0.5)").over(of_item)).where(F.col("df") <= RARE[0] * F.col("middle") + RARE[1])
     return {r[0] for r in kept.select("gram").toLocalIterator()}
 
 
