@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import queries_scalar, queries_series, queries_space
+from . import queries_scalar, queries_series, queries_space, queries_tables
 from .fixtures import ORACLES, QUERIES, Query
 
-__all__ = ["oracle_sql", "queries", "queries_scalar", "queries_series", "queries_space"]
+__all__ = ["oracle_sql", "queries", "queries_scalar", "queries_series", "queries_space", "queries_tables"]
 
 
 def queries() -> dict[str, Query]:

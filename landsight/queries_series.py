@@ -48,15 +48,14 @@ def w3_daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.daily(flagged, ["cam"], "value", order="event_id", least_days=3).select("cam", "date", rounded("value", 6).alias("value"))
 
 
-@query(f"""WITH flagged AS (SELECT cam % 10 AS cam, view, event_id, ts, value FROM {SERIES}),
-one AS (SELECT * FROM flagged QUALIFY row_number() OVER (PARTITION BY cam, view, ts ORDER BY event_id) = 1),
+@query(f"""WITH one AS (SELECT * FROM {SERIES} QUALIFY row_number() OVER (PARTITION BY cam, view, ts ORDER BY event_id) = 1),
 seen AS (SELECT *, coalesce(count(value) OVER w >= 5 AND value >= 0.8 * quantile_cont(value, 0.8) OVER w, false) AS clear
   FROM one WINDOW w AS (PARTITION BY cam, view ORDER BY ts {frame(90)})),
 {daily_sql('cam, view', 'seen', 5)},
 z AS (SELECT cam, date, (value - avg(value) OVER (PARTITION BY cam, view)) / nullif(stddev_samp(value) OVER (PARTITION BY cam, view), 0) AS z FROM daily)
 SELECT cam, date, round(avg(z), 5) + 0.0 AS z FROM z WHERE z IS NOT NULL GROUP BY cam, date""")
 def pipeline_daily_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = series(spark, sf_dir).withColumn("cam", F.col("cam") % 10)
+    s = series(spark, sf_dir)
     one = timeseries.W.Window.partitionBy("cam", "view", "ts").orderBy("event_id")
     s = s.withColumn("n", F.row_number().over(one)).where("n = 1").drop("n")
     out = network.daily_index(s, edge="value", value="value", order="event_id", least_days=5)
