@@ -237,7 +237,7 @@ def l2_largest_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH v AS (SELECT c.row, c.col, c.z, coalesce(n, 0) AS n, coalesce(near, 0) AS near, {KY} * 111320 * cos(radians(38 - (c.row + 0.5) / 1200)) / 1200 / 1200 / 1e6 AS a FROM {CELLS} c
   LEFT JOIN (SELECT row, col, count(*) AS n, count(*) FILTER (WHERE dist <= 800) AS near FROM {VIEWS} GROUP BY ALL) USING (row, col))
-SELECT round(sum(a) FILTER (WHERE z > 0), 6) + 0.0 AS land_km2, round(sum(a) FILTER (WHERE z > 10), 6) + 0.0 AS wild_km2, round(sum(a) FILTER (WHERE z > 10 AND n >= 1) / sum(a) FILTER (WHERE z > 10), 6) + 0.0 AS wild_seen,
+SELECT round(sum(a) FILTER (WHERE z > 0), 6) + 0.0 AS land_km2, round(sum(a) FILTER (WHERE z > 10), 6) + 0.0 AS wild_km2, round(coalesce(sum(a) FILTER (WHERE z > 10 AND n >= 1), 0) / sum(a) FILTER (WHERE z > 10), 6) + 0.0 AS wild_seen,
 round(coalesce(sum(a) FILTER (WHERE z > 10 AND n >= 2), 0) / sum(a) FILTER (WHERE z > 10), 6) + 0.0 AS wild_seen2, round(coalesce(sum(a) FILTER (WHERE z > 10 AND near >= 1), 0) / sum(a) FILTER (WHERE z > 10), 6) + 0.0 AS wild_near FROM v""")
 def a17_coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = terrain.coverage(views(spark, sf_dir), near_m=800.0)
