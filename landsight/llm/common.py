@@ -1,13 +1,14 @@
-"""What the training-data operators share: shared-folder tables, Arrow batch bounds, column names."""
+"""What the training-data operators share: Arrow batch bounds, tables in the shared folder, whole texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import forget, stored
+
+__all__ = ["bounded_batches", "forget", "read", "stored", "text_of"]
+
 #: Rows and bytes that one Arrow batch may hold: what bounds a Python worker's memory.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
@@ -18,35 +19,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='landsight-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/landsight-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._landsight_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables made by ``stored`` that no later plan reads."""
-    for df in tables:
-        if path := getattr(df, "_landsight_path", None):
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
 def text_of(col: str) -> Column:
     """A text column in which null is the empty text."""
     return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
