@@ -5,9 +5,9 @@ space mark, then the text with spaces turned into that mark. No piece holds a ma
 falls into chunks (marks and what follows them) whose merges cannot interact, and each chunk has its own agenda: the
 possible merges, best score first, leftmost first among equals. A merge that comes up is skipped if a hash keyed by seed
 and variant, of the merge's rank and its number in the agenda, is under the dropout rate; a skipped merge may be proposed
-again when a neighbour changes. A document's chunks are taken in runs, and the variant of a run is a keyed hash of the
-document's id and the run's number, one of ``VARIANTS``, so the same word is cut in different ways at different places
-while results depend on nothing but seed, id and text. With rate 0 the ids are those of the model's own library.
+again when a neighbour changes. The variant of a chunk is a keyed hash of the document's id and the chunk's ordinal, one
+of ``VARIANTS``, so the same word is cut in different ways at different places while results depend on nothing but seed,
+id and text. With rate 0 the ids are those of the model's own library.
 
 Chunks of a variant are kept once made. Those that a batch of documents lacks are made together: one row each in arrays
 of symbols and of the ranks of adjacent pairs, in which every step takes each row's best candidate.
@@ -24,7 +24,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import compress, repeat
-from operator import is_
+from operator import call, is_
 from typing import Any
 
 import numpy as np
@@ -37,8 +37,6 @@ from .common import bounded_batches
 
 MARK = "▁"
 RATE, SEED, VARIANTS = 0.1, 17, 4
-#: Chunks in a run.
-RUN = 64
 #: Chunks kept per worker: the first ones seen for good, later ones until their number is reached; the longest that is kept.
 KEPT_FIRST, KEPT_LATER, KEPT_CHARS = 300_000, 100_000, 24
 #: Characters of texts that are encoded together: bounds a worker's memory (a longer text is taken alone).
@@ -240,6 +238,8 @@ class Encoder:
     def __init__(self, model: bytes, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> None:
         if not 0 <= rate < 1:
             raise ValueError("the dropout rate is at least 0 and under 1")
+        if not 1 <= variants <= 256:
+            raise ValueError("there are 1 to 256 variants")
         self.vocabulary, self.seed, self.variants = Vocabulary(model), seed, variants if rate else 1
         self.pairs = Pairs(self.vocabulary)
         limit = int(rate * (1 << 64))
@@ -281,43 +281,53 @@ class Encoder:
                 later |= new
         return out
 
+    def _drawn(self, state: int, turn: int, n: int) -> bytes:
+        """Variants of n chunks from ordinal ``turn`` on, by a keyed mix of document and ordinal."""
+        if self.variants == 1:
+            return bytes(n)
+        with np.errstate(over="ignore"):
+            x = (np.arange(turn + 1, turn + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(state)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x >> np.uint64(33)) % np.uint64(self.variants)).astype(np.uint8).tobytes()
+
     def encode(self, texts: list[str | None], docs: list[Any]) -> list[np.ndarray]:
-        """Ids of each text; none for a null or empty one. docs: what the variants of its runs are drawn by."""
+        """Ids of each text; none for a null or empty one. docs: what the variants of its chunks are drawn by."""
+        gets = [own.get for own in self.kept]
         waiting: list[dict[str, None]] = [{} for _ in self.kept]
-        whole: list[list[tuple[int, list[str] | None, list]]] = []
+        whole: list[list[tuple[bytes, list[str] | None, list]]] = []
+        mark = np.array(self.vocabulary.bytes_of(MARK), ID).tobytes()
         for text, doc in zip(texts, docs):
-            parts: list[tuple[int, list[str] | None, list]] = []
-            key, run = f"doc:{doc}:", 0
-            mark = np.array(self.vocabulary.bytes_of(MARK), ID).tobytes()
+            parts: list[tuple[bytes, list[str] | None, list]] = []
+            state, turn = xxhash.xxh64_intdigest(f"doc:{doc}", self.seed), 0
             for k, part in enumerate(text.split(MARK) if text else ()):
                 if k:
-                    parts.append((0, None, [mark]))
+                    parts.append((b"", None, [mark]))
                     first = _CHUNK.match(part)
                     if first and first[0][0] != " ":
-                        parts.append((0, None, [self.chunk(first[0], 0)]))
+                        parts.append((b"", None, [self.chunk(first[0], self._drawn(state, turn, 1)[0])]))
+                        turn += 1
                         part = part[first.end() :]
                     if not part:
                         continue
                 else:
                     part = " " + part
                 names = [c[1:] for c in _CHUNK.findall(part)] if "  " in part else part[1:].split(" ")
-                for at in range(0, len(names), RUN):
-                    run += 1
-                    v = xxhash.xxh64_intdigest(f"{key}{run}", self.seed) % self.variants
-                    own = names[at : at + RUN]
-                    got = [*map(self.kept[v].get, own)]
-                    if None in got:
-                        waiting[v].update(dict.fromkeys(compress(own, map(is_, got, repeat(None)))))
-                    parts.append((v, own, got))
+                drawn = self._drawn(state, turn, len(names))
+                turn += len(names)
+                got = [*map(call, map(gets.__getitem__, drawn), names)]
+                if None in got:
+                    for v, name in compress(zip(drawn, names), map(is_, got, repeat(None))):
+                        waiting[v][name] = None
+                parts.append((drawn, names, got))
             whole.append(parts)
         made = [self.make([*names], v) for v, names in enumerate(waiting)]
         out = []
         for parts in whole:
             ids: list[bytes] = []
-            for v, own, got in parts:
-                if None in got:
-                    new = made[v]
-                    got = [new[n] if x is None else x for n, x in zip(own, got)]
+            for drawn, names, got in parts:
+                if names and None in got:
+                    got = [made[v][name] if x is None else x for v, name, x in zip(drawn, names, got)]
                 ids += got
             out.append(np.frombuffer(b"".join(ids), ID))
         return out

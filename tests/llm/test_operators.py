@@ -292,6 +292,20 @@ def test_pieces_round_trip_and_vary(spark):
     assert len(set(cut)) > 1
 
 
+def test_pieces_draw_a_variant_for_each_chunk():
+    e = pieces.Encoder(pieces.model_bytes(MODEL))
+    word = next(w for w in ("thereabouts", "understanding", "international") if len({e.chunk(" " + w, v) for v in range(e.variants)}) > 2)
+    for text in (" ".join([word] * 64), "▁".join([word] * 64)):
+        ids = e.encode([text], [5])[0].tobytes()
+        drawn = e._drawn(xxhash.xxh64_intdigest("doc:5", e.seed), 0, 64)
+        mark = np.array(e.vocabulary.bytes_of("▁"), pieces.ID).tobytes()
+        if "▁" in text:
+            assert ids == mark.join(e.chunk(word if k else " " + word, v) for k, v in enumerate(drawn))
+        else:
+            assert ids == b"".join(e.chunk(" " + word, v) for v in drawn)
+        assert set(drawn) == set(range(e.variants)) and e.decode(np.frombuffer(ids, pieces.ID).tolist()) == text
+
+
 # Pages
 
 STORY = "This is the text of the story and it was in the paper for all of us to see that it is good and that he was there with the man on the hill. And the text of the rest is here for you to read as it was for us."
