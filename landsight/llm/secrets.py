@@ -7,12 +7,14 @@ count * log2(count) are kept up to date by adding one character and removing one
 whatever the window. The threshold depends on the run's character class. Allow-listed runs (placeholders, plain words,
 plain numbers, UUIDs, ordered alphabets, paths of words) are suppressed; pattern matches never are.
 
-There is no Python on the executors, no shuffle, and a row's cost is linear in its text but for the number of matches.
+There is no Python on the executors and no shuffle. What a text's matches need of each other (offsets, overlaps, masked
+pieces) is worked out in blocks of ``BLOCK`` matches, so that texts with very many matches stay affordable.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,26 +44,50 @@ ALLOWED = [
     r"(?i)0123456789|abcdefghij",
     r"^/?([A-Za-z]+[0-9]{0,2}[/_-]+)+[A-Za-z]*[0-9]{0,2}$",
 ]
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+SPAN = "struct<start:int,rank:int,end:int,kind:string,said:string>"
+#: Matches that are worked on together.
+BLOCK = 256
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def in_blocks(items: Column) -> Column:
+    """An array cut into arrays of BLOCK items; none for an empty one."""
+    n = F.ceil(F.size(items) / BLOCK).cast("int")
+    numbers = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: k < n)
+    return F.transform(numbers, lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
+
+
+def bare(spans: Column) -> Column:
+    """Spans without what they say."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
 def located(text: Column, pattern: str, group: int, least: int, kind: str, rank: int) -> Column:
-    """Spans of a pattern's leftmost non-overlapping matches whose group has at least so many characters."""
+    """Spans of a pattern's leftmost non-overlapping matches whose group has at least so many characters, with their text."""
     p = F.lit(pattern)
     whole = F.regexp_extract_all(text, p, F.lit(0))
     sized = whole if group == 0 else F.regexp_extract_all(text, p, F.lit(group))
     steps = F.zip_with(
-        F.zip_with(F.split(text, pattern, -1), whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"))),
-        sized, lambda a, g: F.struct(a["gap"].alias("gap"), a["n"].alias("n"), F.length(g).alias("g")))
+        F.zip_with(F.split(text, pattern, -1), whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("said"))),
+        sized, lambda a, g: F.struct(a["gap"].alias("gap"), a["said"].alias("said"), F.length(a["said"]).alias("n"), F.length(g).alias("g")))
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, x: Column) -> Column:
         start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["n"]
-        new = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")))
+        new = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["said"].alias("said")))
         return F.struct(end.alias("at"), F.when(x["g"] >= least, F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    found = F.aggregate(F.filter(steps, lambda x: x["n"].isNotNull()), zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    def block(acc: Column, own: Column) -> Column:
+        within = F.aggregate(own, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return let(within, lambda w: F.struct(w["at"].alias("at"), F.concat(acc["parts"], F.array(w["out"])).alias("parts")))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("parts"))
+    found = let(F.filter(steps, lambda x: x["n"].isNotNull()), lambda x: F.aggregate(in_blocks(x), zero, block, lambda acc: F.flatten(acc["parts"])))
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def window_entropy(run: Column, window: int = WINDOW) -> Column:
@@ -96,13 +122,16 @@ def suspicious(run: Column) -> Column:
 def with_spans(docs: DataFrame, base_col: str, all_col: str, text_col: str = "text") -> DataFrame:
     """Adds two arrays of (start, rank, end, kind) in order: the pattern matches, and these with the entropy spans."""
     text = text_of(text_col)
-    ranked = [located(text, p, g, n, kind, rank) for rank, (kind, p, g, n) in enumerate(KINDS)]
+    ranked = [bare(located(text, p, g, n, kind, rank)) for rank, (kind, p, g, n) in enumerate(KINDS)]
     docs = docs.withColumn(base_col, F.array_sort(F.concat(*ranked)))
     runs = located(text, CANDIDATE, 0, WINDOW, "entropy", len(KINDS))
-    free = lambda s: ~F.exists(F.col(base_col), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    secret = lambda s: suspicious(F.substr(text, s["start"] + 1, s["end"] - s["start"]))
-    extra = F.filter(F.filter(runs, free), secret)
-    return docs.withColumn(all_col, F.array_sort(F.concat(F.col(base_col), extra)))
+    # Blocks of pattern matches with the range that they cover: a run looks only into those that it touches.
+    covered = F.transform(in_blocks(F.col(base_col)), lambda own: F.struct(
+        own.alias("own"), F.get(own, F.lit(0))["start"].alias("start"), F.array_max(F.transform(own, lambda b: b["end"])).alias("end")))
+    meets = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+    free = lambda s, c: ~F.exists(c, lambda k: meets(s, k) & F.exists(k["own"], lambda b: meets(s, b)))
+    extra = let(covered, lambda c: F.filter(F.filter(runs, lambda s: free(s, c)), lambda s: suspicious(s["said"])))
+    return docs.withColumn(all_col, F.array_sort(F.concat(F.col(base_col), bare(extra))))
 
 
 def digest(spans: Column) -> Column:
@@ -129,12 +158,22 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
     rows = with_spans(docs, "__landsight_base", "__landsight_all", text_col)
     text = F.col(f"`{text_col}`")
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        said = F.concat(acc["said"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, said).otherwise(acc["said"]).alias("said"))
+    def block(acc: Column, own: Column) -> Column:
+        """The pieces of the text up to the end of a block of spans, cut from that part of the text alone."""
+        end = F.greatest(acc["at"], F.array_max(F.transform(own, lambda s: s["end"])))
+
+        def pieces(part: Column) -> Column:
+            def step(a: Column, s: Column) -> Column:
+                said = F.concat(F.substr(part["text"], a["at"] - acc["at"] + 1, s["start"] - a["at"]), F.lit(mark))
+                kept = F.when(s["start"] >= a["at"], F.concat(a["said"], F.array(said))).otherwise(a["said"])
+                return F.struct(F.greatest(a["at"], s["end"]).alias("at"), kept.alias("said"))
+
+            within = F.aggregate(own, F.struct(acc["at"].alias("at"), F.array().cast("array<string>").alias("said")), step, lambda a: a["said"])
+            return F.struct(part["end"].alias("at"), F.concat(acc["parts"], F.array(F.array_join(within, ""))).alias("parts"))
+
+        return let(F.struct(end.alias("end"), F.substr(text, acc["at"] + 1, end - acc["at"]).alias("text")), pieces)
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("said"))
-    masked = F.aggregate("__landsight_all", zero, step, lambda a: F.concat(a["said"], F.substr(text, a["at"] + 1, F.length(text))))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    masked = F.aggregate(in_blocks(F.col("__landsight_all")), zero, block, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(text, a["at"] + 1, F.length(text))))
     out = rows.withColumn(text_col, F.when(F.size("__landsight_all") > 0, masked).otherwise(text)).drop("__landsight_base", "__landsight_all")
     return out.withColumn(chars_col, F.length(text).cast(docs.schema[chars_col].dataType)) if chars_col and chars_col in docs.columns else out

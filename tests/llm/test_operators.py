@@ -229,6 +229,25 @@ def test_secrets_are_masked(spark):
     assert secrets.scan(clashing(spark)).count() == len(ODD) and secrets.scan(odd(spark).limit(0)).count() == 0
 
 
+def test_many_secrets_of_one_text_equal_brute_force(spark):
+    rng = random.Random(3)
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOP0123456789"
+    makers = [lambda: f'token: "{draw(mixed, 24)}"', lambda: "AKIA" + draw("ABCDEF0123", 16), lambda: "secret=" + draw("0123456789abcdef", 40), lambda: draw(mixed, 40)]
+    rows = [(n, " ".join(rng.choice(makers)() + rng.choice([" é", " 😀 and", "\n"]) for _ in range(n))) for n in (255, 256, 257, 900)]
+    docs = spark.createDataFrame([*rows, (1, "no secret")], "doc_id long, text string")
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    for n, t in rows:
+        whole = plain_spans(t)[1]
+        out, at = [], 0
+        for _, a, b in whole:
+            out += [t[at:a], "[SECRET]"] if a >= at else []
+            at = max(at, b)
+        assert found[n] == joined(whole) and masked[n] == "".join(out) + t[at:]
+    assert (found[1], masked[1]) == ("", "no secret")
+
+
 # Search
 
 
