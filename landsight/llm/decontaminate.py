@@ -3,15 +3,16 @@
 The benchmark is taken in blocks of bounded size (``BLOCK_CHARS``); the corpus is read once for each block, so what is
 sent to the executors never grows with either table. One pass finds every n-gram that a document shares with an item
 and keeps the words around it. The corpus frequency of each shared n-gram is then counted over all documents, and those
-that are not far more frequent than the item's others become its seeds (``RARE``). Rareness is measured within an item,
-so an item that leaked into a third of the corpus keeps its seeds, and so do a few edited copies beside exact ones.
-Passages with a seed are aligned to the whole item.
+that are not far more frequent than the item's others are its seeds (``RARE``). Passages with a seed are aligned to the
+whole item. Rareness loses nothing: copies of an edited text can make the n-grams that they kept the frequent ones, so a
+passage without a seed is aligned as well, unless it has too few of the item's words to reach the score. Passages that
+repeat within a task are aligned once.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ RARE = (4, 4)
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the highest possible alignment score from which a document counts as contaminated by an item.
 CONTAMINATED = 0.4
+#: Alignments that a task keeps for passages that repeat.
+KEPT_ALIGNMENTS = 4_096
 _WORD = re.compile(r"\w+")
 
 
@@ -134,7 +137,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             item_text_col: str = "text", least: float = CONTAMINATED, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, item, score, n_seeds, first_word, end_word): documents and the items that they leak, best passage each.
 
-    score is the alignment score divided by that of the whole item unchanged. Null and empty texts match nothing, items
+    score is the alignment score divided by that of the whole item unchanged; n_seeds counts the passage's rare n-grams,
+    none of which may be left (0). Null and empty texts match nothing, items
     that are null or have no words are left out, repeated items count once, rows that share an id are judged together
     and a null id is an id like others. Equal scores go to the earliest passage. Other columns are ignored.
     """
@@ -166,19 +170,26 @@ def _aligned(passages: DataFrame, items: list[tuple], id_type: str, item_type: s
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, seeds = sent.value
-        codes: dict[int, tuple[dict, np.ndarray]] = {}
+        codes: dict[int, tuple[dict, np.ndarray, Counter]] = {}
+        done: dict[tuple, tuple[int, int, int]] = {}
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
             for id_, item, grams, at, words in zip(*(c.to_pylist() for c in b.columns)):
                 n = sum(g in seeds for g in grams)
-                if not n:
-                    continue
                 if item not in codes:
                     own = block[item][1]
                     table = {w: k for k, w in enumerate(dict.fromkeys(own))}
-                    codes[item] = table, np.array([table[w] for w in own])
-                table, coded = codes[item]
-                best, begin, end = align(coded, np.array([table.get(w, -1) for w in words]))
+                    codes[item] = table, np.array([table[w] for w in own]), Counter(own)
+                table, coded, times = codes[item]
+                if not n and (times & Counter(w for w in words if w in times)).total() < least * len(coded):
+                    continue
+                passage = np.array([table.get(w, -1) for w in words])
+                key = item, passage.tobytes()
+                if key not in done:
+                    if len(done) >= KEPT_ALIGNMENTS:
+                        done.clear()
+                    done[key] = align(coded, passage)
+                best, begin, end = done[key]
                 for to, v in zip(out, (id_, block[item][0], best / (MATCH * len(coded)), n, at + begin, at + end)):
                     to.append(v)
             kinds = (b.schema.field(0).type, item_arrow, pa.float64(), pa.int32(), pa.int64(), pa.int64())

@@ -146,6 +146,19 @@ def test_decontamination_edges(spark):
     assert split.exceptAll(whole).count() == whole.exceptAll(split).count() == 0
 
 
+def test_many_edited_copies_beside_an_exact_one_are_found(spark):
+    rng = random.Random(4)
+    item = [f"w{k}" for k in range(38)]
+    edited = [w if k % 7 < 5 else f"zz{k}" for k, w in enumerate(item)]
+    assert plain_smith_waterman(item, edited) / (2 * len(item)) >= decontaminate.CONTAMINATED
+    around = lambda words: " ".join([f"a{rng.randint(0, 99)}" for _ in range(9)] + words)
+    rows = [(0, around(item)), *((k, around(edited)) for k in range(1, 1001)), (2000, around(item[:4])), (2001, around([*item[:4], *item[30:33]]))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontaminate.matches(docs, bench).collect()}
+    assert got.keys() == set(range(1001)) and got[0] == 1
+    assert all(abs(got[k] - plain_smith_waterman(item, edited) / (2 * len(item))) < 1e-9 for k in range(1, 1001))
+
+
 # Quality
 
 
