@@ -62,7 +62,7 @@ def pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def best_of(q: np.ndarray, qd: np.ndarray, q_id: int, x: np.ndarray, xd: np.ndarray, squares: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of one query in a run of candidates: evaluated in bound order until no bound can matter."""
+    """The k best (score, id) of one query in a run of candidates, an id once with its best score: evaluated in bound order until no bound can matter."""
     low = np.abs(xd - qd).max(1) if xd.shape[1] else np.zeros(len(x))
     # The bound is slackened by more than the rounding of the distances.
     low = np.maximum(low - 1e-6 * (1 + np.abs(qd).max(initial=0)), 0)
@@ -75,7 +75,8 @@ def best_of(q: np.ndarray, qd: np.ndarray, q_id: int, x: np.ndarray, xd: np.ndar
             break
         part = part[ids[part] != q_id]
         scores, owners = np.concatenate((scores, x[part] @ q)), np.concatenate((owners, ids[part]))
-        top = np.lexsort((owners, -scores))[:k]
+        top = np.lexsort((owners, -scores))
+        top = top[np.sort(np.unique(owners[top], return_index=True)[1])[:k]]
         scores, owners = scores[top], owners[top]
     return list(zip(scores.astype(np.int64).tolist(), owners.tolist()))
 

@@ -286,6 +286,18 @@ def test_topk_edges(spark):
     assert topk.search(e.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_topk_of_repeated_ids_in_one_partition(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, [1.0, 0.0])] + [(7, [0.9 + 0.001 * k, 0.1]) for k in range(400)] + [(k, [float(x), 0.2]) for k, x in zip(range(10, 60), rng.uniform(-1, 0.8, 50))]
+    rows += [(k, [float(x), 0.3]) for k, x in zip(range(10, 60), rng.uniform(-1, 0.8, 50))]
+    best = {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, -(1 << 60)), 1024 * math.floor(1024 * v[0]))
+    want = [(i, s) for i, s in sorted(best.items(), key=lambda t: (-t[1], t[0]))[:10]]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    assert [(r["vec_id"], r["score"]) for r in topk.search(e, F.col("vec_id") == 0).orderBy("rank").collect()] == want
+
+
 # Pieces
 
 
