@@ -5,11 +5,16 @@ space mark, then the text with spaces turned into that mark. No piece holds a ma
 falls into chunks (marks and what follows them) whose merges cannot interact, and each chunk has its own agenda: the
 possible merges, best score first, leftmost first among equals. A merge that comes up is skipped if a hash keyed by seed
 and variant, of the merge's rank and its number in the agenda, is under the dropout rate; a skipped merge may be proposed
-again when a neighbour changes. The variant of a chunk is a keyed hash of the document's id and the chunk's ordinal, one
-of ``VARIANTS``, so the same word is cut in different ways at different places while results depend on nothing but seed,
-id and text. With rate 0 the ids are those of the model's own library.
+again when a neighbour changes. Every chunk draws its own skips: the hash is keyed by seed, the document's id, the chunk's
+ordinal and the candidate's number in the agenda (the chunk and the steps before settle which merge that is), so each
+occurrence of a word is cut anew while results depend on nothing but seed, id and text. With rate 0 the ids are those of
+the model's own library.
 
-Chunks of a variant are kept once made. Those that a batch of documents lacks are made together: one row each in arrays
+What is kept of a chunk is its cut without skips and how many candidates that takes; if no skip falls among them it is
+the result. Otherwise the cut for the chunk and the numbers of its skipped candidates is looked up, or made by its agenda.
+
+An ``Encoder`` can also draw one of a fixed number of variants for each chunk, each a table of skips by the merge's rank and
+its number in the agenda. Chunks of a variant are kept once made. Those that a batch of documents lacks are made together: one row each in arrays
 of symbols and of the ranks of adjacent pairs, in which every step takes each row's best candidate.
 
 Characters outside the vocabulary, and marks that stand in the text itself, become byte pieces, so every text decodes
@@ -21,7 +26,7 @@ from __future__ import annotations
 import gc
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import compress, repeat
 from operator import call, is_
@@ -43,6 +48,9 @@ KEPT_FIRST, KEPT_LATER, KEPT_CHARS = 300_000, 100_000, 24
 TOGETHER = 4_000_000
 #: Chunks up to so many characters are merged without a heap, and those that can be kept in arrays.
 SCANNED = 32
+#: Variants: none, every chunk draws its own skips. Cuts with skips that are kept per worker, the numbers of candidates past
+#: those of the plain cut that are drawn in arrays, and up to which a chunk's skips are held as the bits of a number.
+OWN_SKIPS, KEPT_CUTS, AHEAD, DRAWN = 0, 400_000, 4, 62
 #: Rank of a pair that is no piece, and the size of the keyed table of skips (a power of two) less one.
 NEVER, SKIP_MASK = 1 << 30, (1 << 16) - 1
 #: How ids are kept.
@@ -116,6 +124,11 @@ def merged(chunk: str, score: dict[str, int], skipped: bytes) -> list[str]:
 
 
 def _merged_by_heap(chunk: str, score: dict[str, int], skipped: bytes) -> list[str]:
+    return _agenda(chunk, score, lambda rank, turn: skipped[rank + turn * STRIDE & SKIP_MASK])[0]
+
+
+def _agenda(chunk: str, score: dict[str, int], skip: Callable[[int, int], int]) -> tuple[list[str], int]:
+    """The pieces of a chunk and the number of candidates that came up; skip says by rank and number, from 1, which are skipped."""
     n, turn = len(chunk), 0
     end, before = [*range(1, n + 1)], [*range(-1, n - 1)]  # of the symbol that starts at a place; end 0: merged away
     agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := score.get(chunk[i : i + 2])) is not None]
@@ -124,8 +137,8 @@ def _merged_by_heap(chunk: str, score: dict[str, int], skipped: bytes) -> list[s
         rank, a, b, c = heapq.heappop(agenda)
         if end[a] != b or end[b] != c:
             continue
-        turn += STRIDE
-        if skipped[rank + turn & SKIP_MASK]:
+        turn += 1
+        if skip(rank, turn):
             continue
         end[a], end[b] = c, 0
         if c < n:
@@ -138,7 +151,30 @@ def _merged_by_heap(chunk: str, score: dict[str, int], skipped: bytes) -> list[s
     while i < n:
         out.append(chunk[i : end[i]])
         i = end[i]
-    return out
+    return out, turn
+
+
+_M64, _STEP = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _hash_at(key: int, turn: int) -> int:
+    """The keyed hash of a chunk's candidate, as ``_hashes`` gives it."""
+    x = key + turn * _STEP & _M64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _M64
+    return x ^ x >> 31
+
+
+def _hashes(keys: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mixed(keys + turn.astype(np.uint64) * np.uint64(_STEP))
 
 
 class Pairs:
@@ -238,21 +274,27 @@ class Encoder:
     def __init__(self, model: bytes, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> None:
         if not 0 <= rate < 1:
             raise ValueError("the dropout rate is at least 0 and under 1")
-        if not 1 <= variants <= 256:
-            raise ValueError("there are 1 to 256 variants")
-        self.vocabulary, self.seed, self.variants = Vocabulary(model), seed, variants if rate else 1
+        if not 0 <= variants <= 256:
+            raise ValueError("there are 1 to 256 variants, or 0 for skips of every chunk's own")
+        self.own_skips = bool(rate) and variants == OWN_SKIPS
+        self.vocabulary, self.seed, self.variants = Vocabulary(model), seed, variants if rate and variants else 1
         self.pairs = Pairs(self.vocabulary)
-        limit = int(rate * (1 << 64))
-        self.skipped = [bytes(xxhash.xxh64_intdigest(f"{v}:{k}", seed) < limit for k in range(SKIP_MASK + 1)) for v in range(self.variants)]
+        self.limit = limit = int(rate * (1 << 64))
+        self.plain: dict[str, tuple[bytes, int]] = {}
+        self.cuts: dict[tuple[str, int], tuple[bytes, int]] = {}
+        self.skipped = [bytes(SKIP_MASK + 1)] if self.own_skips else [bytes(xxhash.xxh64_intdigest(f"{v}:{k}", seed) < limit for k in range(SKIP_MASK + 1)) for v in range(self.variants)]
         self.skips = np.array([np.frombuffer(x, np.bool_) for x in self.skipped])
         self.kept: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.later: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
     def chunk(self, chunk: str, variant: int) -> bytes:
         """Ids of one whole chunk."""
+        return self._coded(merged(chunk, self.vocabulary.rank, self.skipped[variant]))
+
+    def _coded(self, parts: list[str]) -> bytes:
         v = self.vocabulary
         out: list[int] = []
-        for p in merged(chunk, v.rank, self.skipped[variant]):
+        for p in parts:
             i = v.ids.get(p)
             out += v.bytes_of(p) if i is None else (i,)
         return np.array(out, ID).tobytes()
@@ -291,8 +333,115 @@ class Encoder:
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return ((x >> np.uint64(33)) % np.uint64(self.variants)).astype(np.uint8).tobytes()
 
+    def _hashed(self, chunk: str, key: int) -> bytes:
+        """Ids of a chunk whose skips are hashed one by one."""
+        return self._coded(_agenda(chunk, self.vocabulary.rank, lambda _, turn: _hash_at(key, turn) < self.limit)[0])
+
+    def _cut(self, name: str, bits: int, steps: int, key: int) -> bytes:
+        """Ids of a chunk some of whose first ``steps`` + AHEAD candidates are skipped: those of the bits set."""
+        known, used, cuts = steps + AHEAD, 0, self.cuts
+        while True:
+            low = bits & (1 << steps) - 1
+            if low == used:
+                return ids
+            rest = low & ~used
+            used |= rest & -rest
+            found = cuts.get((name, used))
+            if found is None:
+                parts, n = _agenda(" " + name, self.vocabulary.rank, lambda _, turn: used >> turn - 1 & 1)
+                if len(cuts) >= KEPT_CUTS:
+                    cuts.clear()
+                found = cuts[name, used] = self._coded(parts), n
+            ids, steps = found
+            if steps > DRAWN:
+                return self._hashed(" " + name, key)
+            for turn in range(known, steps):
+                bits |= (_hash_at(key, turn + 1) < self.limit) << turn
+            known = max(known, steps)
+
+    def _plain(self, names: list[str]) -> dict[str, tuple[bytes, int]]:
+        """Cuts without skips and the candidates that they take, kept if short."""
+        out: dict[str, tuple[bytes, int]] = {}
+        by: dict[int, list[str]] = {}
+        for name in names:
+            by.setdefault(len(name), []).append(name)
+        for size, group in by.items():
+            for name, ids in zip(group, self.pairs.merged([" " + name for name in group], self.skips[0])):
+                if ids is None:
+                    parts, n = _agenda(" " + name, self.vocabulary.rank, lambda _, turn: 0)
+                    out[name] = self._coded(parts), n
+                else:
+                    out[name] = ids, size + 1 - len(ids) // ID.itemsize
+        if len(self.plain) >= KEPT_FIRST + KEPT_LATER:
+            self.plain.clear()
+        self.plain |= out
+        return out
+
+    def _encode_own(self, texts: list[str | None], docs: list[Any]) -> list[np.ndarray]:
+        """As ``encode``, with skips that every chunk draws by its document and ordinal."""
+        mark = np.array(self.vocabulary.bytes_of(MARK), ID).tobytes()
+        names: list[str] = []  # of all texts; what stands between them by place
+        between: dict[int, list[tuple[bytes, str | None, int]]] = {}
+        edges, states = [0], []
+        for text, doc in zip(texts, docs):
+            state, turn = xxhash.xxh64_intdigest(f"doc:{doc}", self.seed), 0
+            states.append((state, len(names)))
+            for k, part in enumerate(text.split(MARK) if text else ()):
+                if k:
+                    between.setdefault(len(names), []).append((mark, None, 0))
+                    first = _CHUNK.match(part)
+                    if first and first[0][0] != " ":
+                        # Of an ordinal counted from the end, which no other chunk has.
+                        turn -= 1
+                        between[len(names)].append((b"", first[0], state + turn & _M64))
+                        part = part[first.end() :]
+                    if not part:
+                        continue
+                else:
+                    part = " " + part
+                names += [c[1:] for c in _CHUNK.findall(part)] if "  " in part else part[1:].split(" ")
+            edges.append(len(names))
+            if text and between.get(len(names)):
+                names.append("")
+                between.setdefault(len(names) - 1, []).append((b"", None, -1))
+                edges[-1] = len(names)
+        n = len(names)
+        sizes = np.diff(np.array(edges, np.int64))
+        ordinal = np.arange(n) - np.repeat(np.array(edges[:-1], np.int64), sizes)
+        with np.errstate(over="ignore"):
+            keys = _mixed(np.repeat(np.array([s for s, _ in states], np.uint64), sizes) + ordinal.astype(np.uint64))
+        got = [*map(self.plain.get, names)]
+        long = [k for k, x in enumerate(got) if x is None and len(names[k]) >= KEPT_CHARS]
+        for k in long:
+            got[k] = self._hashed(" " + names[k], int(keys[k])), 0
+        if None in got:
+            made = self._plain([*dict.fromkeys(compress(names, map(is_, got, repeat(None))))])
+            got = [made[name] if x is None else x for name, x in zip(names, got)]
+        ids = [x[0] for x in got]
+        steps = np.fromiter((x[1] for x in got), np.int64, n)
+        bits = np.zeros(n, np.int64)
+        rows, turn = np.flatnonzero(steps), 0
+        while len(rows):
+            hit = rows[_hashes(keys[rows], np.full(1, turn + 1)) < np.uint64(self.limit)]
+            bits[hit] |= 1 << turn
+            turn += 1
+            rows = rows[steps[rows] > turn]
+        some = np.flatnonzero(bits)
+        for k in range(AHEAD):
+            turns = steps[some] + k
+            bits[some] |= (_hashes(keys[some], turns + 1) < np.uint64(self.limit)).astype(np.int64) << turns
+        cut = self._cut
+        for k, b, s, key in zip(some.tolist(), bits[some].tolist(), steps[some].tolist(), keys[some].tolist()):
+            ids[k] = cut(names[k], b, s, key)
+        for k, added in between.items():
+            whole = b"".join(x if own is None else self._hashed(own, int(_mixed(np.array([key], np.uint64))[0])) for x, own, key in added)
+            ids[k] = whole + (b"" if added[-1][2] == -1 else ids[k])
+        return [np.frombuffer(b"".join(ids[a:b]), ID) for a, b in zip(edges, edges[1:])]
+
     def encode(self, texts: list[str | None], docs: list[Any]) -> list[np.ndarray]:
-        """Ids of each text; none for a null or empty one. docs: what the variants of its chunks are drawn by."""
+        """Ids of each text; none for a null or empty one. docs: what the skips or variants of its chunks are drawn by."""
+        if self.own_skips:
+            return self._encode_own(texts, docs)
         gets = [own.get for own in self.kept]
         waiting: list[dict[str, None]] = [{} for _ in self.kept]
         whole: list[list[tuple[bytes, list[str] | None, list]]] = []
@@ -374,10 +523,10 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, seed: int = SEED, variants: int = OWN_SKIPS) -> DataFrame:
     """(id, n_tokens, ids, lossless): one row per row of docs; lossless says that the ids decode to the whole text.
 
-    A null text counts as empty and has no ids. Ids may be null (all draw the same variants) or repeated. Other columns
+    A null text counts as empty and has no ids. Ids may be null (all draw the same skips) or repeated. Other columns
     of docs are ignored.
     """
     spark = docs.sparkSession
@@ -416,7 +565,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     model = spark.sparkContext.broadcast(model_bytes(model_path))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(model.value, RATE, SEED, VARIANTS)
+        e = _encoder(model.value, RATE, SEED, OWN_SKIPS)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.decode(x.as_py() or []) for x in b.column(1)], pa.string())], [id_col, "text"])
 

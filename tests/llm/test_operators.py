@@ -350,6 +350,28 @@ def test_pieces_draw_a_variant_for_each_chunk():
         assert set(drawn) == set(range(e.variants)) and e.decode(np.frombuffer(ids, pieces.ID).tolist()) == text
 
 
+def test_pieces_skip_at_every_occurrence_at_the_rate(spark):
+    n, e = 4000, pieces.Encoder(pieces.model_bytes(MODEL), 0.0)
+    words = [w for w in "abcdefghijklmnopqrstuvwxyz" if len(e.encode([w], [0])[0]) == 1]
+    assert len(words) > 20
+    got = pieces.encode(spark.createDataFrame([(k, " ".join([w] * n)) for k, w in enumerate(words)], "doc_id long, text string"), MODEL).collect()
+    assert all(r["lossless"] and 0.075 < r["n_tokens"] / n - 1 < 0.125 for r in got)
+
+
+def test_pieces_with_own_skips_equal_the_agenda():
+    rng, e = random.Random(6), pieces.Encoder(pieces.model_bytes(MODEL), 0.3, variants=0)
+    for doc in range(30):
+        names = ["".join(rng.choice("theandingoé汉😀\n") for _ in range(rng.choice([1, 2, 3, 5, 8, 12, 23, 24, 40]))) for _ in range(60)]
+        text, state = " ".join(names), xxhash.xxh64_intdigest(f"doc:{doc}", e.seed)
+        keys = pieces._mixed(np.array([state + k & pieces._M64 for k in range(60)], np.uint64)).tolist()
+        want = b"".join(e._hashed(" " + n, key) for n, key in zip(names, keys))
+        odd_ones = ["▁", "▁▁a b▁", "a▁ b", "", None, "  a  b ", "x▁y▁"]
+        got = e.encode([*odd_ones, text, *odd_ones], [*range(100, 107), doc, *range(100, 107)])
+        assert got[7].tobytes() == want
+        assert [x.tolist() for x in got[:7]] == [x.tolist() for x in got[8:]] and [e.decode(x.tolist()) for x in got[:7]] == [t or "" for t in odd_ones]
+    assert len(e.cuts) > 100
+
+
 # Pages
 
 STORY = "This is the text of the story and it was in the paper for all of us to see that it is good and that he was there with the man on the hill. And the text of the rest is here for you to read as it was for us."
