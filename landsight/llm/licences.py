@@ -1,7 +1,9 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised, and known licence sentences get their identifiers. Unknown sentences
-between known ones leave a gap mark. The sequence of identifiers is then matched against ordered licence rules: at each
+A text is cut into sentences and lines, each is normalised, and known licence sentences get their identifiers. A line that
+is unknown alone, or that goes on, is tried together with the lines after it up to the end of its sentence or paragraph,
+so wrapped texts and comment blocks read like unwrapped ones. Unknown sentences between known ones leave a gap mark, the
+numbers of lists do not. The sequence of identifiers is then matched against ordered licence rules: at each
 place the first rule whose sequence stands there wins and uses its sentences up. Texts that hold no word that every
 sentence rule needs are passed over without cutting, which changes nothing in the result.
 """
@@ -81,10 +83,21 @@ RULES = [
     ("Copyright", ["copyright"]),
 ]
 #: Every sentence rule needs one of these.
-_NEEDED = re.compile(r"licen[sc]e|licensed|redistribut|permission|copyright|warrant|rights reserved|public domain|\(c\)|©|released under|distributed under|in no event|without restriction|anyone is free|do what the|compliance")
+_NEEDED = re.compile(r"licen[sc]e|licensed|redistribut|permission|copyright|warrant|rights\W+reserved|public\W+domain|\(c\)|©|released\W+under|distributed\W+under|in\W+no\W+event|without\W+restriction|anyone\W+is\W+free|do\W+what\W+the|compliance")
 _CUT = re.compile(r"\n+|(?<=[^.!?\s][.;])\s+")
+#: Beginnings of sentence rules: lines from which others are joined; those whose rules have no bounded head.
+_START = re.compile(r"(?:\d )?(?:(?:spdx|this|licensed|released|distributed|see|you|unless|the|mit|permission|in|redistributions?|neither|anyone|all|copyright)\b|\(c\)|©)|.*\bdo(?: what\b.*)?$")
+_UNBOUNDED = re.compile(r"(?:\d )?neither the name of |copyright\b|\(c\)|©")
+_UNBOUNDED_END = re.compile(r"(?:19|20)[0-9]{2}|permission$")
+#: Every other rule's sentence, or what it asks of its beginning, is shorter.
+HEAD_CHARS = 600
+#: A list's number or letter.
+_ITEM = re.compile(r"\W*(?:[0-9]{1,2}|[a-zA-Z]|[ivx]{1,4})?[\W_]*")
+#: Identifiers of one line.
+ONE_LINE = frozenset(["spdx", "copyright", "reserved"])
 _NOISE = re.compile(r"[^a-z0-9.+()©]+")
 _RULES = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
+_PATTERN = dict(_RULES)
 GAP = "-"
 
 
@@ -139,14 +152,64 @@ def match_rules(ids: list[tuple[str, dict[str, str]]]) -> list[str]:
 
 def sentences_of(text: str) -> Iterator[tuple[str, dict[str, str]]]:
     """Identifiers of a text's sentences in order, with one gap mark for unknown sentences between."""
-    gap = False
-    for line in _CUT.split(text):
-        found = identify(normalised(line)) if _NEEDED.search(line.lower()) else None
-        if found:
-            yield found
-        elif not gap and line.strip():
+    lines, goes_on, at = [], [], 0
+    for m in _CUT.finditer(text):
+        lines.append(text[at : m.start()])
+        goes_on.append(m[0].count("\n") < 2 and not lines[-1].rstrip().endswith((".", "!", "?")))
+        at = m.end()
+    lines.append(text[at:])
+    goes_on.append(False)
+    kept: dict[int, str] = {}
+    seen: dict[int, tuple[str, dict[str, str], int, str] | None] = {}
+
+    def plain(k: int) -> str:
+        if k not in kept:
+            kept[k] = "" if _ITEM.fullmatch(lines[k]) else normalised(lines[k])
+        return kept[k]
+
+    def begun(i: int) -> tuple[str, dict[str, str], int, str] | None:
+        """The shortest known run of lines from one on: identifier, captures, the line after it, its text."""
+        if i not in seen:
+            seen[i] = None
+            joined, k = plain(i), i
+            if joined and _NEEDED.search(lines[i].lower()) and (found := identify(joined)):
+                seen[i] = *found, i + 1, joined
+            elif goes_on[i] and _START.match(joined):
+                endless = _UNBOUNDED.match(joined)
+                while goes_on[k] and plain(k + 1):
+                    k += 1
+                    joined += " " + plain(k)
+                    endless = endless or _UNBOUNDED.match(joined)
+                    if len(joined) > HEAD_CHARS + len(plain(k)):
+                        if not endless:
+                            break
+                        if not _UNBOUNDED_END.search(plain(k)):
+                            continue
+                    if _NEEDED.search(joined) and (found := identify(joined)):
+                        seen[i] = *found, k + 1, joined
+                        break
+        return seen[i]
+
+    gap, i = False, 0
+    while i < len(lines):
+        if found := begun(i):
+            name, got, i, joined = found
+            k, tail = i, _PATTERN[name].pattern.endswith(".*")
+            while name not in ONE_LINE and goes_on[k - 1] and plain(k) and not begun(k) and (tail or len(joined) <= HEAD_CHARS):
+                k += 1
+                if len(joined) <= HEAD_CHARS:
+                    joined += " " + plain(k - 1)
+                    if m := _PATTERN[name].fullmatch(joined):
+                        got, i = {g: v for g, v in m.groupdict().items() if v}, k
+                else:
+                    i = k
+            yield name, got
+            gap = False
+            continue
+        if plain(i) and not gap:
             yield GAP, {}
-        gap = not found and (gap or bool(line.strip()))
+            gap = True
+        i += 1
 
 
 def scan_text(text: str | None) -> tuple[list[str], list[str]]:

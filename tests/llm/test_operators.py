@@ -418,6 +418,59 @@ def test_licences(spark):
     assert licences.scan(clashing(spark)).count() == len(ODD) and licences.scan(odd(spark).limit(0)).count() == 0
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Jo Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE.""",
+    "BSD-3-Clause": """Copyright (c) 2020, Jo Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "ISC": """Copyright (c) 2020 Jo Doe
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "GPL-3-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see the site.""",
+}
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("name", WRAPPED)
+def test_wrapped_licences(name, prefix):
+    import textwrap
+
+    for width in (60, 72, 80):
+        lines = [x for line in WRAPPED[name].split("\n") for x in textwrap.wrap(line, width) or [""]]
+        text = "Some words before\n\n" + "\n".join(prefix + x for x in lines) + "\n\nand after"
+        assert licences.scan_text(text)[0] == [name]
+    assert licences.scan_text(f"{prefix}no known line\n{prefix}Permission is hereby granted to all\n{prefix}who ask")[0] == []
+
+
+def test_lines_without_end_are_scanned_in_time():
+    import time
+
+    before = time.monotonic()
+    assert licences.scan_text("the licensed software of this\n" * 20_000)[0] == []
+    assert time.monotonic() - before < 60
+
+
 def test_licences_equal_scanning_every_sentence(spark):
     docs = texts(spark, "sf0.01").select("doc_id", "text")
     got = {r["doc_id"]: r["sentences"] for r in licences.scan(docs).collect()}
