@@ -33,6 +33,10 @@ BLOCKS = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
+#: Elements of the above whose content is markup: one that is never closed does not hide the rest of the page.
+MARKUP_INSIDE = frozenset("noscript svg math select object".split())
+#: What may stand in a head; anything else ends it.
+METADATA = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button search head".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
@@ -111,6 +115,8 @@ def blocks_of(html: str) -> list[Block]:
         now = Block(main=article_at >= 0, heading=opened in HEADINGS, item=opened in ITEMS)
 
     def say(chunk: str) -> None:
+        if stack and stack[-1] == "head" and chunk.strip():
+            close(len(stack) - 1)
         if skip_at < 0 and chunk:
             said = unescape(chunk)
             now.parts.append(said)
@@ -140,9 +146,13 @@ def blocks_of(html: str) -> list[Block]:
                 close(len(stack) - 1 - stack[::-1].index(tag))
                 now.main = article_at >= 0
             continue
+        if stack and stack[-1] == "head" and tag not in METADATA:
+            close(len(stack) - 1)
         if tag in RAW and not attributes.endswith("/"):
             end = _raw_end(tag).search(html, at)
             if end is None:
+                if tag in MARKUP_INSIDE:
+                    continue
                 break
             at = end.end()
             continue

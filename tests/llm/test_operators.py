@@ -389,6 +389,15 @@ def test_main_text(html, want):
     assert html_text.main_text(html) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    (f"<html><head><title>x</title><meta charset=utf-8><body><p>{STORY}</p>", STORY), (f"<html><head><title>x</title><p>{STORY}</p>", STORY), ("<head><title>x</title>plain text", "plain text"),
+    ("<head><title>x</title><textarea>t</textarea><p>a</p>", "a"), *((f"<article><p>a</p><{t}><p>b c</p></article>", "a b c") for t in ("svg", "math", "select", "object", "noscript")),
+    ("<article><p>a</p><textarea><p>b", "a"), ("<head><script>x</script><style>y</style></head><p>a", "a"),
+])
+def test_open_heads_and_elements_do_not_hide_the_page(html, want):
+    assert html_text.main_text(html) == want
+
+
 def test_pages_equal_their_articles(spark):
     from html import unescape
 
