@@ -205,7 +205,14 @@ def _aligned(passages: DataFrame, items: list[tuple], id_type: str, item_type: s
         "id", "item", "b.score", "b.n_seeds", (-F.col("b.back")).alias("first_word"), "b.end_word")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how: object) -> DataFrame:
-    """The documents that leak no benchmark item, all columns as they were."""
-    bad = stored(matches(docs, benchmark, id_col, **how).select(F.col(id_col).alias("__landsight_id")).distinct(), "leaks")
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("__landsight_id")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
+    """The documents that leak no benchmark item, all columns as they were.
+
+    Each row is judged by its own text: rows that share an id with a leaking one, or that have none, stay if they are clean.
+    """
+    id_, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    # The id's length ends it, so no two rows of different id or text are hashed from one string.
+    own = F.sha2(F.concat(F.coalesce(F.concat(F.length(id_), F.lit(":"), id_), F.lit("-")), text), 256)
+    rows = docs.select(own.alias("id"), text.alias("text"))
+    bad = stored(matches(rows, benchmark, "id", "text", **how).select(F.col("id").alias("__landsight_id")).distinct(), "leaks")
+    return docs.join(bad, own == F.col("__landsight_id"), "left_anti")

@@ -159,6 +159,14 @@ def test_many_edited_copies_beside_an_exact_one_are_found(spark):
     assert all(abs(got[k] - plain_smith_waterman(item, edited) / (2 * len(item))) < 1e-9 for k in range(1, 1001))
 
 
+def test_clean_documents_that_share_an_id_with_a_leak_stay(spark):
+    item = "one two three four five six seven eight"
+    rows = [(None, f"x {item}"), (None, "a clean text"), (None, None), (1, item), (1, "clean too"), (2, "clean"), (2, "clean"), (12, ":x"), (1, f"y {item} z")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([r for r in rows if not r[1] or item not in r[1]], key=repr)
+
+
 # Quality
 
 
