@@ -1,21 +1,18 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
 The vocabulary is read from a public merge-type SentencePiece model; its path is a parameter. A text is the model's
-space mark, then the text with spaces turned into that mark. No piece holds a mark after another character, so the text
-falls into chunks (marks and what follows them) whose merges cannot interact, and each chunk has its own agenda: the
-possible merges, best score first, leftmost first among equals. A merge that comes up is skipped if a hash keyed by seed
-and variant, of the merge's rank and its number in the agenda, is under the dropout rate; a skipped merge may be proposed
-again when a neighbour changes. Every chunk draws its own skips: the hash is keyed by seed, the document's id, the chunk's
-ordinal and the candidate's number in the agenda (the chunk and the steps before settle which merge that is), so each
-occurrence of a word is cut anew while results depend on nothing but seed, id and text. With rate 0 the ids are those of
-the model's own library.
-
-What is kept of a chunk is its cut without skips and how many candidates that takes; if no skip falls among them it is
-the result. Otherwise the cut for the chunk and the numbers of its skipped candidates is looked up, or made by its agenda.
-
-An ``Encoder`` can also draw one of a fixed number of variants for each chunk, each a table of skips by the merge's rank and
-its number in the agenda. Chunks of a variant are kept once made. Those that a batch of documents lacks are made together: one row each in arrays
-of symbols and of the ranks of adjacent pairs, in which every step takes each row's best candidate.
+space mark, then the text with spaces turned into that mark. No piece holds a mark after another character (checked when a
+model is read), so the text falls into chunks (marks and what follows them) whose merges cannot interact, and each chunk
+has its own agenda: the possible merges, best score first, leftmost first among equals. A merge that comes up is skipped if
+a keyed hash is under the dropout rate; a skipped merge may be proposed again when a neighbour changes. The hash is keyed by
+seed, the document's id, the chunk's ordinal and the candidate's number in the agenda (the chunk and the steps before settle
+which merge that is), so each occurrence of a word is cut anew while results depend on nothing but seed, id and text. With
+rate 0 the ids are those of the model's own library.
+
+What a worker keeps does not depend on the draw: of a chunk, its cut without skips and how many candidates that takes. If no
+skip falls among these, the cut is the result. The other occurrences of a batch run their agendas together, those of one
+chunk with the same skips once: one row each in arrays of symbols and of the ranks of adjacent pairs, in which every step
+takes each row's best candidate. Long chunks and those with characters outside the vocabulary have a heap each.
 
 Characters outside the vocabulary, and marks that stand in the text itself, become byte pieces, so every text decodes
 to itself.
@@ -28,8 +25,7 @@ import heapq
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import compress, repeat
-from operator import call, is_
+from itertools import repeat
 from typing import Any
 
 import numpy as np
@@ -41,22 +37,19 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 MARK = "▁"
-RATE, SEED, VARIANTS = 0.1, 17, 4
-#: Chunks kept per worker: the first ones seen for good, later ones until their number is reached; the longest that is kept.
-KEPT_FIRST, KEPT_LATER, KEPT_CHARS = 300_000, 100_000, 24
+RATE, SEED = 0.1, 17
+#: Chunks kept per worker, and the length from which none is.
+KEPT, KEPT_CHARS = 400_000, 24
 #: Characters of texts that are encoded together: bounds a worker's memory (a longer text is taken alone).
 TOGETHER = 4_000_000
-#: Chunks up to so many characters are merged without a heap, and those that can be kept in arrays.
-SCANNED = 32
-#: Variants: none, every chunk draws its own skips. Cuts with skips that are kept per worker, the numbers of candidates past
-#: those of the plain cut that are drawn in arrays, and up to which a chunk's skips are held as the bits of a number.
-OWN_SKIPS, KEPT_CUTS, AHEAD, DRAWN = 0, 400_000, 4, 62
-#: Rank of a pair that is no piece, and the size of the keyed table of skips (a power of two) less one.
-NEVER, SKIP_MASK = 1 << 30, (1 << 16) - 1
+#: Rows of one array of agendas (what a processor's cache holds); fewer chunks of a length than the least have a heap each.
+ROWS, LEAST_ROWS = 8_192, 24
+#: Candidates past those of the cut without skips whose skips are drawn at once, and the bits that hold a chunk's skips.
+AHEAD, SKIP_BITS = 4, KEPT_CHARS + 4
+#: Rank of a pair that is no piece.
+NEVER = 1 << 30
 #: How ids are kept.
 ID = np.dtype("<i4")
-#: Steps of the candidate number in the table of skips.
-STRIDE = 7919
 _CHUNK = re.compile(" +[^ ]*|[^ ]+")
 
 
@@ -89,44 +82,13 @@ class Vocabulary:
         self.rank = {piece: place[s] for piece, s in scores.items()}
         if 0 in self.bytes_at:
             raise ValueError("the model has no byte pieces: texts would not decode to themselves")
+        if any(" " in piece.lstrip(" ") for piece in self.ids):
+            raise ValueError("a piece holds a space mark after another character: chunks would not be independent")
 
     def bytes_of(self, text: str) -> list[int]:
         return [self.bytes_at[b] for b in text.encode()]
 
 
-def merged(chunk: str, score: dict[str, int], skipped: bytes) -> list[str]:
-    """The pieces of one chunk: an agenda of merges by rank and place; a candidate is skipped if its keyed bit says so.
-
-    ``skipped`` holds keyed-hash bits, looked up by the merge's rank and the number of the candidate in the agenda.
-    Short chunks keep the agenda as the ranks of adjacent pairs, long ones as a heap; the order is the same.
-    """
-    if len(chunk) > SCANNED:
-        return _merged_by_heap(chunk, score, skipped)
-    get, turn = score.get, 0
-    parts = [*chunk]
-    ranks = [get(x + y, NEVER) for x, y in zip(parts, parts[1:])]
-    while ranks:
-        best = min(ranks)
-        if best == NEVER:
-            break
-        i = ranks.index(best)
-        turn += STRIDE
-        if skipped[best + turn & SKIP_MASK]:
-            ranks[i] = NEVER
-            continue
-        parts[i] += parts.pop(i + 1)
-        del ranks[i]
-        if i < len(ranks):
-            ranks[i] = get(parts[i] + parts[i + 1], NEVER)
-        if i:
-            ranks[i - 1] = get(parts[i - 1] + parts[i], NEVER)
-    return parts
-
-
-def _merged_by_heap(chunk: str, score: dict[str, int], skipped: bytes) -> list[str]:
-    return _agenda(chunk, score, lambda rank, turn: skipped[rank + turn * STRIDE & SKIP_MASK])[0]
-
-
 def _agenda(chunk: str, score: dict[str, int], skip: Callable[[int, int], int]) -> tuple[list[str], int]:
     """The pieces of a chunk and the number of candidates that came up; skip says by rank and number, from 1, which are skipped."""
     n, turn = len(chunk), 0
@@ -180,306 +142,240 @@ def _hashes(keys: np.ndarray, turn: np.ndarray) -> np.ndarray:
 class Pairs:
     """The pairs of pieces that merge to a piece: an open-addressing table that arrays are looked up in."""
 
-    BITS = 20
-
     def __init__(self, v: Vocabulary) -> None:
-        self.width = len(v.text) + 1
+        self.none = len(v.text)  # no symbol: in no pair
+        self.width = self.none + 1
         found = {}
         for piece, rank in v.rank.items():
             for k in range(1, len(piece)):
                 if (a := v.ids.get(piece[:k])) is not None and (b := v.ids.get(piece[k:])) is not None:
                     found[a * self.width + b] = (rank, v.ids[piece])
-        self.bits = max(self.BITS, (2 * len(found)).bit_length() + 1)
+        self.bits = (2 * len(found)).bit_length() + 1
         size = 1 << self.bits
-        self.key, self.rank, self.made = np.full(size, -1, np.int64), np.full(size, NEVER, np.int64), np.zeros(size, np.int64)
+        self.key, self.rank, self.made = np.full(size, -1, np.int64), np.full(size, NEVER, np.int32), np.zeros(size, np.int32)
         keys = np.array([*found], np.int64)
         for key, at, (rank, made) in zip(keys.tolist(), self._slot(keys).tolist(), found.values()):
             while self.key[at] >= 0:
                 at = (at + 1) & (size - 1)
             self.key[at], self.rank[at], self.made[at] = key, rank, made
         points = [(ord(p), i) for p, i in v.ids.items() if len(p) == 1]
-        self.char = np.full(max((c for c, _ in points), default=128) + 2, -1, np.int64)
+        self.char = np.full(max((c for c, _ in points), default=128) + 2, self.none, np.int64)
         self.char[:128] = v.bytes_at[:128]  # a byte piece merges with nothing
         for c, i in points:
             self.char[c] = i
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+            return ((keys.astype(np.uint64) * np.uint64(_STEP)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and merged piece of each pair; NEVER where it is none or b is absent (negative)."""
-        keys = np.where(b < 0, -2, a * self.width + b)
+        """Rank and merged piece of each pair; NEVER where it is none."""
+        keys = a * self.width + b
         at = self._slot(keys)
-        rest = np.flatnonzero((self.key[at] != keys) & (self.key[at] >= 0))
+        got = self.key[at]
+        rest = np.flatnonzero((got != keys) & (got >= 0))
         while len(rest):
             at[rest] = (at[rest] + 1) & (len(self.key) - 1)
             got = self.key[at[rest]]
             rest = rest[(got != keys[rest]) & (got >= 0)]
-        hit = self.key[at] == keys
-        return np.where(hit, self.rank[at], NEVER), self.made[at]
+        return np.where(self.key[at] == keys, self.rank[at], np.int32(NEVER)), self.made[at]
+
+    def cut(self, chunks: list[str], skip: Callable[[np.ndarray, int], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunks of one length: the ids of all one after another, how many each has, the candidates that came up in each.
 
-    def merged(self, chunks: list[str], skipped: np.ndarray) -> list[bytes | None]:
-        """Ids (as ``ID`` numbers) of chunks of one length, as ``merged`` gives them; None for a chunk with a character outside the vocabulary."""
+        ``skip`` says of numbers of chunks and a candidate's number, from 1, which are skipped. A chunk with a character
+        outside the vocabulary has no ids and -1 candidates.
+        """
+        parts = [self._cut(chunks[k : k + ROWS], k, skip) for k in range(0, len(chunks), ROWS)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _cut(self, chunks: list[str], first: int, skip: Callable[[np.ndarray, int], np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, size = len(chunks), len(chunks[0])
+        wide = size + 2  # every row stands between two places without a symbol
         points = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).reshape(n, size)
-        s = self.char[np.minimum(points, len(self.char) - 1)]
-        out: list[bytes | None] = [None] * n
-        rows = np.flatnonzero((s >= 0).all(1))
-        s = s[rows]
-        done: list[tuple[np.ndarray, np.ndarray]] = []
+        symbols = np.full((n, wide), self.none, np.int64)
+        symbols[:, 1:-1] = self.char[np.minimum(points, len(self.char) - 1)]
+        strange = (symbols[:, 1:-1] == self.none).any(1)
+        symbols[strange] = self.none
+        turns = np.where(strange, -1, 0)
+        ranks, made = np.full((n, wide), NEVER, np.int32), np.zeros((n, wide), np.int32)
+        s, r, m = symbols.ravel(), ranks.ravel(), made.ravel()
+        after = np.arange(1, n * wide + 1)  # the symbols beside each one
+        before = after - 2
         if size > 1:
-            r, m = (x.reshape(len(rows), size - 1) for x in self.find(s[:, :-1].ravel(), s[:, 1:].ravel()))
-            col, turn = np.arange(size), 0
-            while len(rows):
-                every = np.arange(len(rows))
-                j = r.argmin(1)
-                best = r[every, j]
-                if (over := best == NEVER).any():
-                    done.append((rows[over], s[over]))
-                    live = ~over
-                    rows, s, r, m, j, best = (x[live] for x in (rows, s, r, m, j, best))
-                    every = every[: len(rows)]
-                turn += STRIDE
-                skip = skipped[best + turn & SKIP_MASK]
-                r[every[skip], j[skip]] = NEVER
-                at = every[~skip]
-                k = j[~skip]
-                if not len(at):
-                    continue
-                s[at, k] = m[at, k]
-                after = col + (col > k[:, None])
-                kept = s[at]
-                s[at] = np.where(after < size, np.take_along_axis(kept, np.minimum(after, size - 1), 1), -1)
-                after = np.minimum(after[:, :-1], size - 2)
-                r_at, m_at = np.take_along_axis(r[at], after, 1), np.take_along_axis(m[at], after, 1)
-                r_at[:, -1] = NEVER
-                here = np.arange(len(at))
-                for left, ok in ((k - 1, k > 0), (k, k < size - 1)):
-                    i, c = here[ok], left[ok]
-                    r_at[i, c], m_at[i, c] = self.find(s[at[i], c], s[at[i], c + 1])
-                r[at], m[at] = r_at, m_at
-        done.append((rows, s))
-        for which, ids in done:
-            real = ids >= 0
-            flat, edges = ids[real].astype(ID).tobytes(), np.concatenate(([0], 4 * real.sum(1).cumsum())).tolist()
-            for row, a, b in zip(which.tolist(), edges, edges[1:]):
-                out[row] = flat[a:b]
-        return out
+            ranks[:, 1:-2], made[:, 1:-2] = (x.reshape(n, size - 1) for x in self.find(symbols[:, 1:-2].ravel(), symbols[:, 2:-1].ravel()))
+        live, turn = np.flatnonzero(~strange), 0
+        while len(live):
+            at = ranks[live].argmin(1) + live * wide
+            some = r[at] < NEVER
+            live, at, turn = live[some], at[some], turn + 1
+            turns[live] = turn
+            if skip is not None:
+                skipped = skip(live + first, turn)
+                r[at[skipped]] = NEVER
+                at = at[~skipped]
+            gone = after[at]
+            nxt = after[gone]
+            s[at], s[gone], r[gone] = m[at], self.none, NEVER
+            after[at], before[nxt] = nxt, at
+            left, right = np.concatenate((before[at], at)), np.concatenate((at, nxt))
+            r[left], m[left] = self.find(s[left], s[right])
+        kept = symbols != self.none
+        return symbols[kept].astype(ID), kept.sum(1), turns
 
 
 class Encoder:
-    """Encodes and decodes texts; keeps the ids of short chunks. A chunk is named by what follows its first space."""
+    """Encodes and decodes texts; keeps the cuts without skips of short chunks. A chunk is named by what follows its first space."""
 
-    def __init__(self, model: bytes, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> None:
+    def __init__(self, model: bytes, rate: float = RATE, seed: int = SEED) -> None:
         if not 0 <= rate < 1:
             raise ValueError("the dropout rate is at least 0 and under 1")
-        if not 0 <= variants <= 256:
-            raise ValueError("there are 1 to 256 variants, or 0 for skips of every chunk's own")
-        self.own_skips = bool(rate) and variants == OWN_SKIPS
-        self.vocabulary, self.seed, self.variants = Vocabulary(model), seed, variants if rate and variants else 1
+        self.vocabulary, self.seed, self.limit = Vocabulary(model), seed, int(rate * (1 << 64))
         self.pairs = Pairs(self.vocabulary)
-        self.limit = limit = int(rate * (1 << 64))
-        self.plain: dict[str, tuple[bytes, int]] = {}
-        self.cuts: dict[tuple[str, int], tuple[bytes, int]] = {}
-        self.skipped = [bytes(SKIP_MASK + 1)] if self.own_skips else [bytes(xxhash.xxh64_intdigest(f"{v}:{k}", seed) < limit for k in range(SKIP_MASK + 1)) for v in range(self.variants)]
-        self.skips = np.array([np.frombuffer(x, np.bool_) for x in self.skipped])
-        self.kept: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.later: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def chunk(self, chunk: str, variant: int) -> bytes:
-        """Ids of one whole chunk."""
-        return self._coded(merged(chunk, self.vocabulary.rank, self.skipped[variant]))
-
-    def _coded(self, parts: list[str]) -> bytes:
+        self.mark = np.array(self.vocabulary.bytes_of(MARK), ID)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Keeps nothing but an empty cut, number 0."""
+        self.number: dict[str, int] = {}
+        self.ids, self.start, self.count, self.steps = np.zeros(0, ID), *(np.zeros(1, np.int64) for _ in range(3))
+
+    def _coded(self, parts: list[str]) -> np.ndarray:
         v = self.vocabulary
         out: list[int] = []
         for p in parts:
             i = v.ids.get(p)
             out += v.bytes_of(p) if i is None else (i,)
-        return np.array(out, ID).tobytes()
+        return np.array(out, ID)
 
-    def make(self, names: list[str], variant: int) -> dict[str, bytes]:
-        """Ids of the chunks of these names, which are kept."""
-        own, later = self.kept[variant], self.later[variant]
-        out: dict[str, bytes] = {}
-        by: dict[int, list[str]] = {}
-        for name in names:
-            if (found := later.get(name)) is not None:
-                out[name] = found
-            elif len(name) < KEPT_CHARS:
-                by.setdefault(len(name), []).append(name)
-            else:
-                out[name] = self.chunk(" " + name, variant)
-        for group in by.values():
-            ids = self.pairs.merged([" " + name for name in group], self.skips[variant])
-            new = {n: self.chunk(" " + n, variant) if x is None else x for n, x in zip(group, ids)}
-            out |= new
-            if len(own) * self.variants < KEPT_FIRST:
-                own |= new
-            else:
-                if len(later) * self.variants >= KEPT_LATER:
-                    later.clear()
-                later |= new
-        return out
-
-    def _drawn(self, state: int, turn: int, n: int) -> bytes:
-        """Variants of n chunks from ordinal ``turn`` on, by a keyed mix of document and ordinal."""
-        if self.variants == 1:
-            return bytes(n)
-        with np.errstate(over="ignore"):
-            x = (np.arange(turn + 1, turn + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(state)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return ((x >> np.uint64(33)) % np.uint64(self.variants)).astype(np.uint8).tobytes()
-
-    def _hashed(self, chunk: str, key: int) -> bytes:
-        """Ids of a chunk whose skips are hashed one by one."""
+    def hashed(self, chunk: str, key: int) -> np.ndarray:
+        """Ids of one whole chunk, its skips hashed one by one."""
         return self._coded(_agenda(chunk, self.vocabulary.rank, lambda _, turn: _hash_at(key, turn) < self.limit)[0])
 
-    def _cut(self, name: str, bits: int, steps: int, key: int) -> bytes:
-        """Ids of a chunk some of whose first ``steps`` + AHEAD candidates are skipped: those of the bits set."""
-        known, used, cuts = steps + AHEAD, 0, self.cuts
-        while True:
-            low = bits & (1 << steps) - 1
-            if low == used:
-                return ids
-            rest = low & ~used
-            used |= rest & -rest
-            found = cuts.get((name, used))
-            if found is None:
-                parts, n = _agenda(" " + name, self.vocabulary.rank, lambda _, turn: used >> turn - 1 & 1)
-                if len(cuts) >= KEPT_CUTS:
-                    cuts.clear()
-                found = cuts[name, used] = self._coded(parts), n
-            ids, steps = found
-            if steps > DRAWN:
-                return self._hashed(" " + name, key)
-            for turn in range(known, steps):
-                bits |= (_hash_at(key, turn + 1) < self.limit) << turn
-            known = max(known, steps)
-
-    def _plain(self, names: list[str]) -> dict[str, tuple[bytes, int]]:
-        """Cuts without skips and the candidates that they take, kept if short."""
-        out: dict[str, tuple[bytes, int]] = {}
+    def _learn(self, names: list[str]) -> None:
+        """Keeps the cuts without skips of the chunks of these names, none of which is kept yet."""
         by: dict[int, list[str]] = {}
         for name in names:
             by.setdefault(len(name), []).append(name)
-        for size, group in by.items():
-            for name, ids in zip(group, self.pairs.merged([" " + name for name in group], self.skips[0])):
-                if ids is None:
-                    parts, n = _agenda(" " + name, self.vocabulary.rank, lambda _, turn: 0)
-                    out[name] = self._coded(parts), n
-                else:
-                    out[name] = ids, size + 1 - len(ids) // ID.itemsize
-        if len(self.plain) >= KEPT_FIRST + KEPT_LATER:
-            self.plain.clear()
-        self.plain |= out
-        return out
-
-    def _encode_own(self, texts: list[str | None], docs: list[Any]) -> list[np.ndarray]:
-        """As ``encode``, with skips that every chunk draws by its document and ordinal."""
-        mark = np.array(self.vocabulary.bytes_of(MARK), ID).tobytes()
-        names: list[str] = []  # of all texts; what stands between them by place
-        between: dict[int, list[tuple[bytes, str | None, int]]] = {}
+        order, ids, counts, steps = [], [self.ids], [], []
+        for group in by.values():
+            flat, n, turns = self.pairs.cut([" " + name for name in group])
+            known = turns >= 0
+            ids.append(flat)
+            counts.append(n[known])
+            steps.append(turns[known])
+            order += group if known.all() else [x for x, ok in zip(group, known) if ok]
+            for k in np.flatnonzero(~known):
+                parts, n = _agenda(" " + group[k], self.vocabulary.rank, lambda _, turn: 0)
+                ids.append(self._coded(parts))
+                counts.append([len(ids[-1])])
+                steps.append([n])
+                order.append(group[k])
+        first = len(self.start)
+        count = np.concatenate(counts)
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count) - count))
+        self.count, self.steps, self.ids = np.concatenate((self.count, count)), np.concatenate((self.steps, *steps)), np.concatenate(ids)
+        self.number.update(zip(order, range(first, first + len(order))))
+
+    def _named(self, text: str) -> Iterator[tuple[str | None, str | None]]:
+        """The items of a text in order: (name of a chunk, None), or (None, a chunk without a space), or (None, None) for a mark."""
+        for k, part in enumerate(text.split(MARK)):
+            if k:
+                yield None, None
+                first = _CHUNK.match(part)
+                if first and first[0][0] != " ":
+                    yield None, first[0]
+                    part = part[first.end() :]
+                if not part:
+                    continue
+            else:
+                part = " " + part
+            for c in _CHUNK.findall(part):
+                yield c[1:], None
+
+    def encode(self, texts: list[str | None], docs: list[Any]) -> list[np.ndarray]:
+        """Ids of each text; none for a null or empty one. docs: the ids that the skips are keyed by."""
+        if len(self.number) > KEPT:
+            self._forget()
+        names: list[str | None] = []  # of all texts; None: an item of its own sort
+        bare: dict[int, str | None] = {}
         edges, states = [0], []
         for text, doc in zip(texts, docs):
-            state, turn = xxhash.xxh64_intdigest(f"doc:{doc}", self.seed), 0
-            states.append((state, len(names)))
-            for k, part in enumerate(text.split(MARK) if text else ()):
-                if k:
-                    between.setdefault(len(names), []).append((mark, None, 0))
-                    first = _CHUNK.match(part)
-                    if first and first[0][0] != " ":
-                        # Of an ordinal counted from the end, which no other chunk has.
-                        turn -= 1
-                        between[len(names)].append((b"", first[0], state + turn & _M64))
-                        part = part[first.end() :]
-                    if not part:
-                        continue
-                else:
-                    part = " " + part
-                names += [c[1:] for c in _CHUNK.findall(part)] if "  " in part else part[1:].split(" ")
+            states.append(xxhash.xxh64_intdigest(f"doc:{doc}", self.seed))
+            if text and MARK in text:
+                for name, chunk in self._named(text):
+                    if name is None:
+                        bare[len(names)] = chunk
+                    names.append(name)
+            elif text:
+                names += [c[1:] for c in _CHUNK.findall(" " + text)] if "  " in text or text[0] == " " else text.split(" ")
             edges.append(len(names))
-            if text and between.get(len(names)):
-                names.append("")
-                between.setdefault(len(names) - 1, []).append((b"", None, -1))
-                edges[-1] = len(names)
-        n = len(names)
-        sizes = np.diff(np.array(edges, np.int64))
-        ordinal = np.arange(n) - np.repeat(np.array(edges[:-1], np.int64), sizes)
+        n, bounds = len(names), np.array(edges, np.int64)
+        sizes = np.diff(bounds)
         with np.errstate(over="ignore"):
-            keys = _mixed(np.repeat(np.array([s for s, _ in states], np.uint64), sizes) + ordinal.astype(np.uint64))
-        got = [*map(self.plain.get, names)]
-        long = [k for k, x in enumerate(got) if x is None and len(names[k]) >= KEPT_CHARS]
-        for k in long:
-            got[k] = self._hashed(" " + names[k], int(keys[k])), 0
-        if None in got:
-            made = self._plain([*dict.fromkeys(compress(names, map(is_, got, repeat(None))))])
-            got = [made[name] if x is None else x for name, x in zip(names, got)]
-        ids = [x[0] for x in got]
-        steps = np.fromiter((x[1] for x in got), np.int64, n)
-        bits = np.zeros(n, np.int64)
+            keys = _mixed(np.repeat(np.array(states, np.uint64), sizes) + (np.arange(n) - np.repeat(bounds[:-1], sizes)).astype(np.uint64))
+        got = np.fromiter(map(self.number.get, names, repeat(0)), np.int64, n)
+        lacking = np.flatnonzero(got == 0).tolist()
+        if new := dict.fromkeys(x for k in lacking if (x := names[k]) is not None and len(x) < KEPT_CHARS):
+            self._learn([*new])
+        alone: dict[int, np.ndarray] = {}
+        for k in lacking:
+            if (name := names[k]) is None:
+                alone[k] = self.mark if bare[k] is None else self.hashed(bare[k], int(keys[k]))
+            elif len(name) < KEPT_CHARS:
+                got[k] = self.number[name]
+            else:
+                alone[k] = self.hashed(" " + name, int(keys[k]))
+        start, count = self.start[got], self.count[got]
+        pool = [self.ids]
+        if self.limit:
+            self._skip(names, keys, got, start, count, pool, alone)
+        at = sum(map(len, pool))
+        for k, ids in alone.items():
+            start[k], count[k] = at, len(ids)
+            at += len(ids)
+        end = np.cumsum(count)
+        where = np.repeat(start - end + count, count) + np.arange(end[-1] if n else 0)
+        whole = np.concatenate((*pool, *alone.values()))[where]
+        cuts = np.concatenate(([0], end))[bounds].tolist()
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _skip(self, names: list, keys: np.ndarray, got: np.ndarray, start: np.ndarray, count: np.ndarray, pool: list[np.ndarray], alone: dict[int, np.ndarray]) -> None:
+        """Draws the skips of all chunks; the cuts of those that have any go to the pool (or stand alone), their places to start and count."""
+        limit, steps, bits = np.uint64(self.limit), self.steps[got], np.zeros(len(got), np.int64)
         rows, turn = np.flatnonzero(steps), 0
         while len(rows):
-            hit = rows[_hashes(keys[rows], np.full(1, turn + 1)) < np.uint64(self.limit)]
+            hit = rows[_hashes(keys[rows], np.full(1, turn + 1)) < limit]
             bits[hit] |= 1 << turn
             turn += 1
             rows = rows[steps[rows] > turn]
         some = np.flatnonzero(bits)
         for k in range(AHEAD):
             turns = steps[some] + k
-            bits[some] |= (_hashes(keys[some], turns + 1) < np.uint64(self.limit)).astype(np.int64) << turns
-        cut = self._cut
-        for k, b, s, key in zip(some.tolist(), bits[some].tolist(), steps[some].tolist(), keys[some].tolist()):
-            ids[k] = cut(names[k], b, s, key)
-        for k, added in between.items():
-            whole = b"".join(x if own is None else self._hashed(own, int(_mixed(np.array([key], np.uint64))[0])) for x, own, key in added)
-            ids[k] = whole + (b"" if added[-1][2] == -1 else ids[k])
-        return [np.frombuffer(b"".join(ids[a:b]), ID) for a, b in zip(edges, edges[1:])]
+            bits[some] |= (_hashes(keys[some], turns + 1) < limit).astype(np.int64) << turns
+        # Occurrences of a chunk that skip the same candidates share a cut.
+        _, heads, owner = np.unique(got[some] << SKIP_BITS | bits[some], return_index=True, return_inverse=True)
+        heads = some[heads]
+        skips, drawn = bits[heads], steps[heads] + AHEAD
+        wanted = [" " + names[k] for k in heads.tolist()]
+        lengths = np.fromiter(map(len, wanted), np.int64, len(wanted))
+        place, size, short = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64), np.ones(len(heads), bool)
+        order = np.argsort(lengths, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            if len(group) < LEAST_ROWS:
+                continue
 
-    def encode(self, texts: list[str | None], docs: list[Any]) -> list[np.ndarray]:
-        """Ids of each text; none for a null or empty one. docs: what the skips or variants of its chunks are drawn by."""
-        if self.own_skips:
-            return self._encode_own(texts, docs)
-        gets = [own.get for own in self.kept]
-        waiting: list[dict[str, None]] = [{} for _ in self.kept]
-        whole: list[list[tuple[bytes, list[str] | None, list]]] = []
-        mark = np.array(self.vocabulary.bytes_of(MARK), ID).tobytes()
-        for text, doc in zip(texts, docs):
-            parts: list[tuple[bytes, list[str] | None, list]] = []
-            state, turn = xxhash.xxh64_intdigest(f"doc:{doc}", self.seed), 0
-            for k, part in enumerate(text.split(MARK) if text else ()):
-                if k:
-                    parts.append((b"", None, [mark]))
-                    first = _CHUNK.match(part)
-                    if first and first[0][0] != " ":
-                        parts.append((b"", None, [self.chunk(first[0], self._drawn(state, turn, 1)[0])]))
-                        turn += 1
-                        part = part[first.end() :]
-                    if not part:
-                        continue
-                else:
-                    part = " " + part
-                names = [c[1:] for c in _CHUNK.findall(part)] if "  " in part else part[1:].split(" ")
-                drawn = self._drawn(state, turn, len(names))
-                turn += len(names)
-                got = [*map(call, map(gets.__getitem__, drawn), names)]
-                if None in got:
-                    for v, name in compress(zip(drawn, names), map(is_, got, repeat(None))):
-                        waiting[v][name] = None
-                parts.append((drawn, names, got))
-            whole.append(parts)
-        made = [self.make([*names], v) for v, names in enumerate(waiting)]
-        out = []
-        for parts in whole:
-            ids: list[bytes] = []
-            for drawn, names, got in parts:
-                if names and None in got:
-                    got = [made[v][name] if x is None else x for v, name, x in zip(drawn, names, got)]
-                ids += got
-            out.append(np.frombuffer(b"".join(ids), ID))
-        return out
+            def skip(k: np.ndarray, turn: int, own: np.ndarray = group) -> np.ndarray:
+                k = own[k]
+                return (drawn[k] >= turn) & (skips[k] >> min(turn - 1, 62) & 1 > 0)
+
+            flat, n, turns = self.pairs.cut([wanted[k] for k in group.tolist()], skip)
+            place[group] = sum(map(len, pool)) + np.cumsum(n) - n
+            size[group], short[group] = n, (turns < 0) | (turns > drawn[group])
+            pool.append(flat)
+        start[some], count[some] = place[owner], size[owner]
+        for k in some[short[owner]].tolist():
+            alone[k] = self.hashed(" " + names[k], int(keys[k]))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids that ``encode`` made."""
@@ -501,9 +397,9 @@ class Encoder:
 
 
 @cache
-def _encoder(model: bytes, rate: float, seed: int, variants: int) -> Encoder:
+def _encoder(model: bytes, rate: float, seed: int) -> Encoder:
     """One per worker process: what it keeps outlives a task."""
-    return Encoder(model, rate, seed, variants)
+    return Encoder(model, rate, seed)
 
 
 def _together(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -523,7 +419,7 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, seed: int = SEED, variants: int = OWN_SKIPS) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, seed: int = SEED) -> DataFrame:
     """(id, n_tokens, ids, lossless): one row per row of docs; lossless says that the ids decode to the whole text.
 
     A null text counts as empty and has no ids. Ids may be null (all draw the same skips) or repeated. Other columns
@@ -534,7 +430,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     model = spark.sparkContext.broadcast(model_bytes(model_path))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(model.value, rate, seed, variants)
+        e = _encoder(model.value, rate, seed)
         for b in batches:
             sizes, whole, flat = [0], [], []
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -565,7 +461,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     model = spark.sparkContext.broadcast(model_bytes(model_path))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(model.value, RATE, SEED, OWN_SKIPS)
+        e = _encoder(model.value, RATE, SEED)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.decode(x.as_py() or []) for x in b.column(1)], pa.string())], [id_col, "text"])
 
