@@ -82,5 +82,5 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op9_exact_topk": OP9_SQL, "op10_chat_formatting": chat.oracle_sql()}
+    found = {"op5_secret_scan": secrets.oracle_sql(), "op9_exact_topk": OP9_SQL, "op10_chat_formatting": chat.oracle_sql()}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -4,8 +4,9 @@ Positions come from splitting a text at a pattern: the pieces between the matche
 so running sums of their lengths are the offsets, in code points. The entropy scan takes every long run of token
 characters outside the pattern matches. A window slides over the run; the counts of the characters in it and the sum of
 count * log2(count) are kept up to date by adding one character and removing one, so a step costs the alphabet's size
-whatever the window. The threshold depends on the run's character class. Allow-listed runs (placeholders, plain words,
-plain numbers, UUIDs, ordered alphabets, paths of words) are suppressed; pattern matches never are.
+whatever the window. The threshold depends on the run's character class. Allow-listed runs (placeholders, words in ordinary
+spelling, plain numbers, UUIDs, ordered alphabets, paths of words) are suppressed; pattern matches never are. A long run is
+worked on in parts that overlap by a window, and its first part that reaches the threshold settles it.
 
 There is no Python on the executors and no shuffle. What a text's matches need of each other (offsets, overlaps, masked
 pieces) is worked out in blocks of ``BLOCK`` matches, so that texts with very many matches stay affordable.
@@ -14,6 +15,7 @@ pieces) is worked out in blocks of ``BLOCK`` matches, so that texts with very ma
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -34,16 +36,18 @@ WINDOW = 20
 #: Alphabet of the counts; other letters cannot occur in a run.
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 #: (character class, pattern of the whole run, least entropy of a window in bits); the first class that fits holds.
-CLASSES = [("hex", r"^[0-9a-fA-F]+$", 3.0), ("alnum", r"^[0-9A-Za-z]+$", 3.6), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.8)]
-#: Runs that are no secrets whatever their entropy.
+CLASSES = [("hex", r"^[0-9a-fA-F]+$", 3.0), ("alpha", r"^[A-Za-z]+$", 3.8), ("alnum", r"^[0-9A-Za-z]+$", 3.6), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.8)]
+#: Runs that are no secrets whatever their entropy. Repeats are possessive: a group that gives back takes stack for each turn.
 ALLOWED = [
-    r"(?i)example|sample|dummy|placeholder|changeme|redacted|xxxx|your[_-]",
-    r"^[^0-9]+$",
+    r"(?i)(?:^|[+/_=-])(?:example|sample|dummy|placeholder|changeme|redacted|your)(?:[+/_=-]|$)|example(?:key)?$|xxxxxx",
+    r"^[+/_=-]*+(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)[+/_=-]*+)++$",
     r"^[0-9+/_=-]+$",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)0123456789|abcdefghij",
-    r"^/?([A-Za-z]+[0-9]{0,2}[/_-]+)+[A-Za-z]*[0-9]{0,2}$",
+    r"(?i)(?:^|=)(?:0123456789|1234567890|abcdefghij)",
+    r"^/?(?:[A-Za-z]++[0-9]{0,2}+[/_-]++)++[A-Za-z]*+[0-9]{0,2}+$",
 ]
+#: Characters of a run that are worked on together.
+PART = 1_024
 SPAN = "struct<start:int,rank:int,end:int,kind:string,said:string>"
 #: Matches that are worked on together.
 BLOCK = 256
@@ -90,33 +94,46 @@ def located(text: Column, pattern: str, group: int, least: int, kind: str, rank:
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
-def window_entropy(run: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of any window of so many characters (the whole run if it is shorter)."""
-    codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+def window_entropy(codes: Column, window: int = WINDOW) -> Column:
+    """The highest Shannon entropy, in bits, of any window of so many of an array of ALPHABET's numbers; 0 for a shorter one."""
     xlog = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
 
     def moved(acc: Column, code: Column, by: int) -> Column:
         old = F.get(acc["counts"], code)
         return F.struct(
             F.transform(acc["counts"], lambda n, k: F.when(k == code, n + by).otherwise(n)).alias("counts"),
-            (acc["sum"] + xlog(old + by) - xlog(old)).alias("sum"), acc["best"].alias("best"), acc["codes"].alias("codes"))
+            (acc["sum"] + xlog(old + by) - xlog(old)).alias("sum"), acc["best"].alias("best"))
 
-    def step(acc: Column, i: Column) -> Column:
-        after = moved(acc, F.get(acc["codes"], i), 1)
-        slid = F.when(i >= window, moved(after, F.get(acc["codes"], i - window), -1)).otherwise(after)
+    def step(acc: Column, x: Column) -> Column:
+        after = moved(acc, x["code"], 1)
+        slid = F.when(x["gone"] >= 0, let(after, lambda a: moved(a, x["gone"], -1))).otherwise(after)
         entropy = F.lit(math.log2(window)) - slid["sum"] / window
-        best = F.when((i >= window - 1) & (entropy > slid["best"]), entropy).otherwise(slid["best"])
-        return F.struct(slid["counts"].alias("counts"), slid["sum"].alias("sum"), best.alias("best"), slid["codes"].alias("codes"))
+        best = F.when((x["gone"] > -2) & (entropy > slid["best"]), entropy).otherwise(slid["best"])
+        return F.struct(slid["counts"].alias("counts"), slid["sum"].alias("sum"), best.alias("best"))
+
+    # Each character with the one that leaves the window: -1 when the first window is full, -2 before.
+    steps = F.transform(codes, lambda c, i: F.struct(c.alias("code"), F.when(i >= window, F.get(codes, i - window)).when(i == window - 1, F.lit(-1)).otherwise(F.lit(-2)).alias("gone")))
+    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    return F.aggregate(steps, zero, step, lambda acc: acc["best"])
 
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), codes.alias("codes"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), zero, step, lambda acc: acc["best"])
+
+def parts_of(run: Column, window: int = WINDOW, size: int = PART) -> Column:
+    """A run cut into parts, each followed by the next one's first characters, so that every window lies in one."""
+    return let(F.regexp_extract_all(run, F.lit(f".{{1,{size}}}"), F.lit(0)), lambda parts: F.transform(
+        parts, lambda p, i: F.concat(p, F.coalesce(F.substr(F.get(parts, i + 1), F.lit(1), F.lit(window - 1)), F.lit("")))))
 
 
 def suspicious(run: Column) -> Column:
     """Whether a run's windows reach its class's entropy and no allow-list entry suppresses it."""
     allowed = reduce(Column.__or__, (run.rlike(p) for p in ALLOWED))
     least = reduce(lambda acc, c: acc.when(run.rlike(c[1]), F.lit(c[2])), CLASSES[1:], F.when(run.rlike(CLASSES[0][1]), F.lit(CLASSES[0][2])))
-    return F.when(allowed, F.lit(False)).otherwise(window_entropy(run) >= least)
+
+    def reached(part: Column, bits: Column) -> Column:
+        codes = F.transform(F.split(part, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+        # A window's entropy is at most the logarithm of the number of characters it can draw on.
+        return let(codes, lambda x: F.when(F.log2(F.size(F.array_distinct(x))) < bits, F.lit(False)).otherwise(window_entropy(x) >= bits))
+
+    return F.when(allowed, F.lit(False)).otherwise(let(least, lambda bits: F.exists(parts_of(run), lambda part: reached(part, bits))))
 
 
 def with_spans(docs: DataFrame, base_col: str, all_col: str, text_col: str = "text") -> DataFrame:
@@ -177,3 +194,30 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
     masked = F.aggregate(in_blocks(F.col("__landsight_all")), zero, block, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(text, a["at"] + 1, F.length(text))))
     out = rows.withColumn(text_col, F.when(F.size("__landsight_all") > 0, masked).otherwise(text)).drop("__landsight_base", "__landsight_all")
     return out.withColumn(chars_col, F.length(text).cast(docs.schema[chars_col].dataType)) if chars_col and chars_col in docs.columns else out
+
+
+def oracle_sql(table: str = "documents") -> str:
+    """``scan`` of a table in DuckDB's SQL: the same patterns and offsets, entropies by its own aggregate."""
+    plain = lambda p: re.sub(r"([+*}])\+", r"\1", p)  # noqa: E731  RE2 has no possessive repeats and needs none
+    either = lambda w: "".join(f"[{x}{x.upper()}]" if x.isalpha() else x for x in w)  # noqa: E731  its (?i) is not ASCII only
+    words = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    patterns = [(kind, p.replace("(?i:", "(?:").replace("password|passwd|secret|token|api_?key", words), g, n) for kind, p, g, n in KINDS]
+    quoted = lambda p: "'" + plain(p).replace("'", "''") + "'"
+    spans = lambda rank, kind, p, g, n: f"""SELECT row, {rank} AS rank, '{kind}' AS kind, said, g, CAST(coalesce(sum(length(gap) + length(said)) OVER before, 0) + length(gap) AS BIGINT) AS start
+  FROM (SELECT row, unnest(range(1, len(said) + 1)) AS k, unnest(gaps[1:len(said)]) AS gap, unnest(said) AS said, unnest(g) AS g FROM (
+    SELECT row, string_split_regex(text, {quoted(p)}) AS gaps, regexp_extract_all(text, {quoted(p)}) AS said, regexp_extract_all(text, {quoted(p)}, {g}) AS g FROM texts))
+  WINDOW before AS (PARTITION BY row ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+    base = " UNION ALL ".join(f"SELECT * FROM ({spans(rank, kind, p, g, n)}) WHERE length(g) >= {n}" for rank, (kind, p, g, n) in enumerate(patterns))
+    allowed = " OR ".join(f"regexp_matches(said, {quoted(p)})" for p in ALLOWED)
+    least = "CASE " + " ".join(f"WHEN regexp_matches(said, {quoted(p)}) THEN {x}" for _, p, x in CLASSES) + " END"
+    top = f"list_max(list_transform(range(1, length(said) - {WINDOW - 2}), lambda k: list_entropy(string_split(substr(said, k, {WINDOW}), ''))))"
+    digest = "coalesce(string_agg(kind || ':' || start || ':' || (start + length(said)), ',' ORDER BY start, rank){}, '')"
+    return f"""WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM {table}),
+base AS ({base}),
+runs AS ({spans(len(KINDS), "entropy", CANDIDATE, 0, WINDOW)}),
+found AS (SELECT * FROM base UNION ALL SELECT * FROM runs r WHERE NOT ({allowed}) AND {top} >= {least}
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = r.row AND b.start < r.start + length(r.said) AND r.start < b.start + length(b.said))),
+said AS (SELECT row, {", ".join(f"count(*) FILTER (rank = {rank}) AS n_{kind}" for rank, (kind, *_) in enumerate(KINDS))},
+  {digest.format(f" FILTER (rank < {len(KINDS)})")} AS base, {digest.format("")} AS spans FROM found GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN said USING (row)"""

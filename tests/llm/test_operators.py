@@ -269,6 +269,29 @@ def test_many_secrets_of_one_text_equal_brute_force(spark):
     assert (found[1], masked[1]) == ("", "no secret")
 
 
+def test_allow_list_on_very_long_runs(spark):
+    n = 1_000_000
+    runs = ["ab1/" * n, "Hello" * n, "aB" * n, "0123+/" * n, "example-" * n, "HTMLParser_" * n, "aB3dE5gH7jK9mN1pQ3sT5vX7z/" * (n // 5), "ab1_" * n + "Q7zX1kW9sL3dF5gH8jP2"]
+    docs = spark.createDataFrame([(k, r) for k, r in enumerate(runs)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    assert got == {**dict.fromkeys(range(8), ""), 6: f"entropy:0:{len(runs[6])}", 7: f"entropy:0:{len(runs[7])}"}
+
+
+def test_allow_list_is_about_words_not_letters(spark):
+    rows = [(1, "QwErTyUiOpAsDfGhJkLzXcVbNm"), (2, "internationalizationOfThings"), (3, "HTMLParser/URLHandler_NamesOfThem"), (4, "a9Zsampleq7Xw2Lk8Vb4Nt6Rp1"), (5, "AKEYq7Xw2Lk8Vb4Nt6Rp1EXAMPLEKEY"),
+            (6, "x0123456789q7Xw2Lk8Vb4Nt6Rp1"), (7, "0123456789abcdefghijklmnop_QRST")]
+    got = {r["doc_id"]: r["spans"] != "" for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True, 7: False}
+
+
+def test_possessive_repeats_change_nothing():
+    rng = random.Random(7)
+    plain = [re.compile(re.sub(r"([+*}])\+", r"\1", p)) for p in secrets.ALLOWED]
+    for _ in range(20_000):
+        run = "".join(rng.choice(["a", "bc", "D", "EF", "1", "23", "/", "_", "-", "example", "+="]) for _ in range(rng.randint(1, 9)))
+        assert [bool(re.search(p, run)) for p in secrets.ALLOWED] == [bool(p.search(run)) for p in plain]
+
+
 # Search
 
 
