@@ -329,6 +329,43 @@ def test_topk_of_repeated_ids_in_one_partition(spark):
     assert [(r["vec_id"], r["score"]) for r in topk.search(e, F.col("vec_id") == 0).orderBy("rank").collect()] == want
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_topk_with_copies_in_any_order_equals_sql(spark, seed):
+    import duckdb
+    import pandas as pd
+
+    from landsight.llm.queries import OP9_SQL
+
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in [0, 100, 200, *range(1, 40)]:
+        for _ in range(rng.integers(1, 51)):
+            v = rng.normal(size=3) if rng.random() < 0.3 else np.round(rng.normal(size=3) * 2) / 2
+            rows += [(int(i), [float(x) for x in v])] * int(rng.integers(1, 4))
+    order = rng.permutation(len(rows))
+    rows = [rows[k] for k in order]
+    embeddings = pd.DataFrame(rows, columns=["vec_id", "embedding"])  # noqa: F841
+    want = sorted(map(tuple, duckdb.sql(OP9_SQL).fetchall()))
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for how in ({}, {"chunk": 64, "least_chunk": 8, "query_block": 2}):
+        got = [tuple(r) for r in topk.search(e.coalesce(1 + seed % 2), F.col("vec_id") % 100 == 0, **how).collect()]
+        assert sorted((a, b, c, d) for a, b, c, d in got) == want
+
+
+def test_topk_of_huge_components_is_exact_or_clamped(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in rng.integers(-4_000_000, 4_000_000, 4) + rng.random(4)]) for k in range(60)]
+    rows += [(100, [1e9] * 4), (101, [1e300] * 4), (102, [-1e12] * 4), (103, [1.7e308] * 4), (104, [0.5, 0.25, 0.0, 1.0])]
+    whole = {k: [math.floor(1024 * x) if abs(1024 * x) < 1 << 53 else int(1024 * x) for x in v] for k, v in rows if k != 103}
+    got = [tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect()]
+    want = []
+    for q in whole:
+        if q % 20 == 0:
+            clamped = {i: max(-topk.LONG, min(topk.LONG, sum(a * b for a, b in zip(whole[q], v)))) for i, v in whole.items() if i != q}
+            want += [(q, r + 1, i, s) for r, (i, s) in enumerate(sorted(clamped.items(), key=lambda t: (-t[1], t[0]))[:5])]
+    assert sorted(got) == sorted(want)
+
+
 # Pieces
 
 
