@@ -36,10 +36,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Neither side has a bounded size: the same join at every size.
-    good = read(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("__good")).hint("merge")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
-    return lm_score.score(docs, F.col("__good"))
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score(read(spark, sf_dir, "documents"), good)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -574,38 +574,64 @@ def test_licences_equal_scanning_every_sentence(spark):
 # Language models
 
 
-def test_language_model_equals_brute_force(spark):
-    rows = [(k, t) for k, t in enumerate(["the cat sat", "The cat, ate!", "", "zq zq 12 é", "the dog\nran"])]
+WORDS = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\x00-\x20\x7f0-9A-Za-z_\x80-\xff]")
+
+
+def plain_losses(rows, targets):
+    """[(id, tokens, target loss, background loss)] of (id, text) rows, each row left out of the counts that score it."""
+    from collections import Counter
+
+    def events(text):
+        w = [b"", *WORDS.findall((text or "").encode())]
+        return [x for h, t in zip(w, w[1:]) for x in ((h, t), h)]
+
+    each = [Counter(events(t)) for _, t in rows]
+    vocabulary = len({e[1] for c in each for e in c if isinstance(e, tuple)})
+    every, wanted = sum(each, Counter()), sum((c for c, (i, _) in zip(each, rows) if i in targets), Counter())
+    out = []
+    for (i, _), own in zip(rows, each):
+        n, losses = sum(k for e, k in own.items() if isinstance(e, tuple)), []
+        for counts, inside in ((wanted, i in targets), (every, True)):
+            total = 0.0
+            for e, k in own.items():
+                others = counts[e] - (k if inside else 0)
+                total += k * (-math.log2(others + lm_score.ADDED) if isinstance(e, tuple) else math.log2(others + lm_score.ADDED * vocabulary))
+            losses.append(total / n if n else 0.0)
+        out.append((i, n, *losses))
+    return out
+
+
+@pytest.mark.parametrize("how", [{}, {"hot_events": 0}, {"hot_events": 7, "sent_targets": 0}])
+def test_language_model_equals_brute_force(spark, how):
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice("the cat sat on a mat, é! dog_2 42 The\n").join(["x", ""]) + rng.choice("the cat sat on a mat, dog_2 The é! ###".split()) for _ in range(rng.randint(1, 30)))) for k in range(40)]
+    rows += [(100, "unique words here and here"), (101, "unique words here and here"), (102, ""), (103, None), (104, " \n\x7f"), (7, rows[7][1]), (7, "another text of seven"), (None, "the cat"), (None, "the cat")]
+    targets = {1, 2, 7, 100, 103}
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in lm_score.score(df, F.col("doc_id") < 2).collect()}
+    marks = spark.createDataFrame([(i,) for i in [*targets, 7, None, 999]], "doc_id long")
+    got = lm_score.score(df, marks, **how).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[3], 6))
+    assert len(got) == len(rows)
+    for a, b in zip(sorted(map(tuple, got), key=order), sorted(plain_losses(rows, targets), key=order)):
+        assert a[:2] == b[:2] and np.allclose(a[2:], [*b[2:], b[2] - b[3]], atol=1e-9)
 
-    def symbols(t):
-        return [27] * 3 + [int(lm_score.CLASS_OF[b]) for b in t.encode()]
 
-    def model(ts):
-        grams = [tuple(s[k - 3 : k + 1]) for t in ts for s in [symbols(t)] for k in range(3, len(s))]
-
-        def p(g):
-            if not g:
-                return 1 / lm_score.SYMBOLS
-            same = [x[-len(g) :] for x in grams]
-            seen = [x for x in same if x[:-1] == g[:-1]]
-            kinds, low = len({x[-1] for x in seen}), p(g[1:])
-            return (seen.count(g) + kinds * low) / (len(seen) + kinds) if seen else low
-
-        return p
-
-    target, every = model([t for k, t in rows if k < 2]), model([t for _, t in rows])
-    for k, t in rows:
-        s = symbols(t)
-        loss = [np.mean([-np.log2(m(tuple(s[j - 3 : j + 1]))) for j in range(3, len(s))]) if t else 0.0 for m in (target, every)]
-        assert got[k]["n_tokens"] == len(t.encode()) and np.allclose([got[k]["target_loss"], got[k]["background_loss"], got[k]["score"]], [*loss, loss[0] - loss[1]], atol=1e-4)
+def test_language_model_tells_texts_with_a_copy_apart(spark):
+    docs = texts(spark, "sf0.01")
+    got = lm_score.score(docs, docs.where("doc_id % 3 = 0").select("doc_id")).toPandas().set_index("doc_id")["background_loss"]
+    seen = docs.select("doc_id", "text").toPandas()
+    big = seen[seen.text.str.len() > 500]
+    copied = big.text.duplicated(keep=False)
+    # Among the others are near copies, which score like copies.
+    assert copied.sum() > 3 and got[big[copied].doc_id].max() < got[big[~copied].doc_id].median() - 2
 
 
 def test_language_model_edges(spark):
-    got = lm_score.score(clashing(spark), F.lit(None).cast("boolean")).collect()
+    none = spark.createDataFrame([], "doc_id long")
+    got = lm_score.score(clashing(spark), none).collect()
     assert len(got) == len(ODD) and all(r["n_tokens"] == 0 and r["score"] == 0 for r in got if r["doc_id"] in (1, 2))
-    assert lm_score.score(odd(spark).limit(0), F.lit(True)).count() == 0
+    assert all(abs(r["target_loss"] - math.log2(len({w for _, t in ODD for w in WORDS.findall((t or "").encode())}))) < 1e-9 for r in got if r["n_tokens"])
+    assert lm_score.score(odd(spark).limit(0), none).count() == 0
 
 
 # Chat
