@@ -603,7 +603,7 @@ def plain_losses(rows, targets, histories):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"histories": 0}, {"histories": 2, "sent_targets": 0}])
+@pytest.mark.parametrize("how", [{}, {"histories": 0, "frequent": 0}, {"histories": 2, "frequent": 9, "sent_targets": 0}])
 def test_language_model_equals_brute_force(spark, how):
     rng = random.Random(5)
     rows = [(k, " ".join(rng.choice("the cat sat on a mat, é! dog_2 42 The\n").join(["x", ""]) + rng.choice("the cat sat on a mat, dog_2 The é! ###".split()) for _ in range(rng.randint(1, 30)))) for k in range(40)]
