@@ -1,21 +1,24 @@
 """SimHash near-duplicates: byte-position inverted index with count filtering.
 
-A fingerprint has 64 bits, held as 8 positional bytes. Two fingerprints that differ in at most 3 bits differ in at most
-3 bytes, so they share at least 5 positional bytes: the guaranteed minimum of the count filter. Postings are keyed by
-three byte positions at once. The eight position triples taken inside {0,1,2,3} and inside {4,5,6,7} suffice, for any
-5 shared positions hold 3 of one half, so no pair that can pass the count filter is missed. Inside a posting list the
-shared positional bytes of each pair are tallied, pairs under the minimum go, and the rest are verified by their bits.
-
-Size: equal fingerprints are one node from the start. Short posting lists are paired within a row. Longer lists are
-dealt into chunks, and each pair of chunks is a task's group of bounded size that returns a spanning forest instead of
-all links. Lists over ``extend_over`` are first split by two more byte positions (each way to choose them, which loses
-no pair, since 5 shared positions leave 2 beyond the 3 in the key). Components come from rounds of star contraction
-with each round's edges written to the shared folder. Nothing is collected to the driver but row counts.
+A fingerprint has some positional bytes. Postings are keyed by three byte positions at once, as the scheme's triples name
+them. With 8 bytes and up to 3 differing bits (``STRICT``), two fingerprints that link share at least 5 positional bytes, and
+so at least 3 of the 24 triples: the four bytes of a half, each way to cut the positions in halves below, hold 4 triples,
+and any 5 positions hold 3 of one half. Pairs with fewer shared triples than this guaranteed minimum go unread; the others are
+verified by their bits. ``NEAR`` finds texts whose sets of five-word shingles are 0.8 similar or more: such texts differ
+in 15 % of the bits of a long fingerprint, and nearly always share one of its triples.
+
+Two rounds. In the first, every member of a posting list is compared with the list's least one, which settles dense
+groups with as many comparisons as postings. Components come from rounds of star contraction with each round's edges written
+to the shared folder. The second round takes the lists that still hold several components and tallies the shared triples of
+pairs from different ones; long lists are dealt into chunks, each pair of chunks a task's group of bounded size
+that returns a spanning forest of its links. Lists over ``extend_over`` are first split by two more byte positions where the
+scheme guarantees these. Equal fingerprints are one node from the start. Nothing is collected to the driver but row counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
@@ -28,101 +31,140 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, forget, stored
 
-SHINGLE_WORDS, SEED, MAX_BITS, BYTES = 3, 42, 3, 8
-MIN_SHARED_BYTES = BYTES - MAX_BITS
-#: Every 5 of the 8 positions hold one of these.
-TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
+
+@dataclass(frozen=True)
+class Scheme:
+    """Shingle words, bytes of a fingerprint (a multiple of 8), triples of positions, the least of them that a linked pair shares, differing bits."""
+
+    words: int
+    size: int
+    triples: tuple[tuple[int, int, int], ...]
+    least_shared: int
+    max_bits: int
+    #: Whether a linked pair shares two more positions than those of a shared triple.
+    extends: bool
+
+
+SEED = 42
+#: Ways to cut eight positions in halves of which no two share a triple.
+_HALVES = [((0, 1, 2, 3), (4, 5, 6, 7)), ((0, 1, 4, 5), (2, 3, 6, 7)), ((0, 2, 4, 6), (1, 3, 5, 7))]
+STRICT = Scheme(3, 8, tuple(t for way in _HALVES for half in way for t in combinations(half, 3)), 3, 3, True)
+
+
+def spread_triples(size: int, n: int, seed: int = 1) -> tuple[tuple[int, int, int], ...]:
+    """n triples of positions that use all positions about equally often."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < n:
+        p = rng.permutation(size).tolist()
+        out += [tuple(sorted(p[k : k + 3])) for k in range(0, size - 2, 3)]
+    return tuple(out[:n])
+
+
+#: At similarity 0.8 the expected angle gives 77.6 of 512 differing bits, with a standard deviation of 8.
+NEAR = Scheme(5, 64, spread_triples(64, 96), 1, 80, False)
 #: A text's shingle hashes are tallied so many at a time: bounds memory on very long texts.
-TALLY_BLOCK = 1 << 15
+TALLY_BLOCK = 1 << 13
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
 
+def _words_of_hash(h: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of so many 64-bit words out of 64-bit hashes: the hash itself, then mixes of it."""
+    with np.errstate(over="ignore"):
+        x = h[:, None] + np.arange(1, words, dtype=np.uint64) * _STEP
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return np.concatenate((h[:, None], x ^ (x >> np.uint64(31))), 1)
 
-def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """The SimHash of a UTF-8 text as a signed 64-bit number; a text without words has 0.
+
+def fingerprint(text: bytes | None, scheme: Scheme = STRICT, seed: int = SEED) -> np.ndarray:
+    """The SimHash of a UTF-8 text as 64-bit words; a text without words has zeros.
 
     Lower-cases A-Z only and splits at ASCII white space. Shingles count as often as they occur; a text of fewer words
-    is one shingle. A bit is set if over half of the shingles' XXH64 have it.
+    is one shingle. A bit is set if over half of the shingles' hashes have it (the first word's: XXH64).
     """
     w = (text or b"").lower().split()
     if not w:
-        return 0
-    if len(w) <= words:
+        return np.zeros(scheme.size // 8, np.int64)
+    if len(w) <= scheme.words:
         shingles = [b" ".join(w)]
     else:
-        shingles = list(map(b" ".join, zip(*(w[k:] for k in range(words)))))
-    ones = np.zeros(64, np.int64)
+        shingles = list(map(b" ".join, zip(*(w[k:] for k in range(scheme.words)))))
+    ones = np.zeros(8 * scheme.size, np.int64)
     digest = xxhash.xxh64_intdigest
     for k in range(0, len(shingles), TALLY_BLOCK):
         h = np.array([digest(s, seed) for s in shingles[k : k + TALLY_BLOCK]], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(shingles), bitorder="little")
-    return int(bits.view(np.int64)[0])
+        bits = np.unpackbits(_words_of_hash(h, scheme.size // 8).view(np.uint8), axis=1, bitorder="little")
+        for at in range(0, len(bits), 255):  # so many fit a byte's count
+            ones += bits[at : at + 255].sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(shingles), bitorder="little").view(np.int64)
+
 
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = STRICT) -> DataFrame:
+    """(id, fp, node): one row per row of docs. Null and empty texts have zeros; a null id stays null.
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row per row of docs. Null and empty texts have fingerprint 0; a null id stays null."""
+    fp holds 64-bit words. node names the fingerprint: its one word, or a hash of its words.
+    """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary() if b.column(1).type == pa.string() else pa.large_binary())
-            fps = pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["id", "fp"])
+            fps = [fingerprint(t.as_py(), scheme) for t in texts]
+            flat = np.concatenate(fps) if fps else np.zeros(0, np.int64)
+            ends = np.arange(len(fps) + 1) * (scheme.size // 8)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "fp"])
 
     picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return picked.mapInArrow(rows, f"id {kind}, fp bigint")
+    found = picked.mapInArrow(rows, f"id {kind}, fp array<bigint>")
+    return found.withColumn("node", F.get("fp", F.lit(0)) if scheme.size == 8 else F.xxhash64("fp"))
 
 
-def byte_at(fp: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255))
-
-
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many positional bytes two fingerprints share."""
-    x = a.bitwiseXOR(b)
-    return reduce(lambda s, k: s + F.when(byte_at(x, k) == 0, 1).otherwise(0), range(BYTES), F.lit(0))
+def postings(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """(key, node): every node under each of its byte triples."""
+    at = np.array(scheme.triples)
+    tags = np.arange(len(at), dtype=np.int64) << 24
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, scheme.size // 8).view(np.uint8).astype(np.int64)
+            keys = tags + (fp[:, at[:, 0]] << 16) + (fp[:, at[:, 1]] << 8) + fp[:, at[:, 2]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), len(at)))], ["key", "node"])
 
-def posting_key(fp: Column, positions: tuple[int, ...], tag: int) -> Column:
-    key = reduce(lambda acc, k: F.shiftleft(acc, 8).bitwiseOR(byte_at(fp, k)), positions, F.lit(0).cast("bigint"))
-    return F.shiftleft(F.lit(tag).cast("bigint"), 8 * len(positions)).bitwiseOR(key)
+    return nodes.select("node", "fp").mapInArrow(rows, "key bigint, node bigint")
 
 
-def postings(nodes: DataFrame) -> DataFrame:
-    """(key, fp): every fingerprint under each of its eight byte triples."""
-    keys = F.array(*(posting_key(F.col("fp"), p, n) for n, p in enumerate(TRIPLES)))
-    return nodes.select("fp", F.explode(keys).alias("key"))
+def byte_at(fp: Column, k: int) -> Column:
+    return F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255))
 
 
-def extended(rows: DataFrame) -> DataFrame:
-    """Long lists by two further positions: the key's triple stays, all 10 pairs of other positions are taken."""
+def extended(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """Long lists of one-word fingerprints by two further positions: the key's triple stays, all pairs of other positions are taken."""
     tag = F.shiftrightunsigned("key", 24)
     out = []
-    for n, triple in enumerate(TRIPLES):
-        rest = [k for k in range(BYTES) if k not in triple]
-        ways = F.array(*(posting_key(F.col("fp"), (*triple, *p), 16 + n * 16 + m) for m, p in enumerate(combinations(rest, 2))))
-        out.append(F.when(tag == n, ways))
-    return rows.select("fp", F.explode(F.coalesce(*out)).alias("key"))
-
-
-def forest(left: np.ndarray, right: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between two chunks, or within one."""
-    x = left[:, None] ^ right[None, :]
-    tally = (x.reshape(len(left), len(right), 1).view(np.uint8) == 0).sum(2)
-    close = (tally >= MIN_SHARED_BYTES) & (np.bitwise_count(x) <= MAX_BITS)
-    out, todo = [], np.ones(len(right), bool)
-    if same:
-        for root in range(len(left)):
-            if todo[root]:
-                todo[root], ahead = False, [root]
-                while ahead:
-                    at = ahead.pop()
-                    for k in np.flatnonzero(close[at] & todo):
-                        todo[k] = False
-                        out.append((at, k))
-                        ahead.append(int(k))
-        return out
-    waiting = np.ones(len(left), bool)
+    for n, triple in enumerate(scheme.triples):
+        ways = [*combinations([k for k in range(scheme.size) if k not in triple], 2)]
+        more = [F.shiftleft(F.lit(16 + m).cast("bigint"), 48).bitwiseOR(F.shiftleft(F.col("key"), 16)).bitwiseOR(F.shiftleft(byte_at(F.col("node"), p), 8)).bitwiseOR(byte_at(F.col("node"), q)) for m, (p, q) in enumerate(ways)]
+        out.append(F.when(tag == n, F.array(*more)))
+    return rows.select("node", "root", F.explode(F.coalesce(*out)).alias("key"))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs (a, b) whose fingerprints differ in few enough bits."""
+    if scheme.size == 8:
+        return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= scheme.max_bits)
+    one, two = (nodes.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}")) for n in ("a", "b"))
+    bits = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    return pairs.join(one, "a").join(two, "b").where(bits <= scheme.max_bits).select("a", "b")
+
+
+def forest(left: np.ndarray, right: np.ndarray, roots: tuple[np.ndarray, np.ndarray], max_bits: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links between the rows of two arrays of words that have different roots."""
+    close = np.empty((len(left), len(right)), bool)
+    for k in range(0, len(left), 64):
+        close[k : k + 64] = np.bitwise_count(left[k : k + 64, None] ^ right[None]).sum(2) <= max_bits
+    close &= roots[0][:, None] != roots[1][None, :]
+    out, waiting, todo = [], close.any(1), np.ones(len(right), bool)
     for root in range(len(left)):
         if waiting[root]:
             waiting[root], ahead = False, [(0, root)]
@@ -136,46 +178,66 @@ def forest(left: np.ndarray, right: np.ndarray, same: bool) -> list[tuple[int, i
     return out
 
 
-def _chunk_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    fps = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-    if i == j:
-        a = b = fps
-    else:
+def _chunk_links(max_bits: int):
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        node, root = pdf["node"].to_numpy(np.int64), pdf["root"].to_numpy(np.int64)
         first = pdf["mine"].to_numpy() == i
-        a, b = fps[first], fps[~first]
-    pairs = forest(a, b, i == j) if len(a) and len(b) else []
-    at = np.array(pairs, np.int64).reshape(-1, 2)
-    return pd.DataFrame({"a": a.view(np.int64)[at[:, 0]], "b": b.view(np.int64)[at[:, 1]]})
+        second = first if i == j else ~first
+        pairs: list[tuple[int, int]] = []
+        if first.any() and second.any() and root.min() != root.max():
+            fps = np.array([*pdf["fp"]], np.int64).view(np.uint64)
+            pairs = forest(fps[first], fps[second], (root[first], root[second]), max_bits)
+        at = np.array(pairs, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": node[first][at[:, 0]], "b": node[second][at[:, 1]]})
 
+    return found
 
-def links(nodes: DataFrame, pair_up_to: int = 48, chunk: int = 1024, extend_over: int = 1 << 16) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b): links among distinct fingerprints that join what any chain of links joins; and tables to forget later."""
-    key = stored(postings(nodes), "postings")
-    sizes = key.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    held = stored(key.join(sizes, "key"), "lists")
-    parts, kept = [], [key, held]
 
-    def paired(lists: DataFrame) -> DataFrame:
-        close = lambda a: F.filter("fps", lambda b: (a < b) & (shared_bytes(a, b) >= MIN_SHARED_BYTES) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS))
-        pairs = F.flatten(F.transform("fps", lambda a: F.transform(close(a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-        return lists.groupBy("key").agg(F.collect_list("fp").alias("fps")).select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+def links(nodes: DataFrame, scheme: Scheme = STRICT, pair_up_to: int = 48, chunk: int = 1024, extend_over: int = 1 << 14) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of nodes that the first round linked, and (a, b): further links, between nodes of different roots.
 
-    def dealt(lists: DataFrame) -> DataFrame:
+    Together they join what any chain of links joins. nodes: node, fp.
+    """
+    key = stored(postings(nodes, scheme), "postings")
+    sizes = key.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("least")).where("m > 1")
+    lists = stored(key.join(sizes, "key"), "lists")
+    forget(key)
+    near = verified(lists.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), nodes, scheme)
+    none = nodes.sparkSession.createDataFrame([], "node bigint, root bigint")
+    roots = components(near)
+    roots = none if roots is None else stored(roots, "roots")
+    tagged = lists.join(roots, "node", "left").select("key", "node", "m", F.coalesce("root", "node").alias("root"))
+    mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    rest = stored(tagged.join(mixed, "key", "left_semi"), "mixed")
+    forget(lists)
+
+    def paired(rows: DataFrame) -> DataFrame:
+        other = lambda a: F.filter("own", lambda b: (a["node"] < b["node"]) & (a["root"] != b["root"]))
+        pairs = F.flatten(F.transform("own", lambda a: F.transform(other(a), lambda b: F.struct(a["node"].alias("a"), b["node"].alias("b")))))
+        held = rows.groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("own"))  # pair_up_to at most
+        tally = held.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
+        return verified(tally.where(F.col("shared") >= scheme.least_shared).select("a", "b"), nodes, scheme)
+
+    def dealt(rows: DataFrame) -> DataFrame:
         n = F.ceil(F.col("m") / chunk).cast("int")
-        mine = F.pmod(F.xxhash64("fp"), n).cast("int")
-        spread = lists.select("key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
-        spread = spread.select("key", "fp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-        return spread.groupBy("key", "i", "j").applyInPandas(_chunk_links, "a bigint, b bigint")
-
-    parts.append(paired(held.where(F.col("m") <= pair_up_to)))
-    parts.append(dealt(held.where((F.col("m") > pair_up_to) & (F.col("m") <= extend_over))))
-    if not held.where(F.col("m") > extend_over).isEmpty():
-        more = stored(extended(held.where(F.col("m") > extend_over)), "extended")
-        finer = more.join(more.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
-        parts.append(dealt(finer))
-        kept.append(more)
-    return reduce(DataFrame.union, parts).distinct(), kept
+        mine = F.pmod(F.xxhash64("node"), n).cast("int")
+        spread = rows.join(nodes.select("node", "fp"), "node").select("key", "node", "root", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+        spread = spread.select("key", "node", "root", "fp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        return spread.groupBy("key", "i", "j").applyInPandas(_chunk_links(scheme.max_bits), "a bigint, b bigint")
+
+    long = F.col("m") > pair_up_to
+    over = long & (F.col("m") > extend_over) if scheme.extends else F.lit(False)
+    # A pair that shares a long list is verified there, so the tally misses none of a pair that shares short ones only.
+    parts = [paired(rest.where(~long))]
+    if not rest.where(long & ~over).isEmpty():
+        parts.append(dealt(rest.where(long & ~over)))
+    if scheme.extends and not rest.where(over).isEmpty():
+        more = stored(extended(rest.where(over), scheme), "extended")
+        parts.append(dealt(more.join(more.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")))
+    more = stored(reduce(DataFrame.union, parts).distinct(), "links")
+    forget(rest)
+    return roots, more
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame | None:
@@ -214,23 +276,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame | None:
     raise RuntimeError(f"components not settled in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = STRICT, **sizes: int) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of docs.
 
-    component_id is the smallest id among all rows reachable by links of at most 3 differing bits. Null or empty texts
-    share fingerprint zero and link like any other. Rows with a null id take part and get their component's smallest
-    id (null if it has none). Repeated rows are all returned. Other columns of docs are ignored. An empty table gives
-    an empty result.
+    component_id is the smallest id among all rows reachable by links of at most the scheme's differing bits. Null or empty
+    texts share a fingerprint of zeros and link like any other. Rows with a null id take part and get their component's
+    smallest id (null if it has none). Repeated rows are all returned. Other columns of docs are ignored. An empty table
+    gives an empty result.
     """
-    prints = stored(fingerprints(docs, id_col, text_col), "prints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    edges, kept = links(nodes.select("fp"), **sizes)
-    found = components(edges)
-    forget(*kept)
-    if found is None:
-        owner = nodes.select("fp", F.col("first").alias("component_id"))
-    else:
-        rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-        rooted = stored(rooted, "roots")
-        owner = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(owner, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = stored(fingerprints(docs, id_col, text_col, scheme), "prints")
+    nodes = stored(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("first")), "nodes")
+    roots, more = links(nodes, scheme, **sizes)
+    rooted = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    top = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    last = components(more.join(top[0], "a", "left").join(top[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    if last is not None:
+        rooted = rooted.join(last.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select("node", "first", F.coalesce("last", "root").alias("root"))
+    rooted = stored(rooted, "rooted")
+    owner = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+    whole = F.concat_ws("", F.transform("fp", lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))))
+    return prints.join(owner, "node").select(F.col("id").alias(id_col), whole.alias("fingerprint"), "component_id")

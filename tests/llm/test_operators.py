@@ -76,12 +76,63 @@ def test_simhash_links_of_crowded_buckets(spark, sizes):
     rng = random.Random(3)
     prints = [rng.getrandbits(64) for _ in range(6)]
     prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for p in prints for _ in range(25)]
+    # Chains: each differs from the next by three bits of bytes of its own, and shares triples with others out of reach.
+    for p in prints[:4]:
+        for k in range(7):
+            p ^= 7 << 8 * k + rng.randint(0, 5)
+            prints.append(p)
+    prints += [prints[0] & (1 << 24) - 1 | rng.getrandbits(40) << 24 for _ in range(30)]
     signed = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
-    nodes = spark.createDataFrame([(p,) for p in signed], "fp long")
-    edges, _ = simhash.links(nodes, **sizes)
-    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    nodes = spark.createDataFrame([(p, [p]) for p in signed], "node long, fp array<long>")
+    roots, more = simhash.links(nodes, **sizes)
+    edges = [tuple(r) for r in roots.collect()] + [tuple(r) for r in more.collect()]
     want = plain_components([(p, p & (1 << 64) - 1) for p in signed])
-    assert [got.get(p, p) for p in signed] == want
+    assert joined_by(signed, edges) == want
+
+
+def joined_by(nodes, edges):
+    top = {n: n for n in nodes}
+
+    def root(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for a, b in edges:
+        top[max(root(a), root(b))] = min(root(a), root(b))
+    return [root(n) for n in nodes]
+
+
+def test_linked_fingerprints_share_the_least_number_of_triples():
+    rng = random.Random(1)
+    assert len(set(simhash.STRICT.triples)) == 24
+    for _ in range(3000):
+        bits = rng.sample(range(64), 3)
+        differ = {b // 8 for b in bits}
+        assert sum(differ.isdisjoint(t) for t in simhash.STRICT.triples) >= simhash.STRICT.least_shared
+
+
+def test_near_scheme_finds_texts_of_similarity_08(spark):
+    rng = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    rows, base = [], []
+    for k in range(60):
+        words = rng.choices(vocabulary, k=rng.randint(60, 400))
+        base.append(words)
+        rows.append((3 * k, " ".join(words)))
+        edited = [w if rng.random() > 0.02 else rng.choice(vocabulary) for w in words]
+        rows.append((3 * k + 1, " ".join(edited)))
+        rows.append((3 * k + 2, " ".join(words[: len(words) // 2] + rng.choices(vocabulary, k=len(words) // 2))))
+    crowd = base[0]
+    rows += [(1000 + k, " ".join([*crowd[:k], "zz", *crowd[k + 1 :]])) for k in range(50)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    similarity = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    for how in ({}, {"pair_up_to": 3, "chunk": 8}):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), scheme=simhash.NEAR, **how).collect()}
+        pairs = [(3 * k, 3 * k + 1) for k in range(60)]
+        wanted = [p for p in pairs if similarity(*p) >= 0.8] + [(0, 1000 + k) for k in range(50)]
+        assert len(wanted) > 80 and sum(got[a] == got[b] for a, b in wanted) >= 0.9 * len(wanted)
+        assert all(got[3 * k] != got[3 * k + 2] for k in range(60))
 
 
 def test_simhash_edges(spark):
