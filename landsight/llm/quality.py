@@ -97,7 +97,7 @@ class Rule:
     weight: float = 0.0
 
     def holds(self, x: np.ndarray) -> np.ndarray:
-        return reduce(np.logical_and, ((x[:, j] > c) == over for j, c, over in self.conditions))
+        return reduce(np.logical_and, ((x[:, j] > c) == over for j, c, over in self.conditions), np.ones(len(x), bool))
 
     def column(self, stats: str) -> Column:
         tests = [(F.col(stats)[STATISTICS[j]] > F.lit(c)) if over else (F.col(stats)[STATISTICS[j]] <= F.lit(c)) for j, c, over in self.conditions]
@@ -119,9 +119,9 @@ class RuleEnsemble:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], depth: int, least: int) -> tuple[list, np.ndarray]:
-    """Paths of all nodes but the root of one regression tree on gradients g and weights h; and its predictions."""
-    paths, out = [], np.zeros(len(x))
+def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], depth: int, least: int) -> tuple[list, list[tuple[Rule, float]]]:
+    """Paths of all nodes but the root of one regression tree on gradients g and weights h; and its leaves with their values."""
+    paths, leaves = [], []
 
     def grow(rows: np.ndarray, path: tuple, left: int) -> None:
         total, weight = g[rows].sum(), h[rows].sum()
@@ -137,7 +137,7 @@ def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], d
                 if gain.max() > best[0]:
                     best = (gain.max(), (j, float(edges[gain.argmax()])))
         if best[1] is None:
-            out[rows] = total / (weight + 1)
+            leaves.append((Rule(path), total / (weight + 1)))
             return
         j, c = best[1]
         over = x[rows, j] > c
@@ -147,7 +147,7 @@ def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], d
             grow(rows[over == side], step, left - 1)
 
     grow(np.arange(len(x)), (), depth)
-    return paths, out
+    return paths, leaves
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, bins: int = 32, l1: float = 0.002, rounds: int = 400) -> RuleEnsemble:
@@ -165,10 +165,9 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, bin
     for k in range(trees):
         p = 1 / (1 + np.exp(-z))
         part = np.random.default_rng(k).random(n) < 0.7
-        paths, step = _tree(x[part], (y - p)[part], (p * (1 - p))[part], cuts, depth, max(5, n // 200))
+        paths, leaves = _tree(x[part], (y - p)[part], (p * (1 - p))[part], cuts, depth, max(5, n // 200))
         found.update(dict.fromkeys(tuple(sorted(c)) for c in paths))
-        tree = {c: v for c, v in zip(map(tuple, x[part]), step)}
-        z += 0.3 * np.array([tree.get(tuple(r), 0.0) for r in x])
+        z += 0.3 * sum(value * leaf.holds(x) for leaf, value in leaves)  # all rows walk the tree, drawn or not
     rules = [Rule(c) for c in found]
     cols, seen = [], {}
     for r in rules:
@@ -205,8 +204,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = ids.groupBy(id_col).agg(F.max(label_col).cast("double").alias("__label"))
     ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(most)  # at most ``most`` pairs of two numbers
     texts = docs.select(id_col, F.col(f"`{text_col}`").alias("__text"))
-    rows = with_statistics(texts.join(F.broadcast(ids), id_col), "__stats", "__text").select(id_col, "__label", "__stats.*").limit(2 * most)
-    got = rows.toPandas().sort_values([id_col, *STATISTICS]).drop_duplicates(id_col)
+    rows = with_statistics(texts.join(F.broadcast(ids), id_col), "__stats", "__text")
+    # One row an id reaches the driver: the least of those that repeat it.
+    got = rows.groupBy(id_col).agg(F.min(F.struct("__label", "__stats")).alias("__r")).select(id_col, "__r.__label", "__r.__stats.*").toPandas().sort_values(id_col)
     return fit_rules(got[STATISTICS].to_numpy(float), got["__label"].to_numpy(float))
 
 

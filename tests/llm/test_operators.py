@@ -231,6 +231,33 @@ def test_quality_on_held_out_rows(spark):
     assert 0 < len(model.rules) < 100
 
 
+def test_every_row_walks_the_trees():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4))
+    y = (x[:, 0] + x[:, 1] > 0).astype(float)
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 9)[1:-1])) for c in x.T]
+    part = rng.random(400) < 0.5
+    paths, leaves = quality._tree(x[part], (y - 0.5)[part], np.full(part.sum(), 0.25), cuts, 3, 5)
+    every = np.array([r.holds(x) for r, _ in leaves])
+    assert len(leaves) > 3 and (every.sum(0) == 1).all() and {r.conditions for r, _ in leaves} <= set(paths)
+    assert quality.Rule(()).holds(x).all()
+
+
+def test_training_takes_each_id_once(spark):
+    docs = spark.createDataFrame([(k % 7, f"text {k} " * (k % 5 + 1)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(7)] * 3, "doc_id long, quality int, toxic int")
+    seen = []
+    fit, quality.fit_rules = quality.fit_rules, lambda x, y: seen.append((x, y))
+    try:
+        quality.train(docs, labels)
+        quality.train(docs.orderBy(F.desc("text")), labels)
+    finally:
+        quality.fit_rules = fit
+    least = {i: min(quality.statistics(r["text"]) for r in docs.where(f"doc_id = {i}").collect()) for i in range(7)}
+    for x, y in seen:
+        assert y.tolist() == [k % 2 for k in range(7)] and np.allclose(x, [least[i] for i in range(7)])
+
+
 def test_held_out_rule(spark):
     import zlib
 
