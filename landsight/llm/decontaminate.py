@@ -1,19 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman alignment scores them.
 
 The benchmark is taken in blocks of bounded size (``BLOCK_CHARS``); the corpus is read once for each block, so what is
-sent to the executors never grows with either table. One pass finds every n-gram that a document shares with an item
-and keeps the words around it. The corpus frequency of each shared n-gram is then counted over all documents, and those
-that are not far more frequent than the item's others are its seeds (``RARE``). Passages with a seed are aligned to the
-whole item. Rareness loses nothing: copies of an edited text can make the n-grams that they kept the frequent ones, so a
-passage without a seed is aligned as well, unless it has too few of the item's words to reach the score. Passages that
-repeat within a task are aligned once.
+sent to the executors never grows with either table. A block's words are numbered, its n-grams are sorted arrays of numbers.
+One pass finds every n-gram that a document shares with an item and the passages around them; of these it keeps the ones
+that have enough of the item's words to reach the score whatever their order, which loses nothing. Each n-gram's number of
+passages is counted over all documents, and those that are not far more frequent than the item's others are its rare
+seeds (``RARE``). Kept passages are aligned to the whole item, also those without a rare seed: copies of an edited text can make
+the n-grams that they kept the frequent ones. Passages that repeat within a task are aligned once.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import window as W
 
 from .common import bounded_batches, stored
 
-SEED_WORDS = 4
+SEED_WORDS = 3
 #: A block of the benchmark has up to so many characters (a single longer item is a block of its own).
 BLOCK_CHARS = 4_000_000
 #: A seed occurs in at most so many times the median number of passages of its item's n-grams, and so many more.
@@ -41,11 +42,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def grams_of(words: list[str], n: int = SEED_WORDS) -> list[tuple[str, ...]]:
-    """All n-grams; a shorter sequence is one gram."""
-    return list(zip(*(words[k:] for k in range(n)))) if len(words) >= n else [tuple(words)] if words else []
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman with linear gaps: best score, and the half-open range of the passage's words that it spans."""
     n = len(passage)
@@ -83,52 +79,113 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_C
         yield held
 
 
-def _passages(docs: DataFrame, items: list[tuple], id_type: str) -> DataFrame:
-    """(id, item, grams, at, words): for each document and item that share an n-gram, the shared grams and the words near them."""
-    spark: SparkSession = docs.sparkSession
-    seeds: dict[tuple, list[tuple[int, int, int]]] = defaultdict(list)
-    count = 0
-    for i, (_, words) in enumerate(items):
-        for k, gram in enumerate(grams_of(words)):
-            seeds[gram].append((i, k, count))
-            count += 1
-    lengths = [len(w) for _, w in items]
-    sent = spark.sparkContext.broadcast((dict(seeds), lengths, sorted({len(g) for g in seeds})))
-
-    def found(text: str) -> Iterator[tuple[int, list[int], int, list[str]]]:
-        table, sizes, orders = sent.value
-        words = words_of(text)
+class Block:
+    """The items of a block as numbers: their words, and for each length of n-grams the sorted n-grams with the places that have them."""
+
+    def __init__(self, items: list[tuple]) -> None:
+        self.number: dict[str, int] = {}
+        self.items = [np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int64) for _, words in items]
+        self.times = [np.unique(x, return_counts=True) for x in self.items]
+        base, first = len(self.number) + 1, 0
+        if base**SEED_WORDS >= 1 << 63:
+            raise ValueError("a single item has over two million different words")
+        self.grams: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]] = []
+        for n in range(1, SEED_WORDS + 1):
+            own = [(i, x) for i, x in enumerate(self.items) if len(x) >= n and (n == SEED_WORDS or len(x) == n)]
+            if own:
+                keys = np.concatenate([self.keys(x, n, base) for _, x in own])
+                item = np.concatenate([np.full(len(x) - n + 1, i) for i, x in own])
+                place = np.concatenate([np.arange(len(x) - n + 1) for _, x in own])
+                order = np.argsort(keys, kind="stable")
+                known, start = np.unique(keys[order], return_index=True)
+                self.grams.append((n, known, np.append(start, len(keys)), item[order], place[order], first))
+                first += len(keys)
+        self.base, self.size = base, first
+
+    @staticmethod
+    def keys(x: np.ndarray, n: int, base: int) -> np.ndarray:
+        """Numbers of the n-grams of numbered words; negative where a word has no number."""
+        out = np.zeros(len(x) - n + 1, np.int64)
+        for k in range(n):
+            part = x[k : len(x) - n + 1 + k]
+            out = np.where((out < 0) | (part < 0), -1, out * base + part)
+        return out
+
+    def found(self, words: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """By item the hits of a text: (place in the text, place in the item, number of the place's n-gram)."""
         hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for n in orders:
-            shifted = [words[k:] for k in range(n)]
-            if not table.keys().isdisjoint(zip(*shifted)):
-                for at, gram in enumerate(zip(*shifted)):
-                    for i, k, gram_id in table.get(gram, ()):
-                        hits[i].append((at, k, gram_id))
-        for i, own in hits.items():
-            own.sort()
-            size = sizes[i]
-            slack = size // 4 + 2
-            spans: list[list] = []
-            for at, k, gram_id in own:
-                low, high = max(0, at - k - slack), min(len(words), at - k + size + slack)
-                if spans and low <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], high)
-                    spans[-1][2].add(gram_id)
-                else:
-                    spans.append([low, high, {gram_id}])
-            for low, high, grams in spans:
-                yield i, sorted(grams), low, words[low:high]
+        for n, known, start, item, place, first in self.grams:
+            if len(words) < n:
+                continue
+            keys = self.keys(words, n, self.base)
+            at = np.flatnonzero(keys >= 0)
+            slot = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
+            hit = known[slot] == keys[at]
+            for where, k in zip(at[hit].tolist(), slot[hit].tolist()):
+                for p in range(start[k], start[k + 1]):
+                    hits[item[p]].append((where, int(place[p]), first + p))
+        return hits
+
+    def shared(self, item: int, words: np.ndarray) -> int:
+        """How many of an item's words a passage has, each as often as both have it."""
+        own, times = self.times[item]
+        found, counts = np.unique(words[words >= 0], return_counts=True)
+        at = np.minimum(np.searchsorted(own, found), len(own) - 1)
+        return int(np.minimum(counts, times[at])[own[at] == found].sum())
+
+
+def _passages(docs: DataFrame, items: list[tuple], id_type: str, least: float) -> DataFrame:
+    """(id, item, grams, at, words): for each document and item that share an n-gram, the shared n-grams and the words near them.
+
+    A passage whose words cannot reach the score is left out. Rows without words say how many passages (at) have an n-gram.
+    """
+    spark: SparkSession = docs.sparkSession
+    sent = spark.sparkContext.broadcast(Block(items))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = sent.value
+        passages = np.zeros(block.size, np.int64)
+
+        def found(text: str) -> Iterator[tuple[int, list[int], int, list[str]]]:
+            words = words_of(text)
+            numbers = np.fromiter(map(block.number.get, words, repeat(-1)), np.int64, len(words))
+            for i, own in block.found(numbers).items():
+                own.sort()
+                size = len(block.items[i])
+                slack = size // 4 + 2
+                spans: list[list] = []
+                for at, k, gram in own:
+                    low, high = max(0, at - k - slack), min(len(words), at - k + size + slack)
+                    if spans and low <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], high)
+                        spans[-1][2].add(gram)
+                    else:
+                        spans.append([low, high, {gram}])
+                for low, high, grams in spans:
+                    grams = sorted(grams)
+                    passages[grams] += 1
+                    if block.shared(i, numbers[low:high]) >= least * size:
+                        yield int(i), grams, low, words[low:high]
+
+        def batch(kind: pa.DataType, out: list[list]) -> pa.RecordBatch:
+            kinds = (kind, pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["id", "item", "grams", "at", "words"])
+
+        kind = None
         for b in batches:
             out: list[list] = [[], [], [], [], []]
+            kind = b.schema.field(0).type
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for row in found(text):
                     for to, v in zip(out, (id_, *row)):
                         to.append(v)
-            kinds = (b.schema.field(0).type, pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["id", "item", "grams", "at", "words"])
+            yield batch(kind, out)
+        if kind is not None:
+            owner = np.concatenate([g[3] for g in block.grams])
+            seen = np.flatnonzero(passages)
+            for k in range(0, len(seen), 1 << 14):
+                part = seen[k : k + (1 << 14)]
+                yield batch(kind, [[None] * len(part), owner[part].tolist(), [[g] for g in part.tolist()], passages[part].tolist(), [None] * len(part)])
 
     return docs.mapInArrow(rows, f"id {id_type}, item int, grams array<int>, at bigint, words array<string>")
 
@@ -149,7 +206,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
     result = spark.createDataFrame([], f"id {id_type}, item {item_type}, score double, n_seeds int, first_word bigint, end_word bigint")
     for items in blocks(benchmark, item_col, item_text_col, block_chars):
-        passages = stored(_passages(texts, items, id_type), "passages")
+        passages = stored(_passages(texts, items, id_type, least), "passages")
         result = result.union(_aligned(passages, items, id_type, item_type, least))
     return result.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "n_seeds", "first_word", "end_word")
 
@@ -159,7 +216,7 @@ def rare_seeds(passages: DataFrame) -> set[int]:
 
     At most as many numbers as the benchmark block has n-grams.
     """
-    spread = passages.select("item", "id", F.explode("grams").alias("gram")).groupBy("item", "gram").agg(F.count("*").alias("df"))
+    spread = passages.where("words is null").select("item", "at", F.get("grams", F.lit(0)).alias("gram")).groupBy("item", "gram").agg(F.sum("at").alias("df"))
     of_item = W.Window.partitionBy("item")
     kept = spread.withColumn("middle", F.expr("percentile(df, 0.5)").over(of_item)).where(F.col("df") <= RARE[0] * F.col("middle") + RARE[1])
     return {r[0] for r in kept.select("gram").toLocalIterator()}
@@ -170,7 +227,7 @@ def _aligned(passages: DataFrame, items: list[tuple], id_type: str, item_type: s
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, seeds = sent.value
-        codes: dict[int, tuple[dict, np.ndarray, Counter]] = {}
+        codes: dict[int, tuple[dict, np.ndarray]] = {}
         done: dict[tuple, tuple[int, int, int]] = {}
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
@@ -179,10 +236,8 @@ def _aligned(passages: DataFrame, items: list[tuple], id_type: str, item_type: s
                 if item not in codes:
                     own = block[item][1]
                     table = {w: k for k, w in enumerate(dict.fromkeys(own))}
-                    codes[item] = table, np.array([table[w] for w in own]), Counter(own)
-                table, coded, times = codes[item]
-                if not n and (times & Counter(w for w in words if w in times)).total() < least * len(coded):
-                    continue
+                    codes[item] = table, np.array([table[w] for w in own])
+                table, coded = codes[item]
                 passage = np.array([table.get(w, -1) for w in words])
                 key = item, passage.tobytes()
                 if key not in done:
@@ -199,7 +254,7 @@ def _aligned(passages: DataFrame, items: list[tuple], id_type: str, item_type: s
     from pyspark.sql.types import _parse_datatype_string
 
     item_arrow = to_arrow_type(_parse_datatype_string(item_type))
-    scored = passages.mapInArrow(rows, f"id {id_type}, item {item_type}, score double, n_seeds int, first_word bigint, end_word bigint")
+    scored = passages.where("words is not null").mapInArrow(rows, f"id {id_type}, item {item_type}, score double, n_seeds int, first_word bigint, end_word bigint")
     best = F.max(F.struct("score", (-F.col("first_word")).alias("back"), "n_seeds", "end_word")).alias("b")
     return scored.where(F.col("score") >= least).groupBy("id", "item").agg(best).select(
         "id", "item", "b.score", "b.n_seeds", (-F.col("b.back")).alias("first_word"), "b.end_word")

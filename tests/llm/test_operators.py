@@ -177,7 +177,8 @@ def test_decontamination_equals_brute_force(spark):
     for d, t in rows:
         w = decontaminate.words_of(t)
         for i, item in items:
-            if set(decontaminate.grams_of(w)) & set(decontaminate.grams_of(item)):
+            grams = lambda x, n=min(3, len(item)): {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}
+            if grams(w) & grams(item):
                 s = plain_smith_waterman(item, w) / (2 * len(item))
                 if s >= decontaminate.CONTAMINATED:
                     want[d, i] = s
@@ -210,6 +211,26 @@ def test_many_edited_copies_beside_an_exact_one_are_found(spark):
     assert all(abs(got[k] - plain_smith_waterman(item, edited) / (2 * len(item))) < 1e-9 for k in range(1, 1001))
 
 
+def test_recall_of_edited_copies(spark):
+    rng = random.Random(6)
+    bench = spark.read.parquet(str(DATA / "sf0.1" / "benchmark.parquet"))
+    items = [(r[0], decontaminate.words_of(r[1])) for r in bench.select("item_id", "text").collect()]
+    vocabulary = sorted({w for r in texts(spark, "sf0.01").select("text").collect() for w in decontaminate.words_of(r[0])})
+    around = lambda n: rng.choices(vocabulary, k=n)
+    rows, planted = [], {}
+    for rate in (10, 20, 30):
+        for k in range(400):
+            i, words = items[k % len(items)]
+            planted[rate * 1000 + k] = i
+            rows.append((rate * 1000 + k, " ".join([*around(40), *(rng.choice(vocabulary) if rng.random() < rate / 100 else w for w in words), *around(40)])))
+    rows += [(90_000 + k, " ".join(around(120))) for k in range(400)]
+    found = {(r[0], r[1]) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).select("doc_id", "item_id").collect()}
+    shares = {rate: sum((d, i) in found for d, i in planted.items() if d // 1000 == rate) / 400 for rate in (10, 20, 30)}
+    print(shares)
+    assert shares[10] >= 0.99 and shares[20] >= 0.97 and shares[30] >= 0.9
+    assert not any(d >= 90_000 for d, _ in found)
+
+
 def test_clean_documents_that_share_an_id_with_a_leak_stay(spark):
     item = "one two three four five six seven eight"
     rows = [(None, f"x {item}"), (None, "a clean text"), (None, None), (1, item), (1, "clean too"), (2, "clean"), (2, "clean"), (12, ":x"), (1, f"y {item} z")]
