@@ -29,3 +29,19 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(catalogue.queries()) <= set(entry.queries())
+
+
+def test_tables_of_the_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from landsight import storage
+
+    before = storage.written()
+    one, two = (storage.stored(spark.range(n), "x") for n in (3, 4))
+    storage.forget_others(spark, before, two)
+    assert storage.written() == [*before, two._landsight_path] and two.count() == 4
+    storage.forget(one, two)
+    assert storage.written() == before
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://a:1"))
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(unset)
