@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landsight.llm import decontaminate, pieces, quality, secrets, simhash
-from landsight.llm.common import forget, read, stored
+from landsight.llm.common import read, stored
 from landsight.llm.queries import PIECES_MODEL
+from landsight.storage import forget_others, written
 
 #: A classifier, alignment scores and a tokenizer: no SQL says these.
 ORACLE_SQL = None
@@ -24,8 +25,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id. Documents without an id are kept."""
-    found = simhash.near_duplicates(docs)
+    """One document of each group of near duplicates (five words, similarity 0.8): that of the smallest id. Documents without an id are kept."""
+    found = simhash.near_duplicates(docs, scheme=simhash.NEAR)
     gone = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
     kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     again = stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "repeats")
@@ -60,10 +61,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = read(spark, sf_dir, "documents"), None
+    docs, start = read(spark, sf_dir, "documents"), written()
     for _, stage in STAGES[:-1]:
-        after = stored(stage(spark, docs, sf_dir), "stage")
-        if before is not None:
-            forget(before)
-        docs = before = after
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+        forget_others(spark, start, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
