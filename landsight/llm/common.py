@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from ..storage import forget, stored
 
-__all__ = ["bounded_batches", "forget", "read", "stored", "text_of"]
+__all__ = ["bounded_batches", "forget", "read", "sendable", "stored", "text_of"]
 
 #: Rows and bytes that one Arrow batch may hold: what bounds a Python worker's memory.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
 
+#: Rows of a few numbers that a broadcast may hold.
+SENT_ROWS = 1_000_000
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches small enough for very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -26,3 +30,8 @@ def text_of(col: str) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def sendable(keys: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """A stored table of keys for a join with texts: broadcast if it is small, so that no text is shuffled, else joined by merging."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("merge")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, sendable, stored
 
 SEED_WORDS = 3
 #: A block of the benchmark has up to so many characters (a single longer item is a block of its own).
@@ -267,7 +267,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     id_, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
     # The id's length ends it, so no two rows of different id or text are hashed from one string.
-    own = F.sha2(F.concat(F.coalesce(F.concat(F.length(id_), F.lit(":"), id_), F.lit("-")), text), 256)
+    own = F.unhex(F.substring(F.sha2(F.concat(F.coalesce(F.concat(F.length(id_), F.lit(":"), id_), F.lit("-")), text), 256), 1, 32))
     rows = docs.select(own.alias("id"), text.alias("text"))
     bad = stored(matches(rows, benchmark, "id", "text", **how).select(F.col("id").alias("__landsight_id")).distinct(), "leaks")
-    return docs.join(bad, own == F.col("__landsight_id"), "left_anti")
+    return docs.join(sendable(bad), own == F.col("__landsight_id"), "left_anti")
