@@ -7,8 +7,8 @@ and any 5 positions hold 3 of one half. Pairs with fewer shared triples than thi
 verified by their bits. ``NEAR`` finds texts whose sets of five-word shingles are 0.8 similar or more: such texts differ
 in 15 % of the bits of a long fingerprint, and nearly always share one of its triples.
 
-Two rounds. In the first, every member of a posting list is compared with the list's least one, which settles dense
-groups with as many comparisons as postings. Components come from rounds of star contraction with each round's edges written
+Two rounds. In the first, every member of a posting list is compared with the list's least one, each with the few that it
+shares most lists with, which settles dense groups with a few comparisons a member. Components come from rounds of star contraction with each round's edges written
 to the shared folder. The second round takes the lists that still hold several components and tallies the shared triples of
 pairs from different ones; long lists are dealt into chunks, each pair of chunks a task's group of bounded size
 that returns a spanning forest of its links. Lists over ``extend_over`` are first split by two more byte positions where the
@@ -62,6 +62,8 @@ def spread_triples(size: int, n: int, seed: int = 1) -> tuple[tuple[int, int, in
 
 #: At similarity 0.8 the expected angle gives 77.6 of 512 differing bits, with a standard deviation of 8.
 NEAR = Scheme(5, 64, spread_triples(64, 96), 1, 80, False)
+#: Least members that a node is compared with in the first round.
+COMPARED = 3
 #: A text's shingle hashes are tallied so many at a time: bounds memory on very long texts.
 TALLY_BLOCK = 1 << 13
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -203,7 +205,11 @@ def links(nodes: DataFrame, scheme: Scheme = STRICT, pair_up_to: int = 48, chunk
     sizes = key.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("least")).where("m > 1")
     lists = stored(key.join(sizes, "key"), "lists")
     forget(key)
-    near = verified(lists.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), nodes, scheme)
+    # Of the least members of its lists, a node is compared with those that it shares most lists with.
+    tally = lists.where("node != least").groupBy("node", "least").agg(F.count("*").alias("shared"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("back"), "least"))), 1, COMPARED)  # of a list for each triple
+    star = tally.groupBy("node").agg(best.alias("best")).select(F.explode("best.least").alias("a"), F.col("node").alias("b"))
+    near = verified(star, nodes, scheme)
     none = nodes.sparkSession.createDataFrame([], "node bigint, root bigint")
     roots = components(near)
     roots = none if roots is None else stored(roots, "roots")
