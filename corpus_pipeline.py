@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landsight.llm import decontaminate, pieces, quality, secrets, simhash
-from landsight.llm.common import read, stored
+from landsight.llm.common import read, sendable, stored
 from landsight.llm.queries import PIECES_MODEL
 from landsight.storage import forget_others, written
 
@@ -28,7 +28,7 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of near duplicates (five words, similarity 0.8): that of the smallest id. Documents without an id are kept."""
     found = simhash.near_duplicates(docs, scheme=simhash.NEAR)
     gone = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    kept = docs.join(sendable(gone), docs["doc_id"] == gone["__gone"], "left_anti")
     again = stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "repeats")
     if again.isEmpty():
         return kept
