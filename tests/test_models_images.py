@@ -83,11 +83,43 @@ def scene(seed, shift=(0.0, 0.0), n=80):
 
 def test_tracker_follows_drift_and_starts_a_segment_at_a_new_aim():
     seen = [(scene(1, (k * 3.0, k * 1.0)), 1.0) for k in range(12)] + [(None, 0.0)] + [(scene(2, (k * 2.0, 0.0)), 2.0) for k in range(12)]
-    out, segments = registration.track(seen, registration.PointMatcher())
-    assert [x[0] for x in out[:12]] == [0] * 12 and out[12][0] == -1 and [x[0] for x in out[13:]] == [1] * 12
-    assert len(segments) == 2
+    tracker = registration.track(seen, registration.PointMatcher())
+    assert [p.segment for p in tracker.places] == [0] * 12 + [-1] + [1] * 12 and len(tracker.segments) == 2
     for k in range(12):
-        assert np.abs(out[k][1][:, 2] + [k * 3.0, k * 1.0]).max() < 1e-6
+        assert np.abs(tracker.places[k].t[:, 2] + [k * 3.0, k * 1.0]).max() < 1e-6
+
+
+def counted_match(weights):
+    """A matcher of named frames that knows how many points each pair shares."""
+    return lambda a, b: (registration.IDENTITY, weights.get((a, b), 0)) if weights.get((a, b), 0) else (None, 0)
+
+
+def test_tracker_transitions():
+    def places(frames, weights, **policy):
+        tracker = registration.track(frames, counted_match(weights), **policy)
+        return [(p.segment, p.inliers) for p in tracker.places], [[k.frame for k in s] for s in tracker.segments]
+
+    # A weak match of a clear frame becomes a keyframe, that of a dull one does not; strong ones never do.
+    got = places([("a", 2.0), ("b", 2.0), ("c", 1.0), ("d", 2.0)], {("b", "a"): 100, ("c", "a"): 100, ("d", "b"): 500, ("d", "a"): 40})
+    assert got == ([(0, 999), (0, 100), (0, 100), (0, 500)], [[0, 1]])
+    # Too few inliers lose a frame, and a match ends the row of lost ones.
+    got = places([("a", 1.0), ("x", 1.0), ("y", 1.0), ("z", 1.0), ("b", 1.0), ("u", 1.0)], {("x", "a"): 34, ("b", "a"): 35})
+    assert got == ([(0, 999), (-1, 0), (-1, 0), (-1, 0), (0, 35), (-1, 0)], [[0]])
+    # The fourth lost frame opens a segment at the clearest, which the others may join.
+    got = places([("a", 1.0), ("x", 1.0), ("y", 3.0), (None, 9.0), ("z", 1.0), ("w", 2.0), ("v", 1.0)], {("x", "y"): 50, ("z", "y"): 20, ("w", "y"): 60, ("v", "y"): 170})
+    assert got == ([(0, 999), (1, 50), (1, 999), (-1, 0), (-1, 0), (1, 60), (1, 170)], [[0], [2]])
+    # A frame that matches none of the newest is tried against the older keyframes.
+    names = [f"k{i}" for i in range(8)]
+    chain = {(b, a): 100 for a, b in zip(names, names[1:])}
+    got = places([(n, 2.0) for n in [*names, "late"]], chain | {("late", "k2"): 90})
+    assert got[0][-1] == (0, 90) and got[1] == [[*range(9)]]
+
+
+def test_groups_take_the_strongest_links():
+    shift = lambda x: np.array([[1.0, 0, x], [0, 1.0, 0]])
+    links = {(0, 1): (90, shift(1)), (1, 2): (80, shift(10)), (0, 2): (31, shift(999)), (3, 4): (30, shift(5)), (4, 5): (29, shift(0)), (2, 9): (99, shift(0))}
+    got = [{s: t[0, 2] for s, t in g.items()} for g in registration.spanning_groups({0: 5, 1: 9, 2: 7, 3: 6, 4: 8, 5: 1}, links)]
+    assert got == [{1: 0.0, 0: 1.0, 2: -10.0}, {4: 0.0, 3: 5.0}, {5: 0.0}]
 
 
 def test_tracking_and_views_per_camera(spark):
@@ -127,6 +159,20 @@ def test_pixels():
     sky[20:25, 50:60] = False
     rows = images.skyline_rows(sky)
     assert (rows[10:-10] == 40).all() and np.isnan(rows[:10]).all()
+    gray = np.full((100, 200), 200.0)
+    gray[43:] = 90.0
+    gray[:, 150:] = np.where(np.arange(100)[:, None] < 43, 200.0, 10.0)
+    sky[:, 60] = True
+    lit = images.skyline_rows(sky, gray)
+    assert np.isin(lit[10:150][np.arange(10, 150) != 60], (42, 43)).all() and np.isnan(lit[150:]).all() and np.isnan(lit[60])
+    speckled = rng.uniform(0, 255, (96, 96, 3))
+    small = images.resized(speckled, 512, 384)
+    got = images.screened(speckled)
+    assert np.isclose(got["std"], images.grey(small)[172:].std()) and 0 < got["sky_sat"] < 255 and got["lap"] > 0 and images.screened(np.zeros((96, 96, 3)))["ground_sat"] == 0
+    noise = rng.uniform(0, 255, (96, 96, 3))
+    mask = np.ones((96, 96), bool)
+    assert np.isclose(images.edge_agreement(noise, images.edges(speckled), mask), np.corrcoef(images.edges(noise)[38:].ravel(), images.edges(speckled)[38:].ravel())[0, 1])
+    assert images.edge_agreement(noise, images.edges(noise), mask) > 0.999 and images.edge_agreement(noise, images.edges(noise), np.arange(96)[:, None] < mask * 40) == 0.0
     assert images.edge_agreement(flat, images.edges(flat), np.ones((96, 96), bool)) == 0.0
     assert images.decode(b"not a picture") is None and images.decode(None) is None
 
