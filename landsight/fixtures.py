@@ -38,12 +38,13 @@ SERIES = "(SELECT user_id AS cam, event_type AS view, event_id, ts, value FROM e
 
 
 def view_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean value of each view and every second day."""
-    s = series(spark, sf_dir).withColumn("date", F.col("ts").cast("date")).where(F.dayofmonth("date") % 5 != 2)
+    """Mean value of each view and day; the calendar is stretched so that every fifth day is missing."""
+    day = F.col("ts").cast("date")
+    s = series(spark, sf_dir).withColumn("date", F.date_add(day, F.floor((F.dayofmonth(day) - 1) / 4).cast("int")))
     return s.groupBy("view", "date").agg(F.round(F.avg("value"), 6).alias("value"))
 
 
-VIEW_DAYS = "(SELECT event_type AS view, ts::DATE AS date, round(avg(value), 6) AS value FROM events WHERE day(ts) % 5 <> 2 GROUP BY 1, 2)"
+VIEW_DAYS = "(SELECT event_type AS view, ts::DATE + CAST((day(ts) - 1) // 4 AS INTEGER) AS date, round(avg(value), 6) AS value FROM events GROUP BY 1, 2)"
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,16 +71,27 @@ BLOCKS = ("(SELECT vec_id AS frame, label AS view, DATE '2020-01-01' + CAST(vec_
           "100 + 60 * CAST(embedding[p + 1] AS DOUBLE) AS r, 100 + 60 * CAST(embedding[(p + 1) % 64 + 1] AS DOUBLE) AS g, "
           "100 + 60 * CAST(embedding[(p + 2) % 64 + 1] AS DOUBLE) AS b, (vec_id + p) % 11 <> 0 AS valid FROM embeddings CROSS JOIN range(64) AS t(p))")
 
-#: 38 columns of cells of 3 arc seconds; heights from account balances.
-GRID = Grid(38.0, -1 / 1200, -120.0, 1 / 1200, 39, 38)
+#: Columns of the terrain.
+COLS = 38
+
+
+def grid(spark: SparkSession, sf_dir: str) -> Grid:
+    """Cells of 3 arc seconds, as many rows as the customers fill."""
+    last = table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] or 0
+    return Grid(38.0, -1 / 1200, -120.0, 1 / 1200, last // COLS + 1, COLS)
+
+
+LAST_ROW = "(SELECT max(c_custkey) // 38 FROM customer)"
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terrain: a customer is a cell (the first 39 rows)."""
-    return table(spark, sf_dir, "customer").where(F.col("c_custkey") < 38 * 39).select(F.floor(F.col("c_custkey") / 38).cast("int").alias("row"), (F.col("c_custkey") % 38).cast("int").alias("col"), (F.col("c_acctbal") / 400).alias("z"))
+    """Terrain: a customer is a cell, its height the account balance; what the last row lacks is at sea level."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    every = spark.range(grid(spark, sf_dir).rows * COLS).join(c, "id", "left")
+    return every.select(F.floor(F.col("id") / COLS).cast("int").alias("row"), (F.col("id") % COLS).cast("int").alias("col"), (F.coalesce("c_acctbal", F.lit(0.0)) / 400).alias("z"))
 
 
-CELLS = "(SELECT CAST(c_custkey // 38 AS INTEGER) AS row, CAST(c_custkey % 38 AS INTEGER) AS col, c_acctbal / 400 AS z FROM customer WHERE c_custkey < 38 * 39)"
+CELLS = f"(SELECT CAST(k // 38 AS INTEGER) AS row, CAST(k % 38 AS INTEGER) AS col, coalesce(c_acctbal, 0) / 400 AS z FROM (SELECT unnest(range(({LAST_ROW} + 1) * 38)) AS k) LEFT JOIN customer ON c_custkey = k)"
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +113,9 @@ CAMERAS = "(SELECT s_suppkey AS site, 36 + s_suppkey * 71 % 100 / CAST(50 AS DOU
 
 
 def masts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A few sites on the terrain."""
+    """Sites on the terrain, a supplier each."""
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").where(k < 6).select(k.alias("site"), (F.lit(38.0) - (k * 5 + 6.25) / F.lit(1200.0)).alias("lat"), (F.lit(-120.0) + (k * 6 % 31 + 3.75) / F.lit(1200.0)).alias("lon"))
+    return table(spark, sf_dir, "supplier").select(k.alias("site"), (F.lit(38.0) - (k * 5 % 31 + 6.25) / F.lit(1200.0)).alias("lat"), (F.lit(-120.0) + (k * 6 % 31 + 3.75) / F.lit(1200.0)).alias("lon"))
 
 
-MASTS = "(SELECT s_suppkey AS site, 38 - (s_suppkey * 5 + 6.25::DOUBLE) / 1200 AS lat, -120 + (s_suppkey * 6 % 31 + 3.75::DOUBLE) / 1200 AS lon FROM supplier WHERE s_suppkey < 6)"
+MASTS = "(SELECT s_suppkey AS site, 38 - (s_suppkey * 5 % 31 + 6.25::DOUBLE) / 1200 AS lat, -120 + (s_suppkey * 6 % 31 + 3.75::DOUBLE) / 1200 AS lon FROM supplier)"

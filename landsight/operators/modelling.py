@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..functions.base import c, ratio
+from ..storage import stored
 from .siting import binomial_tail
 
 SEASON = ["doy_s1", "doy_c1", "doy_s2", "doy_c2"]
@@ -97,16 +98,25 @@ def metrics(pred: DataFrame, group: list[str], target: str = "lfmc", year: str =
     return main.join(beat, group) if group else main.crossJoin(beat)
 
 
+def mean_ranks(values: DataFrame, x: str) -> DataFrame:
+    """(x, rank): of each value the mean rank of its rows. Values are dealt in ranges, so no task sorts them all."""
+    n = values.groupBy(x).agg(F.count("*").alias("__eq"))
+    ranges = stored(n.repartitionByRange(F.col(x)).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = lambda w: F.coalesce(F.sum("__eq").over(w.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ranges.groupBy("__part").agg(F.sum("__eq").alias("__eq"))
+    parts = parts.select("__part", before(W.Window.orderBy("__part")).alias("__first"))  # a row a range
+    own = ranges.withColumn("__lt", before(W.Window.partitionBy("__part").orderBy(x))).join(parts, "__part")
+    return own.select(x, (F.col("__first") + F.col("__lt") + (F.col("__eq") + 1) / 2).alias("rank"))
+
+
 def spearman(df: DataFrame, a: str, b: str, least: int = 6) -> DataFrame:
-    """(n, rho): rank correlation with mean ranks on ties; NULL with fewer than ``least`` rows. df: one small table."""
+    """(n, rho): rank correlation with mean ranks on ties; NULL with fewer than ``least`` rows."""
     def rank(x: str) -> Column:
-        return F.col(f"__lt_{x}") + (F.col(f"__eq_{x}") + 1) / 2
+        return F.col(f"__rank_{x}")
 
     out = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
     for x in ("a", "b"):
-        n = out.groupBy(x).agg(F.count("*").alias(f"__eq_{x}"))
-        n = n.withColumn(f"__lt_{x}", F.coalesce(F.sum(f"__eq_{x}").over(W.Window.orderBy(x).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
-        out = out.join(n, x)
+        out = out.join(mean_ranks(out.select(x), x).withColumnRenamed("rank", f"__rank_{x}"), x)
     return out.agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.corr(rank("a"), rank("b"))).alias("rho"))
 
 

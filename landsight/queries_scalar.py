@@ -177,16 +177,14 @@ def s8_s9_s17_names_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", frames.path_date(path).alias("t"), frames.infrared_twin(path).alias("twin"), frames.exposure(meta).alias("e"), script["k"].alias("k"))
 
 
-@query(f"""WITH t AS (SELECT frame, br * 24 + y AS y, bc * 24 + x AS x, r, (br * 24 + y + bc * 24 + x + frame) % 13 > 0 OR br > 1 AS covered
-FROM (SELECT * FROM {BLOCKS} WHERE br < 3 AND bc < 3 AND frame % 100 = 0), range(24) AS i(y), range(24) AS j(x))
-SELECT frame, CAST(y // 36 AS INTEGER) AS br, CAST(x // 36 AS INTEGER) AS bc, round(avg(r) FILTER (WHERE covered), 8) + 0.0 AS r, count(*) FILTER (WHERE covered) AS n,
-count(*) FILTER (WHERE covered) > 0.95 * 1296 AS valid FROM t GROUP BY 1, 2, 3""")
+@query(f"""WITH t AS (SELECT frame, br AS y, bc AS x, r, (br + bc + frame) % 13 > 0 OR br > 3 AS covered FROM {BLOCKS})
+SELECT frame, CAST(y // 4 AS INTEGER) AS br, CAST(x // 4 AS INTEGER) AS bc, round(avg(r) FILTER (WHERE covered), 8) + 0.0 AS r, count(*) FILTER (WHERE covered) AS n,
+count(*) FILTER (WHERE covered) > 0.95 * 16 AS valid FROM t GROUP BY 1, 2, 3""")
 def a1_block_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = blocks(spark, sf_dir).where("br < 3 and bc < 3 and frame % 100 = 0")
-    px = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    px = px.select("frame", (F.col("br") * 24 + F.col("i")).alias("y"), (F.col("bc") * 24 + F.col("j")).alias("x"), "r", "br")
-    px = px.withColumn("covered", ((F.col("y") + F.col("x") + F.col("frame")) % 13 > 0) | (F.col("br") > 1)).drop("br")
-    return regions.block_means(px, ["frame"], ["r"], 36, 0.95, 72, 72).select("frame", "br", "bc", rounded("r", 8).alias("r"), "n", "valid")
+    """Blocks of four by four pixels of every frame."""
+    px = blocks(spark, sf_dir).withColumn("covered", ((F.col("br") + F.col("bc") + F.col("frame")) % 13 > 0) | (F.col("br") > 3))
+    px = px.select("frame", F.col("br").alias("y"), F.col("bc").alias("x"), "r", "covered")
+    return regions.block_means(px, ["frame"], ["r"], 4, 0.95, 8, 8).select("frame", "br", "bc", rounded("r", 8).alias("r"), "n", "valid")
 
 
 @query(f"SELECT view, br, bc, round(avg(CAST(valid AS INTEGER)), 8) + 0.0 AS cover, round(quantile_cont(g, 0.9), 8) + 0.0 AS q90, round(median(r) FILTER (WHERE valid), 8) + 0.0 AS mid FROM {BLOCKS} GROUP BY ALL")
@@ -221,11 +219,11 @@ def a23_white_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT cam, site || ' | ' || species AS unit, date, avg(lfmc) AS lfmc FROM {SAMPLES} WHERE lfmc BETWEEN 20 AND 400 AND date <= DATE '2000-06-30' GROUP BY ALL),
-f AS (SELECT cam, date, avg(x) AS x FROM {SAMPLES} WHERE id % 2 = 0 GROUP BY ALL)
+f AS (SELECT cam, date, avg(x) AS x FROM {SAMPLES} GROUP BY ALL)
 SELECT s.cam, s.unit, s.date, round(s.lfmc, 6) + 0.0 AS lfmc, round(f.x, 6) + 0.0 AS x, CAST(year(s.date) AS INTEGER) AS year FROM s LEFT JOIN f USING (cam, date) QUALIFY count(*) OVER (PARTITION BY cam, unit) >= 15""")
 def a8_a9_j3_p30_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
-    values = s.where("id % 2 = 0").select("cam", "date", F.lit("x").alias("metric"), F.col("x").alias("value"))
+    values = s.select("cam", "date", F.lit("x").alias("metric"), F.col("x").alias("value"))
     rows = network.sample_rows(s.withColumn("lat", d(0)).withColumn("lon", d(0)), values, ["x"], until="2000-06-30")
     return rows.select("cam", "unit", "date", rounded("lfmc", 6).alias("lfmc"), rounded("x", 6).alias("x"), "year")
 
@@ -331,9 +329,9 @@ def s23_fullest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT cam % 20 AS site, event_id, ts FROM {SERIES}), s AS (SELECT fire % 25 AS site, DATE '2024-01-01' + CAST(fire % 28 + 20 AS INTEGER) AS date FROM {PLACES}),
-j AS (SELECT site, min(date) - 10 AS a, least(max(date), DATE '2024-01-22') AS z FROM s WHERE site < 15 GROUP BY site)
+j AS (SELECT site, min(date) - 10 AS a, least(max(date), DATE '2024-01-22') AS z FROM s GROUP BY site)
 SELECT p.site, p.event_id FROM p JOIN j USING (site) WHERE p.ts::DATE BETWEEN j.a AND j.z""")
 def s16_photo_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = series(spark, sf_dir).select((F.col("cam") % 20).alias("site"), "event_id", "ts")
-    s = places(spark, sf_dir).select((F.col("fire") % 25).alias("site"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("fire") % 28 + 20).cast("int")).alias("date")).where("site < 15")
+    s = places(spark, sf_dir).select((F.col("fire") % 25).alias("site"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("fire") % 28 + 20).cast("int")).alias("date"))
     return photos.jobs(p, s, days_before=10, until="2024-01-22").select("site", "event_id")

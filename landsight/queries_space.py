@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .fixtures import BLOCKS, CAMERAS, CELLS, GRID, MASTS, PLACES, SERIES, blocks, cameras, cells, masts, places, query, series, table
-from .functions.base import first_max, rounded
-from .operators import joins, siting, terrain
+from .fixtures import BLOCKS, CAMERAS, CELLS, LAST_ROW, MASTS, PLACES, SERIES, blocks, cameras, cells, grid, masts, places, query, series, table
+from .functions.base import rounded
+from .operators import joins, registration, siting, terrain
 from .plans import network
 from .sources import tables
 
@@ -17,7 +17,7 @@ DROP = lambda x: f"({x}) * ({x}) / (2 * 6371000.0::DOUBLE) * 0.87::DOUBLE"  # no
 PLACE = lambda lat, lon: (f"(({lat}) - 38) * -1200 - 0.5::DOUBLE", f"(({lon}) + 120) * 1200 - 0.5::DOUBLE")
 
 
-def clipped(x: str, most: int) -> str:
+def clipped(x: str, most: int | str) -> str:
     return f"greatest(0, least({most}, CAST(round_even({x}, 0) AS INTEGER)))"
 
 
@@ -26,8 +26,8 @@ def bilinear(points: str, key: str) -> str:
     y, x = PLACE("lat", "lon")
     return f"""(SELECT {key}, sum(w * z) AS z FROM (
   SELECT {key}, (CASE WHEN i = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN j = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w,
-    greatest(0, least(38, CAST(floor(y) AS INTEGER) + i)) AS row, greatest(0, least(37, CAST(floor(x) AS INTEGER) + j)) AS col
-  FROM (SELECT {key}, greatest(0, least(38, {y})) AS y, greatest(0, least(37, {x})) AS x FROM {points}), (VALUES (0), (1)) AS a(i), (VALUES (0), (1)) AS b(j)) p
+    greatest(0, least({LAST_ROW}, CAST(floor(y) AS INTEGER) + i)) AS row, greatest(0, least(37, CAST(floor(x) AS INTEGER) + j)) AS col
+  FROM (SELECT {key}, greatest(0, least({LAST_ROW}, {y})) AS y, greatest(0, least(37, {x})) AS x FROM {points}), (VALUES (0), (1)) AS a(i), (VALUES (0), (1)) AS b(j)) p
   JOIN {CELLS} c USING (row, col) GROUP BY {key})"""
 
 
@@ -42,23 +42,23 @@ def rays_sql(n_az: int, steps: int, step: float) -> str:
     SELECT site, az, h_obs, k * {step}::DOUBLE AS dist, lat + k * {step}::DOUBLE * cos(radians(az * {360 / n_az}::DOUBLE)) / {KY} AS la,
       lon + k * {step}::DOUBLE * sin(radians(az * {360 / n_az}::DOUBLE)) / (111320 * cos(radians(lat))) AS lo
     FROM {OBSERVERS}, range({n_az}) AS a(az), range(1, {steps + 1}) AS b(k)) s
-  JOIN {CELLS} c ON c.row = {clipped(y, 38)} AND c.col = {clipped(x, 37)}))"""
+  JOIN {CELLS} c ON c.row = {clipped(y, LAST_ROW)} AND c.col = {clipped(x, 37)}))"""
 
 
 RAYS = rays_sql(72, 40, 40.0)
-VIEWS = f"(SELECT site, row, col, min(dist) AS dist FROM {RAYS} WHERE visible AND row BETWEEN 0 AND 38 AND col BETWEEN 0 AND 37 GROUP BY ALL)"
+VIEWS = f"(SELECT site, row, col, min(dist) AS dist FROM {RAYS} WHERE visible AND row BETWEEN 0 AND {LAST_ROW} AND col BETWEEN 0 AND 37 GROUP BY ALL)"
 HOW = {"r_max": 1600.0, "n_az": 72, "step_m": 40.0}
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
-    return terrain.viewshed(terrain.observers(masts(spark, sf_dir), c, GRID), c, GRID, **HOW)
+    return terrain.viewshed(terrain.observers(masts(spark, sf_dir), c, grid(spark, sf_dir)), c, grid(spark, sf_dir), **HOW)
 
 
 @query(f"SELECT site, az, round(dist, 3) AS dist, row, col, round(ang, 9) + 0.0 AS ang, visible FROM {RAYS}")
 def g1_j10_j14_w9_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
-    r = terrain.rays(terrain.observers(masts(spark, sf_dir), c, GRID), c, GRID, **HOW)
+    r = terrain.rays(terrain.observers(masts(spark, sf_dir), c, grid(spark, sf_dir)), c, grid(spark, sf_dir), **HOW)
     return r.select("site", "az", F.round("dist", 3).alias("dist"), "row", "col", rounded("ang", 9).alias("ang"), "visible")
 
 
@@ -73,24 +73,24 @@ def g6_a16_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("row", "col", v["n"].cast("bigint").alias("n"), v["near"].cast("bigint").alias("near"))
 
 
-@query(f"""WITH o AS (SELECT a.site * 100 + b.site AS pair, a.lat, a.lon, a.h_obs, b.lat AS lat2, b.lon AS lon2, b.h_obs + 5 AS z_top FROM {OBSERVERS} a CROSS JOIN {OBSERVERS} b),
+@query(f"""WITH s AS (SELECT * FROM {OBSERVERS}), o AS (SELECT a.site * 10 + b.site - a.site AS pair, a.lat, a.lon, a.h_obs, b.lat AS lat2, b.lon AS lon2, b.h_obs + 5 AS z_top FROM s a JOIN s b ON b.site BETWEEN a.site AND a.site + 3),
 m AS (SELECT *, {KY} AS ky, 111320 * cos(radians((lat + lat2) / 2)) AS kx FROM o), p AS (SELECT *, sqrt(pow((lat2 - lat) * ky, 2) + pow((lon2 - lon) * kx, 2)) AS d FROM m),
 r AS (SELECT *, k * 30.0::DOUBLE / d AS t FROM p, range(1, 400) AS q(k) WHERE d >= 1 AND k <= ceil((d - 15) / 30.0::DOUBLE) - 1),
 x AS (SELECT r.pair, c.z - {DROP('t * d')} < h_obs + (z_top - {DROP('d')} - h_obs) * t AS under FROM r JOIN {CELLS} c
-  ON c.row = {clipped(PLACE('lat + t * (lat2 - lat)', 'lon')[0], 38)} AND c.col = {clipped(PLACE('lat', 'lon + t * (lon2 - lon)')[1], 37)}),
+  ON c.row = {clipped(PLACE('lat + t * (lat2 - lat)', 'lon')[0], LAST_ROW)} AND c.col = {clipped(PLACE('lat', 'lon + t * (lon2 - lon)')[1], 37)}),
 f AS (SELECT pair, bool_and(under) AS free FROM x GROUP BY pair)
 SELECT p.pair, CASE WHEN d < 1 THEN true ELSE coalesce(free, true) END AS visible FROM p LEFT JOIN f USING (pair)""")
 def g3_sees_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
-    o = terrain.observers(masts(spark, sf_dir), c, GRID)
+    o = terrain.observers(masts(spark, sf_dir), c, grid(spark, sf_dir))
     b = o.select(F.col("site").alias("s2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), (F.col("h_obs") + 5).alias("z_top"))
-    p = o.crossJoin(b).withColumn("pair", F.col("site") * 100 + F.col("s2"))  # six sites
-    return terrain.sees(p, c, GRID, step_m=30.0)
+    p = o.withColumn("s2", F.explode(F.sequence(F.col("site"), F.col("site") + 3))).join(b, "s2").withColumn("pair", F.col("site") * 10 + F.col("s2") - F.col("site"))  # each site with itself and the next three
+    return terrain.sees(p, c, grid(spark, sf_dir), step_m=30.0)
 
 
 @query(f"SELECT site, round(z, 6) + 0.0 AS ground FROM {bilinear(MASTS, 'site')}")
 def p18_bilinear_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terrain.sample_bilinear(masts(spark, sf_dir), cells(spark, sf_dir), GRID, "site", out="g").where("g is not null").select("site", rounded("g", 6).alias("ground"))
+    return terrain.sample_bilinear(masts(spark, sf_dir), cells(spark, sf_dir), grid(spark, sf_dir), "site", out="g").where("g is not null").select("site", rounded("g", 6).alias("ground"))
 
 
 @query(f"""WITH g AS (SELECT row, col, (coalesce(lead(z) OVER x, z) - coalesce(lag(z) OVER x, z)) / (CASE WHEN lead(z) OVER x IS NULL OR lag(z) OVER x IS NULL THEN 1 ELSE 2 END * (111320 * cos(radians(38)) / 1200)) AS gx,
@@ -98,13 +98,13 @@ def p18_bilinear_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
 WINDOW x AS (PARTITION BY row ORDER BY col), y AS (PARTITION BY col ORDER BY row))
 SELECT row, col, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) + 0.0 AS slope, round(fmod(degrees(atan2(-gx, gy)) + 360, 360), 6) + 0.0 AS aspect FROM g""")
 def p19_g17_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terrain.slopes(cells(spark, sf_dir), GRID, 38.0).select("row", "col", rounded("slope", 6).alias("slope"), rounded("aspect", 6).alias("aspect"))
+    return terrain.slopes(cells(spark, sf_dir), grid(spark, sf_dir), 38.0).select("row", "col", rounded("slope", 6).alias("slope"), rounded("aspect", 6).alias("aspect"))
 
 
 def pano(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
-    s = terrain.observers(masts(spark, sf_dir), c, GRID).select("site", "lat", "lon", F.col("h_obs").alias("height"))
-    return terrain.panorama(s, c, GRID, az_lo=0.0, az_hi=90.0, az_step=5.0, max_d=1260.0, step_d=40.0)
+    s = terrain.observers(masts(spark, sf_dir), c, grid(spark, sf_dir)).select("site", "lat", "lon", F.col("h_obs").alias("height"))
+    return terrain.panorama(s, c, grid(spark, sf_dir), az_lo=0.0, az_hi=90.0, az_step=5.0, max_d=1260.0, step_d=40.0)
 
 
 PANO_POINTS = f"""(SELECT site * 100000 + a * 100 + k AS id, site, a, k, h_obs, 60 + k * 40.0::DOUBLE AS dist, lat + (60 + k * 40.0::DOUBLE) * cos(radians(a * 5.0::DOUBLE)) / {KY} AS lat,
@@ -195,15 +195,16 @@ def t2_ratio_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("pair", "a", "b", rounded("dist", 6).alias("dist"))
 
 
-@query(f"""WITH f AS (SELECT view, cam % 7 AS seg, event_id AS id, value FROM {SERIES} WHERE event_id < 3000),
-p AS (SELECT a.view, a.seg AS a, b.seg AS b, CAST(a.id * 1000003 + b.id AS BIGINT) AS id, CAST(floor(a.value + b.value) AS INTEGER) AS inliers FROM f a JOIN f b ON a.view = b.view AND a.seg < b.seg AND a.id % 29 = b.id % 29)
+@query(f"""WITH f AS (SELECT view, cam % 7 AS seg, event_id AS id, value FROM {SERIES}),
+p AS (SELECT a.view, a.seg AS a, b.seg AS b, a.id * 64 + b.id % 64 AS id, CAST(floor(a.value + b.value) AS INTEGER) AS inliers FROM f a JOIN f b ON a.view = b.view AND a.seg < b.seg AND a.id // 64 = b.id // 64)
 SELECT view, a, b, max(inliers) AS inliers, arg_min(id, (-inliers, id)) AS best FROM p GROUP BY view, a, b""")
 def j12_t4_best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = series(spark, sf_dir).where("event_id < 3000").select("view", (F.col("cam") % 7).alias("seg"), F.col("event_id").alias("id"), "value", (F.col("event_id") % 29).alias("m"))
-    a, b = f.alias("a"), f.alias("b")
-    p = a.join(b, (F.col("a.view") == F.col("b.view")) & (F.col("a.m") == F.col("b.m")) & (F.col("a.seg") < F.col("b.seg")))
-    p = p.select(F.col("a.view").alias("view"), F.col("a.seg").alias("a"), F.col("b.seg").alias("b"), (F.col("a.id") * 1000003 + F.col("b.id")).alias("id"), F.floor(F.col("a.value") + F.col("b.value")).cast("int").alias("inliers"))
-    return p.groupBy("view", "a", "b").agg(F.max("inliers").alias("inliers"), first_max("id", "inliers", "id").alias("best"))
+    """Segments of a view linked by their best pair of frames; frames of the same 64 events are matched."""
+    f = series(spark, sf_dir).select("view", F.struct("view", (F.col("cam") % 7).alias("seg")).alias("s"), F.col("event_id").alias("id"), "value", F.floor(F.col("event_id") / 64).alias("m"))
+    a, b = (f.select("view", "m", *(F.col(x).alias(f"{x}{n}") for x in ("s", "id", "value"))) for n in (1, 2))
+    id_ = F.col("id1") * 64 + F.col("id2") % 64
+    p = a.join(b, ["view", "m"]).select(F.col("s1").alias("a"), F.col("s2").alias("b"), F.floor(F.col("value1") + F.col("value2")).cast("int").alias("inliers"), F.array(id_.cast("double")).alias("t"), id_.alias("id"))
+    return registration.best_links(p).select("a.view", F.col("a.seg").alias("a"), F.col("b.seg").alias("b"), "inliers", F.get("t", F.lit(0)).cast("bigint").alias("best"))
 
 
 CAMS = "(SELECT fire, acres, fire % 4 AS cams, fire % 3 AS cams_near, CASE WHEN acres >= 10 THEN fire % 5 END AS smoke100, CASE WHEN acres >= 10 THEN fire % 7 END AS smoke300, county FROM " + PLACES + ")"
@@ -242,7 +243,7 @@ round(coalesce(sum(a) FILTER (WHERE z > 10 AND n >= 2), 0) / sum(a) FILTER (WHER
 def a17_coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = terrain.coverage(views(spark, sf_dir), near_m=800.0)
     c = cells(spark, sf_dir).join(n, ["row", "col"], "left").fillna(0, ["n", "near"])
-    s = network.coverage_stats(c, GRID, F.col("z") > 10, F.col("z") > 0)
+    s = network.coverage_stats(c, grid(spark, sf_dir), F.col("z") > 10, F.col("z") > 0)
     return s.select(*(rounded(x, 6).alias(x) for x in ("land_km2", "wild_km2", "wild_seen", "wild_seen2", "wild_near")))
 
 
@@ -267,10 +268,10 @@ def g8_g9_weighted_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return siting.greedy_cover(w, 5, weight="w", stop_at_zero=False)
 
 
-@query(f"""WITH RECURSIVE b AS (SELECT row, col, row * 38 + col AS id FROM {CELLS} WHERE z > 9 AND row < 20 AND col < 20), e AS (SELECT a.id AS u, c.id AS v FROM b a JOIN b c ON abs(a.row - c.row) + abs(a.col - c.col) = 1),
+@query(f"""WITH RECURSIVE b AS (SELECT row, col, row * 38 + col AS id FROM {CELLS} WHERE z > 9), e AS (SELECT a.id AS u, c.id AS v FROM b a JOIN b c ON abs(a.row - c.row) + abs(a.col - c.col) = 1),
 r(id, seen) AS (SELECT id, id FROM b UNION SELECT e.v, r.seen FROM r JOIN e ON e.u = r.id) SELECT b.row, b.col, CAST(min(r.seen) AS BIGINT) AS label FROM r JOIN b USING (id) GROUP BY b.row, b.col""")
 def g10_l3_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return siting.blobs(cells(spark, sf_dir).where("z > 9 and row < 20 and col < 20"), 38)
+    return siting.blobs(cells(spark, sf_dir).where("z > 9"), 38)
 
 
 @query(f"""WITH a AS (SELECT DISTINCT target, site FROM (SELECT site, row * 38 + col AS target FROM {VIEWS})), s AS (SELECT target FROM a WHERE site = 1), t AS (SELECT target FROM a WHERE site = 2)
@@ -316,17 +317,16 @@ def s12_satellite_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.satellite_items(s, ["view"]).select("view", "date", "item")
 
 
-@query(f"SELECT 'h' || CAST(floor(lon) AS INTEGER) AS tile, count(*) AS n, array_to_string(list(fire ORDER BY fire)[:5], ',') AS points FROM {PLACES} WHERE lat < 37.5 GROUP BY 1")
+@query(f"SELECT 'h' || CAST(floor(lon) AS INTEGER) AS tile, count(*) AS n, array_to_string(list(fire ORDER BY fire), ',') AS points FROM {PLACES} WHERE lat < 37.5 GROUP BY 1")
 def s13_points_by_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = places(spark, sf_dir).withColumnRenamed("fire", "point")
     t = tables.by_tile(p, F.when(F.col("lat") < 37.5, F.concat(F.lit("h"), F.floor("lon").cast("string"))))
-    return t.select("tile", "n", F.array_join(F.transform(F.slice("points", 1, 5), lambda x: x.cast("string")), ",").alias("points"))
+    return t.select("tile", "n", F.array_join(F.transform("points", lambda x: x.cast("string")), ",").alias("points"))
 
 
-@query(f"SELECT view, frame, count(*) FILTER (WHERE valid) AS n, round(avg(g) FILTER (WHERE valid AND (br, bc) IN (SELECT (br, bc) FROM {BLOCKS} WHERE frame = 0 AND r > 100)), 6) + 0.0 AS g FROM {BLOCKS} WHERE frame % 10 = 0 GROUP BY ALL")
+@query(f"SELECT view, frame, count(*) FILTER (WHERE valid) AS n, round(avg(g) FILTER (WHERE valid AND (br, bc) IN (SELECT (br, bc) FROM {BLOCKS} WHERE frame = 0 AND r > 100)), 6) + 0.0 AS g FROM {BLOCKS} GROUP BY ALL")
 def j5_a2_region_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
     veg = b.where((F.col("frame") == 0) & (F.col("r") > 100)).select("br", "bc")
-    f = b.where("frame % 10 = 0")
-    mean = f.where("valid").join(veg, ["br", "bc"], "left_semi").groupBy("frame").agg(rounded(F.avg("g"), 6).alias("g"))
-    return f.groupBy("view", "frame").agg(F.count_if("valid").alias("n")).join(mean, "frame", "left").select("view", "frame", "n", "g")
+    mean = b.where("valid").join(veg, ["br", "bc"], "left_semi").groupBy("frame").agg(rounded(F.avg("g"), 6).alias("g"))
+    return b.groupBy("view", "frame").agg(F.count_if("valid").alias("n")).join(mean, "frame", "left").select("view", "frame", "n", "g")

@@ -53,12 +53,12 @@ def l9_l11_m6_eligible_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH y AS (SELECT *, year(date) AS year FROM {SAMPLES}), h AS (SELECT id, species, x, year FROM y WHERE year = 1997),
-e AS (SELECT species, min(x) AS lo, max(x) AS hi, avg(x) AS m, stddev_pop(x) AS s FROM y WHERE year <> 1997 AND id % 3 = 0 GROUP BY species)
+e AS (SELECT species, min(x) AS lo, max(x) AS hi, avg(x) AS m, stddev_pop(x) AS s FROM y WHERE year <> 1997 GROUP BY species)
 SELECT id, round((least(greatest(x, lo), hi) - m) / s, 6) + 0.0 AS x FROM h JOIN e USING (species)""")
 def m3_clipped_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out predictors clipped to the training range, then standardised by the training rows."""
     y = samples(spark, sf_dir).withColumn("year", F.year("date"))
-    e = y.where("year <> 1997 and id % 3 = 0").groupBy("species").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    e = y.where("year <> 1997").groupBy("species").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     h = y.where("year = 1997").join(e, "species")
     return h.select("id", rounded((F.least(F.greatest("x", "lo"), "hi") - F.col("m")) / F.col("s"), 6).alias("x"))
 
@@ -103,9 +103,9 @@ def p15_p29_lens_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(F.broadcast(kinds), "label").select("id", "vegetation", "sky", rounded(cam.effective_hfov, 6).alias("hfov"), rounded(cam.focal, 6).alias("focal"))  # 150 labels
 
 
-@query(f"""WITH m AS (SELECT site, lat, lon FROM {MASTS}), p AS (SELECT fire, lat, lon, acres FROM {PLACES} WHERE fire < 200)
+@query(f"""WITH m AS (SELECT site, lat, lon FROM {MASTS}), p AS (SELECT fire, lat, lon, acres FROM {PLACES})
 SELECT fire, CAST(floor((lat - 36) / 0.25::DOUBLE) AS INTEGER) AS tile_row, CAST(floor((lon + 121) / 0.25::DOUBLE) AS INTEGER) AS tile_col, (SELECT count(*) FROM m) AS masts FROM p""")
 def s18_tile_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, c = joins.cell_of(F.col("lat"), F.col("lon"), 36.0, 0.25, -121.0, 0.25)
-    p = places(spark, sf_dir).where("fire < 200").select("fire", r.alias("tile_row"), c.alias("tile_col"))
+    p = places(spark, sf_dir).select("fire", r.alias("tile_row"), c.alias("tile_col"))
     return p.crossJoin(masts(spark, sf_dir).agg(F.count("*").alias("masts")))  # one row

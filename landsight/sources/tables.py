@@ -67,7 +67,7 @@ def tiles_around(tiles: DataFrame, lat: float, lon: float, metres: float, prefer
     hit = tiles.where((F.col("lat_hi") >= lat - y) & (F.col("lat_lo") <= lat + y) & (F.col("lon_hi") >= lon - x) & (F.col("lon_lo") <= lon + x))
     if prefer:
         ok = F.contains("id", F.lit(prefer))
-        hit = hit.withColumn("__any", F.max(ok).over(W.Window.partitionBy(F.lit(0)))).where(ok | ~F.col("__any")).drop("__any")
+        hit = hit.crossJoin(hit.agg(F.max(ok).alias("__any"))).where(ok | ~F.col("__any")).drop("__any")  # one row
     return hit
 
 

@@ -1,13 +1,14 @@
 """Daily update of camera networks as a stream, and the same in batch.
 
 Block values arrive late by up to the archive's horizon. Repeats are dropped within the watermark, values of a day are
-their median, and each micro-batch is merged into the history table of the days that it touches.
+their median, and each micro-batch renews the days that it touches in the history table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.base import c
@@ -42,9 +43,20 @@ def update(frames: DataFrame, keys: list[str], value: str, table: str, checkpoin
 
 
 def upsert(frames: DataFrame, keys: list[str], value: str, table: str, checkpoint: str, ts: str = "ts") -> StreamingQuery:
-    """Like ``update`` but every micro-batch's days are written at once, by batch; readers take a day's latest batch."""
+    """Like ``update`` but days are there as soon as they have a value, and follow late ones whenever they come.
+
+    ``table``/values keeps the values of every micro-batch in a folder of its own (a repeated batch overwrites it), by
+    date. The days that a batch touches are computed again from all their values and replace those in ``table``/days.
+    """
+    spark = frames.sparkSession
+    schema = T.StructType([*frames.select(*keys, ts, value).schema.fields, T.StructField("date", T.DateType())])
+
     def merge(batch: DataFrame, number: int) -> None:
-        days = daily_medians(batch.dropDuplicates([*keys, ts]), keys, value, ts)
-        days.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        own = batch.select(*keys, ts, value).withColumn("date", c(ts).cast("date"))
+        own.write.mode("overwrite").partitionBy("date").parquet(f"{table}/values/batch={number}")
+        every = spark.read.schema(schema).option("basePath", f"{table}/values").parquet(f"{table}/values")
+        touched = own.select("date").distinct()
+        days = daily_medians(every.join(touched, "date", "left_semi").drop("date").dropDuplicates([*keys, ts]), keys, value, ts)
+        days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{table}/days")
 
     return frames.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
