@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import d
 from ..functions.geo import Camera
+from ..storage import stored
 from .modelling import smallest_share
 
 
@@ -116,11 +117,35 @@ def fitted_poses(rows: DataFrame, skyline: DataFrame, starts: DataFrame, az_lo:
     return both.mapInPandas(fit, f"site {kind}, yaw double, pitch double, roll double, hfov double, k1 double, loss double")
 
 
-def shared_lens(rows: DataFrame, skyline: DataFrame, poses: DataFrame, az_lo: float, az_step: float, hfovs: list[float], k1s: list[float]) -> DataFrame:
-    """Poses of all sites under the one lens of least total loss on a grid: every site and lens is a row of one job."""
+def shared_lens(rows: DataFrame, skyline: DataFrame, poses: DataFrame, az_lo: float, az_step: float, hfovs: list[float], k1s: list[float], refine: int = 0, limits: tuple = ((85.0, 125.0), (-0.1, 0.25))) -> DataFrame:
+    """Poses of all sites under the one lens of least total loss: the best of a grid, then ``refine`` rounds around it.
+
+    Every site and lens is a row of one job. A refining round tries the lenses a step away each way, goes to the best, and
+    halves its steps, half the grid's at first, when none is better. ``limits`` of both hold for the lenses that it tries.
+    """
     lenses = [(h, k) for h in hfovs for k in k1s]
     best = coarse_poses(rows, skyline, poses, az_lo, az_step, lenses)
-    fitted = fitted_poses(rows, skyline, best.join(poses.select("site", "width", "height"), "site"), az_lo, az_step)
-    total = fitted.groupBy("hfov", "k1").agg(F.round(F.sum("loss"), 9).alias("total"))
-    top = total.groupBy().agg(F.min(F.struct("total", "hfov", "k1")).alias("m")).select("m.hfov", "m.k1")
-    return fitted.join(F.broadcast(top), ["hfov", "k1"])  # one row
+    sizes = poses.select("site", "width", "height")
+
+    def under(starts: DataFrame) -> tuple[DataFrame, tuple[float, float, float]]:
+        """Fitted poses and (total loss, hfov, k1) of the best lens among the starts'."""
+        fitted = stored(fitted_poses(rows, skyline, starts.join(sizes, "site"), az_lo, az_step), "poses")
+        total = fitted.groupBy("hfov", "k1").agg(F.round(F.sum("loss"), 9).alias("total"))
+        return fitted, tuple(total.agg(F.min(F.struct("total", "hfov", "k1")).alias("m")).select("m.*").first())
+
+    fitted, top = under(best)
+    gaps = [[b - a for a, b in zip(x, x[1:])] for x in (sorted(hfovs), sorted(k1s))]
+    step = [min(g, default=d0) / 2 for g, d0 in zip(gaps, (2.0, 0.04))]
+    own = lambda frame, lens: frame.where((F.col("hfov") == lens[1]) & (F.col("k1") == lens[2]))
+    chosen = own(fitted, top)
+    for _ in range(refine):
+        around = [(top[1] + i * step[0], top[2] + j * step[1]) for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]
+        around = [lens for lens in around if lens == tuple(top[1:]) or all(low <= x <= high for x, (low, high) in zip(lens, limits))]
+        pairs = F.explode(F.array(*(F.struct(d(h).alias("h"), d(k).alias("k")) for h, k in around)))
+        starts = chosen.select("site", "yaw", "pitch", "loss").withColumn("__l", pairs).select("site", "yaw", "pitch", "loss", F.col("__l.h").alias("hfov"), F.col("__l.k").alias("k1"))
+        fitted, found = under(starts)
+        if found[1:] == top[1:]:
+            step = [x / 2 for x in step]
+        top = found
+        chosen = own(fitted, top)
+    return chosen

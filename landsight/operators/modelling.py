@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -143,6 +145,37 @@ def compare(df: DataFrame, sets: dict[str, list[str]], group: list[str], **how:
     return out
 
 
+# The predictor sets of the study; the season's terms come with every set.
+STUDY_SETS = {
+    "season": [], "camera_auto": ["auto_g", "auto_d"], "camera_auto_wb": ["autowb_g", "autowb_d"], "sat_visible_view": ["sv_gcc", "sv_gcc_d"],
+    "sat_ir_view": ["sv_ndvi", "sv_ndii", "sv_ndvi_d", "sv_ndii_d"], "sat_ir_site": ["ss_ndvi", "ss_ndii", "ss_ndvi_d", "ss_ndii_d"],
+    "camera_plus_sat_ir": ["auto_g", "auto_d", "sv_ndvi", "sv_ndii", "sv_ndvi_d", "sv_ndii_d"],
+}
+HAND, NIR, NIR_HAND = ["hand_g", "hand_d"], ["nir_g", "nir_d"], ["nirh_g", "nirh_d"]
+#: Comparisons: the sets that are scored on common rows, and of what column a camera needs how many values.
+COMPARISONS = {
+    "main": (STUDY_SETS, None, 0),
+    "hand": ({"season": [], "camera_auto": STUDY_SETS["camera_auto"], "camera_hand": HAND}, "hand_g", 1),
+    "nir": ({"season": [], "camera_auto_wb": STUDY_SETS["camera_auto_wb"], "camera_ndvi": NIR, "sat_ir_view": STUDY_SETS["sat_ir_view"], "sat_ir_site": STUDY_SETS["sat_ir_site"],
+             "camera_ndvi_plus_rgb": [*NIR, *STUDY_SETS["camera_auto_wb"]]}, "nir_g", 30),
+    "nir_hand": ({"season": [], "camera_ndvi": NIR, "camera_ndvi_hand": NIR_HAND}, "nirh_g", 30),
+    "camera_only": ({"season": [], "camera_auto": STUDY_SETS["camera_auto"]}, None, 0),
+}
+
+
+def study(df: DataFrame, group: list[str], comparisons: dict[str, tuple[dict[str, list[str]], str | None, int]] = COMPARISONS, **how: object) -> DataFrame:
+    """(comparison, set, group, metrics) of all comparisons. Columns that df lacks are NULL, and sets with them score nothing."""
+    wanted = {f for sets, _, _ in comparisons.values() for own in sets.values() for f in own}
+    rows = df.withColumns({f: F.lit(None).cast("double") for f in sorted(wanted - set(df.columns))})
+    parts = []
+    for name, (sets, column, least) in comparisons.items():
+        own = rows
+        if column:
+            own = rows.withColumn("__n", F.count(column).over(W.Window.partitionBy(*group))).where(F.col("__n") >= least).drop("__n")
+        parts.append(compare(own, sets, group, **how).withColumn("comparison", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def smallest_share(df: DataFrame, keys: list[str], value: str, keep: float = 0.8, out: str = "loss") -> DataFrame:
     """(keys, loss): mean of the smallest share of absolute values, one at least."""
     per = W.Window.partitionBy(*keys)

@@ -23,6 +23,15 @@ def block_means(px: DataFrame, keys: list[str], values: list[str], block: int =
     return px.groupBy(*keys, *at).agg(*(F.avg(on(v)).alias(v) for v in values), n.alias("n"), (n > cover * block * block).alias("valid"))
 
 
+def block_fractions(px: DataFrame, keys: list[str], block: int = 24) -> DataFrame:
+    """(keys, br, bc, veg_frac, bad_frac): shares of vegetation and of what is no ground in the blocks of labelled pixels.
+
+    px: keys, y, x, veg, bad (booleans, of a view's anchor frame).
+    """
+    at = [F.floor(F.col("y") / block).cast("int").alias("br"), F.floor(F.col("x") / block).cast("int").alias("bc")]
+    return px.groupBy(*keys, *at).agg(*(F.avg(F.col(n).cast("double")).alias(f"{n}_frac") for n in ("veg", "bad")))
+
+
 def white_balanced(blocks: DataFrame, ref: DataFrame, keys: list[str], frame: str = "frame", ts: str = "ts", days: int = 61) -> DataFrame:
     """Blocks with lasting colour casts taken off red and blue.
 

@@ -18,24 +18,30 @@ def daily_index(frames: DataFrame, cam: str = "cam", view: str = "view", ts: str
     return timeseries.combined(timeseries.zscore(days, keys, value).where("z is not null"), [cam], "z")
 
 
-def block_stats(blocks: DataFrame, keys: list[str], frame_ok: str = "clear") -> DataFrame:
-    """(keys, br, bc, amp, cover, veg_frac, bad_frac): what regions are chosen by, without a segmentation model."""
+def block_stats(blocks: DataFrame, keys: list[str], frame_ok: str = "clear", fractions: DataFrame | None = None) -> DataFrame:
+    """(keys, br, bc, amp, cover, veg_frac, bad_frac): what regions are chosen by.
+
+    fractions: keys, br, bc, veg_frac, bad_frac (``regions.block_fractions``); without them every block counts as vegetation.
+    """
     at = [*keys, "br", "bc"]
     green = F.when(F.col("valid"), gcc("r", "g", "b"))
     cover = blocks.groupBy(*at).agg(F.avg(F.col("valid").cast("double")).alias("cover"))
     good = blocks.where(c(frame_ok)).withColumn("__g", green).withColumn("date", F.col("ts").cast("date"))
     amp = timeseries.weekly_amplitude(good.where("__g is not null"), at, "__g")
-    return cover.join(amp, at, "left").withColumn("veg_frac", F.lit(1.0)).withColumn("bad_frac", F.lit(0.0))
+    stats = cover.join(amp, at, "left")
+    if fractions is None:
+        return stats.withColumn("veg_frac", F.lit(1.0)).withColumn("bad_frac", F.lit(0.0))
+    return stats.join(fractions.select(*at, "veg_frac", "bad_frac"), at, "left").fillna(0.0, ["veg_frac", "bad_frac"])
 
 
-def view_series(blocks: DataFrame, frames: DataFrame, keys: list[str], grid_rows: int, least_days: int = 30, **screen: object) -> DataFrame:
+def view_series(blocks: DataFrame, frames: DataFrame, keys: list[str], grid_rows: int, least_days: int = 30, fractions: DataFrame | None = None, **screen: object) -> DataFrame:
     """(keys, date, metric, value): daily grvi, grvi_wb and gcc_wb of each view's vegetation.
 
     blocks: keys, frame, ts, br, bc, r, g, b, valid; frames: keys, frame, ts, edge_corr.
     """
     flags = timeseries.clear_flags(frames, keys, "edge_corr", "ts", **screen).select(*keys, "frame", "clear")
     b = blocks.join(flags, [*keys, "frame"])
-    chosen = regions.choose_regions(block_stats(b, keys), keys, grid_rows)
+    chosen = regions.choose_regions(block_stats(b, keys, fractions=fractions), keys, grid_rows)
     veg = chosen.where("veg").select(*keys, "br", "bc")
     ref = chosen.where("ref").select(*keys, "br", "bc")
     white = regions.white_balanced(b, ref, keys)

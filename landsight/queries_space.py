@@ -253,16 +253,30 @@ def g7_first_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return siting.greedy_cover(v, 1)
 
 
-@query()
+def greedy_sql(views: str, picks: int, stop_at_zero: bool) -> str:
+    """SQL of greedy picks of sites by the weight of targets that no earlier pick covers: two steps a pick. views: site, target, w."""
+    steps = [f"c0 AS MATERIALIZED (SELECT DISTINCT site, target, w FROM ({views}))", "s AS (SELECT DISTINCT site FROM c0)"]
+    for n in range(1, picks + 1):
+        taken = " UNION ALL ".join(f"SELECT site FROM p{k}" for k in range(1, n)) or "SELECT NULL WHERE false"
+        gains = f"SELECT s.site, coalesce(round(sum(w), 9), 0) AS gain FROM s LEFT JOIN c{n - 1} USING (site) WHERE s.site NOT IN ({taken}) GROUP BY s.site"
+        steps.append(f"p{n} AS MATERIALIZED (SELECT {n} AS pick, site, CAST(gain AS DOUBLE) AS gain FROM ({gains}) {'WHERE gain > 0' if stop_at_zero else ''} ORDER BY gain DESC, site LIMIT 1)")
+        steps.append(f"c{n} AS MATERIALIZED (SELECT * FROM c{n - 1} WHERE target NOT IN (SELECT target FROM c{n - 1} JOIN p{n} USING (site)))")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT * FROM p{n}" for n in range(1, picks + 1))
+
+
+@query(greedy_sql(f"SELECT site, row * 38 + col AS target, 1.0::DOUBLE AS w FROM {VIEWS}", 5, True))
 def g7_greedy_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five picks in a loop: tested against a plain greedy choice."""
+    """Five picks in a loop."""
     v = views(spark, sf_dir).withColumn("target", F.col("row") * 38 + F.col("col"))
     return siting.greedy_cover(v, 5)
 
 
-@query()
+WITHIN = f"SELECT site, fire AS target, round(acres, 2) AS w FROM (SELECT fire, acres, site, sqrt(pow((c.lat - p.lat) * {KY}, 2) + pow((c.lon - p.lon) * (111320 * cos(radians(p.lat))), 2)) AS dist FROM {PLACES} p, {CAMERAS} c) WHERE dist <= 30000"
+
+
+@query(greedy_sql(WITHIN, 5, False))
 def g8_g9_weighted_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fires within reach of each site, by acres, without stopping at no gain: tested against a plain greedy choice."""
+    """Fires within reach of each site, by acres, without stopping at no gain."""
     w = joins.within(places(spark, sf_dir), cameras(spark, sf_dir), 30_000.0)
     w = w.select(F.col("r_site").alias("site"), F.col("l_fire").alias("target"), F.round("l_acres", 2).alias("w"))
     return siting.greedy_cover(w, 5, weight="w", stop_at_zero=False)

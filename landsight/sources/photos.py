@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.base import c
 from ..functions.encode import photo_time
 from ..functions.frames import exposure, infrared_twin, javascript_json, path_date
+from .exif import exif_time
 
-PHOTOS = "*.{jpg,JPG,jpeg,JPEG,png,PNG,ppm,npy}"
+PHOTOS = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG],[pP][pP][mM],[nN][pP][yY]}"
 
 
 def photo_folder(spark: SparkSession, folder: str, pattern: str = PHOTOS) -> DataFrame:
-    """binaryFile rows of a folder's photos with ``ts``, without undated ones, ordered by time and path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return files.withColumn("ts", photo_time(F.col("path"))).where("ts is not null").orderBy("ts", "path")
+    """binaryFile rows of a folder's own photos with ``ts``, without undated ones, ordered by time and path.
+
+    The time is that of the name, else the one noted inside the file.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).withColumn("__named", photo_time(F.col("path")))
+    noted = exif_time(F.when(F.col("__named").isNull(), F.col("content")))
+    return files.withColumn("ts", F.coalesce("__named", noted)).drop("__named").where("ts is not null").orderBy("ts", "path")
 
 
 def midday_paths(lists: DataFrame, line: str = "value") -> DataFrame:

@@ -71,8 +71,14 @@ def tiles_around(tiles: DataFrame, lat: float, lon: float, metres: float, prefer
     return hit
 
 
-def camera_features(spark: SparkSession, path: str) -> DataFrame:
-    """(id, name, state, county, sponsor, lon, lat, elev, az, fov) of a GeoJSON camera list; those without a place are left out."""
+def camera_table(spark: SparkSession, path: str) -> DataFrame:
+    """(lat, lon, and other columns as text) of camera CSV files; rows whose place is no number are left out."""
+    raw = spark.read.option("header", "true").csv(path)
+    return raw.withColumn("lat", F.col("lat").try_cast("double")).withColumn("lon", F.col("lon").try_cast("double")).dropna(subset=["lat", "lon"])
+
+
+def camera_features(spark: SparkSession, path: str, state: str | None = None) -> DataFrame:
+    """(id, name, state, county, sponsor, lon, lat, elev, az, fov) of a GeoJSON camera list, of one state if given; those without a place are left out."""
     prop = "id string, name string, state string, county string, sponsor string, az_current double, fov double"
     raw = spark.read.schema(f"features array<struct<geometry: struct<coordinates: array<double>>, properties: struct<{prop}>>>").option("multiLine", "true").json(path)
     f = raw.select(F.explode("features").alias("f"))
@@ -80,7 +86,7 @@ def camera_features(spark: SparkSession, path: str) -> DataFrame:
     p = F.col("f.properties")
     out = f.select(p["id"].alias("id"), p["name"].alias("name"), p["state"].alias("state"), p["county"].alias("county"), p["sponsor"].alias("sponsor"),
                    at(0).alias("lon"), at(1).alias("lat"), at(2).alias("elev"), p["az_current"].alias("az"), p["fov"].alias("fov"))
-    return out.where("lon is not null")
+    return out.where(F.col("lon").isNotNull() & ((F.col("state") == state) if state else F.lit(True)))
 
 
 def camera_sites(cameras: DataFrame, step: float = 0.002, order: str = "id") -> DataFrame:
@@ -93,6 +99,13 @@ def camera_sites(cameras: DataFrame, step: float = 0.002, order: str = "id") ->
     return g.select("ky", "kx", "lat", "lon", "elev", "n", F.col("l.id").alias("ids"), F.col("l.name").alias("names"), aims.alias("aims"), "county", "sponsor")
 
 
+def incident_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(attributes, geometry) of the pages of a feature service that lie as JSON files, for ``fires``. ``fetch.pages`` gets them."""
+    fields = "OBJECTID: bigint, IncidentName: string, FireDiscoveryDateTime: bigint, IncidentSize: double, InitialLatitude: double, InitialLongitude: double, POOCounty: string"
+    schema = f"features array<struct<attributes: struct<{fields}>, geometry: struct<x: double, y: double>>>"
+    return spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("features").alias("f")).select("f.attributes", "f.geometry")
+
+
 def fires(pages: DataFrame) -> DataFrame:
     """Incidents of paged feature lists: place from the geometry, else the initial one; dates from milliseconds; NULLs go.
 

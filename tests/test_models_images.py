@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from landsight.functions import encode, frames
 from landsight.operators import images, modelling, registration
 from landsight.sources import photos, tables
-from landsight.sources.blocks import BlockCubes
+from landsight.sources import blocks, exif, fetch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not import tests
 
@@ -238,7 +238,144 @@ def test_sinks_and_block_cubes(spark, tmp_path):
     tables.write_sites(spark.createDataFrame([(37.1234567, -120.0, 10.04, 5, 1.005)], "lat double, lon double, elev double, new_cells int, new_km2 double"), str(tmp_path / "sites"))
     rgb = np.full((2, 2, 3, 3), 5.0, np.float32)
     rgb[0, 0, 0] = np.nan
-    np.savez(tmp_path / "cam1_blocks.npz", rgb=rgb, valid=np.ones((2, 2, 3), bool), dates=np.array(["2020-01-01T10:00:00", "2020-01-02T10:00:00"]), edge_corr=np.array([0.5, 0.6]))
-    spark.dataSource.register(BlockCubes)
-    got = spark.read.format("block_cubes").load(str(tmp_path))
+    (tmp_path / "cubes").mkdir()
+    np.savez(tmp_path / "cubes" / "cam1_blocks.npz", rgb=rgb, valid=np.ones((2, 2, 3), bool), dates=np.array(["2020-01-01T10:00:00", "2020-01-02T10:00:00"]), edge_corr=np.array([0.5, 0.6]))
+    got = blocks.read_cubes(spark, str(tmp_path / "cubes"))
     assert got.count() == 12 and got.where("r is null").count() == 1 and got.select("view").distinct().collect() == [(0,)]
+    assert {(r["cam"], r["frame"], r["ts"], r["edge_corr"]) for r in got.collect()} == {("cam1", k, dt.datetime(2020, 1, 1 + k, 10), (0.5, 0.6)[k]) for k in (0, 1)}
+    blocks.write_cubes(got, f"file://{tmp_path}/written")
+    again = blocks.read_cubes(spark, str(tmp_path / "written"))
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, got.collect()), key=repr)
+
+
+def jpeg_with(entries, inner=(), order="<"):
+    """A JPEG's start with text tags in the first directory and in the one that the first points to."""
+    import struct
+
+    def folder(tags, at, pointer=None):
+        n = len(tags) + (pointer is not None)
+        rows, texts, free = b"", b"", at + 2 + 12 * n + 4
+        for tag, text in tags:
+            data = text.encode() + b"\0"
+            rows += struct.pack(order + "HHII", tag, 2, len(data), free + len(texts))
+            texts += data
+        if pointer is not None:
+            rows += struct.pack(order + "HHII", exif.EXIF_FOLDER, 4, 1, free + len(texts))
+        return struct.pack(order + "H", n) + rows + struct.pack(order + "I", 0) + texts
+
+    first = folder(entries, 8, 0 if inner else None)
+    tiff = {"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, 8) + first + (folder(inner, 8 + len(first)) if inner else b"")
+    body = b"Exif\0\0" + tiff
+    return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda"
+
+
+def test_times_inside_files(spark, tmp_path):
+    early, late = "2011:02:03 04:05:06", "2012:01:01 00:00:00"
+    for order in "<>":
+        assert exif.taken_at(jpeg_with([(306, late)], [(36867, early)], order)) == dt.datetime(2011, 2, 3, 4, 5, 6)
+        assert exif.taken_at(jpeg_with([(306, late)], order=order)) == dt.datetime(2012, 1, 1)
+    for broken in (None, b"", b"\xff\xd8", b"abc", jpeg_with([(306, "no time")]), jpeg_with([(306, late)])[:40], jpeg_with([])):
+        assert exif.taken_at(broken) is None
+    (tmp_path / "inner").mkdir()
+    for name, content in (("a.JpG", jpeg_with([(306, late)])), ("b_20200102.jpg", jpeg_with([(306, late)])), ("c.jpg", b"no"), ("inner/d_20200102.jpg", b"x")):
+        (tmp_path / name).write_bytes(content)
+    got = [(r["path"].rsplit("/", 1)[-1], r["ts"]) for r in photos.photo_folder(spark, str(tmp_path)).collect()]
+    assert got == [("a.JpG", dt.datetime(2012, 1, 1)), ("b_20200102.jpg", dt.datetime(2020, 1, 2))]
+
+
+def test_fetch_and_lists(spark, tmp_path):
+    calls, waits = [], []
+
+    def page_at(start):
+        calls.append(start)
+        if len(calls) in (1, 2, 4):
+            raise OSError("busy")
+        n = 2 if start < 4 else 1
+        return {"features": [{"attributes": {"OBJECTID": start + k, "FireDiscoveryDateTime": 1577836800000, "IncidentSize": 1.0, "InitialLatitude": 37.0, "InitialLongitude": -120.0}, "geometry": None} for k in range(n)], "exceededTransferLimit": start < 4}
+
+    for k, page in enumerate(fetch.pages(page_at, sleep=waits.append)):
+        (tmp_path / f"page{k}.json").write_text(json.dumps(page))
+    assert calls == [0, 0, 0, 2, 2, 4] and waits == [2.0, 4.0, 2.0]
+    assert sorted(r["OBJECTID"] for r in tables.fires(tables.incident_pages(spark, str(tmp_path / "page*.json"))).collect()) == [0, 1, 2, 3, 4]
+    with pytest.raises(OSError):
+        fetch.retried(lambda: (_ for _ in ()).throw(OSError()), sleep=waits.append)
+    (tmp_path / "cams.csv").write_text("lat,lon,name\n37.5,-120,a\nbad,1,b\n,2,c\n")
+    assert [tuple(r) for r in tables.camera_table(spark, str(tmp_path / "cams.csv")).collect()] == [(37.5, -120.0, "a")]
+
+
+def small_world(seed=3):
+    rng = np.random.default_rng(seed)
+    coarse = images.resized(rng.uniform(30, 220, (40, 52, 3)), 416, 320)
+    for _ in range(140):
+        y, x, h, w = rng.integers(0, 300), rng.integers(0, 390), rng.integers(4, 22), rng.integers(4, 22)
+        coarse[y : y + h, x : x + w] = rng.uniform(0, 255, 3)
+    return coarse
+
+
+def as_ppm(img):
+    a = np.clip(np.rint(img), 0, 255).astype(np.uint8)
+    return f"P6\n{a.shape[1]} {a.shape[0]}\n255\n".encode() + a.tobytes()
+
+
+def test_archive_from_photos_to_blocks(spark, tmp_path):
+    from landsight.plans import archive
+
+    rows = []
+    for cam, seed in (("one", 3), ("two", 4)):
+        world = small_world(seed)
+        for k in range(16):
+            dy, dx = 40 + k // 2, 50 + k
+            rows.append((cam, dt.datetime(2016, 1, 1) + dt.timedelta(days=25 * k), as_ppm(world[dy : dy + 192, dx : dx + 256])))
+    rows.append(("one", dt.datetime(2016, 1, 2), b"broken"))
+    files = spark.createDataFrame(rows, "cam string, ts timestamp_ntz, content binary")
+    places, views, measured = archive.archive(files, width=256, height=192, screen={"least_std": 10.0})
+    got = places.orderBy("cam", "ts").collect()
+    assert {r["mode"] for r in got} == {"registered"} and len(got) >= 28 and {(r["cam"], r["view"]) for r in views.collect()} == {("one", 0), ("two", 0)}
+    for r in got:
+        k = (r["ts"] - dt.datetime(2016, 1, 1)).days // 25
+        t = np.array(r["t"]).reshape(2, 3)
+        assert np.allclose(t[:, :2], np.eye(2), atol=0.005) and np.allclose(t @ [128, 96, 1], [128 + k, 96 + k // 2], atol=0.6)
+    assert sum(r["anchor"] for r in got) == 2
+    cells = measured.toPandas()
+    assert (cells.groupby(["cam", "ts"]).size() == 8 * 10).all() and cells.edge_corr.min() > 0.8
+    inner = cells[(cells.br == 4) & (cells.bc == 5)]
+    assert inner.valid.all() and inner.groupby("cam").g.std().max() < 1.5 and (~cells[cells.bc == 0].valid).any()
+    blocks.write_cubes(measured.select(*(f.split()[0] for f in blocks.SCHEMA.split(", "))), f"file://{tmp_path}/cubes")
+    assert blocks.read_cubes(spark, str(tmp_path / "cubes")).count() == len(cells)
+
+
+def test_archive_without_a_view_is_measured_in_place(spark):
+    from landsight.plans import archive
+
+    rows = [("c", dt.datetime(2016, 1, 1) + dt.timedelta(days=25 * k), as_ppm(small_world(seed=10 + k)[:192, :256])) for k in range(8)]
+    places, _, measured = archive.archive(spark.createDataFrame(rows, "cam string, ts timestamp_ntz, content binary"), width=256, height=192, screen={"least_std": 10.0})
+    got = places.collect()
+    assert {r["mode"] for r in got} == {"in_place"} and len(got) == 8 and sum(r["anchor"] for r in got) == 1
+    assert measured.where("valid").select("ts").distinct().count() == 8
+
+
+def test_infrared_blocks_and_fractions(spark):
+    from landsight.operators import regions
+    from landsight.plans import network
+
+    ir = np.zeros((48, 72, 3))
+    ir[:, 24:48] = 90.0
+    rows = [("a", 1, as_ppm(ir), [1.0, 0.0, 24.0, 0.0, 1.0, 0.0]), ("a", 2, b"broken", [1.0, 0.0, 0.0, 0.0, 1.0, 0.0]), ("a", 3, as_ppm(ir), None)]
+    got = images.infrared_blocks(spark.createDataFrame(rows, "cam string, frame int, content binary, t array<double>"), ["cam", "frame"], 72, 48).collect()
+    assert {(r["frame"], r["br"], r["bc"], r["ir"], r["valid"]) for r in got} == {(1, i, j, v, ok) for i in (0, 1) for j, v, ok in ((0, None, False), (1, 0.0, True), (2, 90.0, True))}
+    px = spark.createDataFrame([(0, y, x, x < 24, y >= 36) for y in range(48) for x in range(48)], "view int, y int, x int, veg boolean, bad boolean")
+    f = regions.block_fractions(px, ["view"])
+    assert {tuple(r) for r in f.collect()} == {(0, i, j, float(j == 0), 0.5 * i) for i in (0, 1) for j in (0, 1)}
+    b = spark.createDataFrame([(0, k, dt.datetime(2020, 1, 1) + dt.timedelta(days=k), i, j, 50.0, 60.0, 40.0, True, True) for k in range(40) for i in (0, 1) for j in (0, 1, 2)], "view int, frame int, ts timestamp, br int, bc int, r double, g double, b double, valid boolean, clear boolean")
+    stats = {(r["br"], r["bc"]): (r["veg_frac"], r["bad_frac"]) for r in network.block_stats(b, ["view"], fractions=f).collect()}
+    assert stats == {(i, j): ((float(j == 0), 0.5 * i) if j < 2 else (0.0, 0.0)) for i in (0, 1) for j in (0, 1, 2)}
+    assert {(r["veg_frac"], r["bad_frac"]) for r in network.block_stats(b, ["view"]).collect()} == {(1.0, 0.0)}
+
+
+def test_study_comparisons(spark):
+    df = sample_frame(spark).withColumn("cam", F.when(F.col("site") == "a", 1).otherwise(2))
+    df = df.withColumn("auto_g", F.col("x")).withColumn("nir_g", F.when((F.col("cam") == 1) | (F.dayofyear("date") < 60), F.col("x")))
+    sets = {"main": ({"season": [], "camera": ["auto_g"]}, None, 0), "nir": ({"season": [], "ndvi": ["nir_g"]}, "nir_g", 150), "hand": ({"hand": ["hand_g"]}, "hand_g", 1)}
+    got = {(r["comparison"], r["set"], r["cam"]): r["n"] for r in modelling.study(df, ["cam"], sets).collect()}
+    assert got == {("main", s, c): 200 for s in ("season", "camera") for c in (1, 2)} | {("nir", s, 1): 200 for s in ("season", "ndvi")}
+    assert set(modelling.COMPARISONS) == {"main", "hand", "nir", "nir_hand", "camera_only"} and len(modelling.STUDY_SETS) == 7

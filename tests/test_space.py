@@ -130,6 +130,30 @@ def test_inside_polygon_with_hole_like_notch(spark):
     assert {r["point_id"] for r in joins.inside_polygons(pts, edges).collect()} == {1, 3}
 
 
+def test_points_in_many_polygons_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rings = {k: [(cx + r * np.cos(t), cy + r * np.sin(t)) for t, r in zip(np.sort(rng.uniform(0, 2 * np.pi, 7)), rng.uniform(0.1, 1.2, 7))] for k, (cx, cy) in enumerate(rng.uniform(-3, 3, (12, 2)))}
+    pts = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-4, 4, (300, 2)))]
+    sides = [(k, *map(float, a), *map(float, b)) for k, ring in rings.items() for a, b in zip(ring, ring[1:] + ring[:1])]
+    want = set()
+    for p, x, y in pts:
+        for k in rings:
+            crossings = sum((y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for q, x1, y1, x2, y2 in sides if q == k)
+            want |= {(p, k)} if crossings % 2 else set()
+    edges = spark.createDataFrame(sides, "polygon_id int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame(pts, "point_id int, x double, y double")
+    for cell in (0.25, 3.0):
+        assert {tuple(r) for r in joins.inside_polygons(points, edges, cell=cell).collect()} == want and len(want) > 20
+
+
+def test_mean_ranks_equal_pandas(spark):
+    from landsight.operators import modelling
+
+    v = np.random.default_rng(3).integers(0, 40, 500).astype(float)
+    got = {r["x"]: r["rank"] for r in modelling.mean_ranks(spark.createDataFrame([(x,) for x in v.tolist()], "x double"), "x").collect()}
+    assert got == dict(zip(v.tolist(), pd.Series(v).rank().tolist()))
+
+
 def test_pose_is_recovered_from_the_skyline(spark):
     az_lo, step, n = 60.0, 0.1, 701
     az = az_lo + step * np.arange(n)
@@ -149,3 +173,5 @@ def test_pose_is_recovered_from_the_skyline(spark):
     assert abs(got["yaw"] - 95.3) < 0.2 and abs(got["pitch"] + 1.2) < 0.2 and abs(got["roll"] - 0.7) < 0.3 and got["loss"] < 0.05
     lens = calibration.shared_lens(px, sky, poses, az_lo, step, [54.0, 60.0, 66.0], [0.0]).collect()
     assert len(lens) == 1 and lens[0]["hfov"] == 60.0
+    finer = calibration.shared_lens(px, sky, poses, az_lo, step, [54.0, 63.0], [0.0], refine=4, limits=((50.0, 70.0), (-0.1, 0.1))).first()
+    assert abs(finer["hfov"] - 60) <= 1.5 and finer["loss"] <= lens[0]["loss"] + 0.05
