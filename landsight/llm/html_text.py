@@ -1,10 +1,14 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Containers that say by tag, role or class that they are menus, headers,
-footers, sidebars, notices, adverts, forms or comments are left out with what they hold. The first pass classifies each
-other block by link density, length and stop-word density; short blocks and middling ones stay undecided. If the page
-marks its article, blocks outside it are boilerplate, and inside it prose needs no stop words, and only lists of links go. In the
-second pass undecided blocks inherit the label of the nearest decided neighbour; a heading looks ahead on a tie.
+A page is cut into blocks at block-level tags. The first pass classifies each block by link density, length and stop-word
+density: link-heavy ones are bad, long ones with the language's stop words good, others undecided (near: long but without
+stop words; short). Runs of three and more items that are links are menus. On a page where no block has stop words, length and
+links decide alone. In the second pass undecided blocks inherit the label of the nearest decided neighbour; a heading looks
+ahead on a tie.
+
+What the markup says is evidence for which blocks take part: first those in the page's article that lie in no container that
+its tag, role, style or class words call a menu, header, footer, sidebar, notice, advert, form or comments. If nothing of these is
+kept, those outside the article take part, and then those that only class words call boilerplate.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from .common import bounded_batches
 from .quality import STOP_WORDS
 
 SHORT_CHARS, LONG_CHARS = 70, 200
-STOPS_GOOD, STOPS_NEAR = 0.32, 0.30
+STOPS_GOOD, STOPS_NEAR = 0.20, 0.10
+#: So many items in a row that are links make a menu.
+MENU_ITEMS = 3
 LINKS_BAD, LINKS_BAD_IN_ARTICLE = 0.2, 0.6
 
 # Element names of the HTML standard, and words that sites use in class and id attributes.
@@ -53,7 +59,7 @@ CLOSED_BY = {"p": BLOCKS, "li": frozenset({"li"}), "td": frozenset({"td", "th",
              "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "option": frozenset({"option"})}
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+[^>]*+)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -68,66 +74,107 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     main: bool = False
+    #: How sure the markup is that the block is boilerplate: 0 not at all, 1 by class words, 2 by tag, role or style.
+    aside: int = 0
     heading: bool = False
     item: bool = False
     text: str = ""
     label: str = ""
 
+    @property
+    def links(self) -> float:
+        """Share of its characters that are in links."""
+        return self.linked / max(1, sum(map(len, self.text.split())))
+
 
-def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether a container is left out with all that it holds. A header inside an article is the article's own."""
+def boilerplate(tag: str, attributes: str, in_article: bool) -> int:
+    """How sure a container's markup is that it holds no main text: 0, 1 (class words) or 2. A header inside an article is the article's own."""
     if tag in BOILERPLATE_TAGS or (tag == "header" and not in_article):
-        return True
+        return 2
     if not attributes.strip():
-        return False
+        return 0
     words: list[str] = []
-    for name, *values, hidden in _ATTRIBUTE.findall(attributes):
+    for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
-        if hidden or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
+            return 2
         if name == "role" and value.lower() in BOILERPLATE_ROLES:
-            return True
+            return 2
         if name in ("class", "id"):
             words += value.lower().split()
     if tag in WHOLE and not (tag == "article" and in_article):
-        return False
+        return 0
     for word in words:
         pieces = re.split(r"[-_]+", word)
         if pieces[0] in ("has", "no", "with", "without", "js") or (in_article and pieces[-1] == "header"):
             continue
         if pieces[0] in BOILERPLATE_WORDS or pieces[-1] in BOILERPLATE_WORDS:
-            return True
-    return False
+            return 1
+    return 0
+
+
+class _Open:
+    """The open elements of a page: the depths of each tag, of blocks, and of the outermost containers that matter."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.article = self.link = -1
+        self.asides = [-1, -1, -1]  # by how sure the markup is
+
+    def push(self, tag: str, aside: int, article: bool) -> None:
+        depth = len(self.tags)
+        self.tags.append(tag)
+        self.depths.setdefault(tag, []).append(depth)
+        if tag in BLOCKS:
+            self.blocks.append(depth)
+        if aside and self.asides[aside] < 0:
+            self.asides[aside] = depth
+        if article and self.article < 0:
+            self.article = depth
+        if tag == "a" and self.link < 0:
+            self.link = depth
+
+    def close(self, depth: int) -> None:
+        for at in range(len(self.tags) - 1, depth - 1, -1):
+            self.depths[self.tags.pop()].pop()
+            if self.blocks and self.blocks[-1] == at:
+                self.blocks.pop()
+        self.article, self.link = (-1 if x >= depth else x for x in (self.article, self.link))
+        self.asides = [-1 if x >= depth else x for x in self.asides]
+
+    def last(self, tag: str) -> int:
+        """Depth of the innermost open element of a tag; -1 without one."""
+        return at[-1] if (at := self.depths.get(tag)) else -1
+
+    @property
+    def aside(self) -> int:
+        return max((k for k, x in enumerate(self.asides) if x >= 0), default=0)
 
 
 def blocks_of(html: str) -> list[Block]:
-    """The blocks outside boilerplate containers, in page order."""
-    out, now = [], Block()
-    stack: list[str] = []
-    skip_at = article_at = link_at = -1  # depths of the outermost open container of each sort
-    at = 0
+    """The blocks of a page in order, with what the markup says of them."""
+    out, now, at = [], Block(), 0
+    stack = _Open()
 
     def flush(opened: str = "") -> None:
         nonlocal now
         now.text = " ".join("".join(now.parts).split())
         if now.text:
             out.append(now)
-        now = Block(main=article_at >= 0, heading=opened in HEADINGS, item=opened in ITEMS)
+        now = Block(main=stack.article >= 0, aside=stack.aside, heading=opened in HEADINGS, item=opened in ITEMS)
 
     def say(chunk: str) -> None:
-        if stack and stack[-1] == "head" and chunk.strip():
-            close(len(stack) - 1)
-        if skip_at < 0 and chunk:
+        if stack.tags and stack.tags[-1] == "head" and chunk.strip():
+            stack.close(len(stack.tags) - 1)
+            now.aside = stack.aside
+        if chunk:
             said = unescape(chunk)
             now.parts.append(said)
-            if link_at >= 0:
+            if stack.link >= 0:
                 now.linked += sum(map(len, said.split()))
 
-    def close(depth: int) -> None:
-        nonlocal skip_at, article_at, link_at
-        del stack[depth:]
-        skip_at, article_at, link_at = (-1 if x >= depth else x for x in (skip_at, article_at, link_at))
-
     size = len(html)
     while at < size:
         m = _MARKUP.search(html, at)
@@ -140,14 +187,19 @@ def blocks_of(html: str) -> list[Block]:
             continue
         tag, attributes = m[2].lower(), m[3]
         if m[1]:
+            depth = stack.last(tag)
+            before = stack.aside
             if tag in BLOCKS:
                 flush()
-            if tag in stack:
-                close(len(stack) - 1 - stack[::-1].index(tag))
-                now.main = article_at >= 0
+            if depth >= 0:
+                stack.close(depth)
+                if stack.aside != before:
+                    flush()
+                now.main, now.aside = stack.article >= 0, stack.aside
             continue
-        if stack and stack[-1] == "head" and tag not in METADATA:
-            close(len(stack) - 1)
+        if stack.tags and stack.tags[-1] == "head" and tag not in METADATA:
+            stack.close(len(stack.tags) - 1)
+            now.aside = stack.aside
         if tag in RAW and not attributes.endswith("/"):
             end = _raw_end(tag).search(html, at)
             if end is None:
@@ -160,19 +212,13 @@ def blocks_of(html: str) -> list[Block]:
             flush(tag)
         if tag in VOID or attributes.endswith("/"):
             continue
-        near = len(stack) - 1
-        while near >= 0 and stack[near] not in BLOCKS:
-            near -= 1
-        if near >= 0 and tag in CLOSED_BY.get(stack[near], ()):
-            close(near)
-        if skip_at < 0 and is_boilerplate(tag, attributes, article_at >= 0):
-            skip_at = len(stack)
-        if article_at < 0 and (tag in ("article", "main") or 'role="main"' in attributes):
-            article_at = len(stack)
-            now.main = True
-        if tag == "a" and link_at < 0:
-            link_at = len(stack)
-        stack.append(tag)
+        if stack.blocks and tag in CLOSED_BY.get(stack.tags[stack.blocks[-1]], ()):
+            stack.close(stack.blocks[-1])
+        aside, article = boilerplate(tag, attributes, stack.article >= 0), tag in ("article", "main") or 'role="main"' in attributes
+        if aside > stack.aside and tag not in BLOCKS:
+            flush()
+        stack.push(tag, aside, article)
+        now.main, now.aside = stack.article >= 0, stack.aside
     flush()
     return out
 
@@ -180,18 +226,34 @@ def blocks_of(html: str) -> list[Block]:
 def classify(block: Block) -> str:
     """First pass: good, near, short or bad."""
     n = len(block.text)
-    links = block.linked / max(1, sum(map(len, block.text.split())))
-    if links > (LINKS_BAD_IN_ARTICLE if block.main else LINKS_BAD):
-        return "short" if block.main and not block.item else "bad"
+    if block.links > (LINKS_BAD_IN_ARTICLE if block.main else LINKS_BAD):
+        return "bad" if not block.main or n >= SHORT_CHARS and not block.item else "short"
     if n < SHORT_CHARS:
         return "short"
-    if block.main:
-        return "good"
     words = [_EDGES.sub("", w) for w in block.text.lower().split()]
     stops = sum(w in STOP_WORDS for w in words) / len(words)
-    if stops >= STOPS_GOOD:
-        return "good" if n > LONG_CHARS else "near"
-    return "near" if stops >= STOPS_NEAR else "bad"
+    if stops >= (STOPS_NEAR if block.main else STOPS_GOOD):
+        return "good" if block.main or n > LONG_CHARS else "near"
+    return "near" if block.main or stops >= STOPS_NEAR or n > LONG_CHARS else "bad"
+
+
+def first_pass(blocks: list[Block]) -> None:
+    """Labels blocks one by one, then menus, and all that is near on a page without stop words."""
+    for b in blocks:
+        b.label = classify(b)
+    run: list[Block] = []
+    for b in [*blocks, Block()]:
+        if b.item and b.links > LINKS_BAD_IN_ARTICLE:
+            run.append(b)
+        else:
+            if len(run) >= MENU_ITEMS:
+                for x in run:
+                    x.label = "bad"
+            run = []
+    if not any(b.label == "good" for b in blocks):
+        for b in blocks:
+            if b.label == "near":
+                b.label = "good"
 
 
 def settle(labels: list[str], headings: list[bool], alone: bool) -> list[bool]:
@@ -223,13 +285,14 @@ def main_text(html: str | None) -> str:
     """The main text of a page; empty for a null or empty page or one without any."""
     if not html:
         return ""
-    blocks = blocks_of(html)
-    for b in blocks:
-        b.label = classify(b)
-    if any(b.main for b in blocks):
-        blocks = [b for b in blocks if b.main]
-    keep = settle([b.label for b in blocks], [b.heading for b in blocks], True)
-    return " ".join(b.text for b, k in zip(blocks, keep) if k)
+    every = blocks_of(html)
+    for part in ([b for b in every if b.main and not b.aside], [b for b in every if not b.aside], [b for b in every if b.aside < 2]):
+        first_pass(part)
+        # Without any decided block, short ones are all that there is.
+        keep = settle([b.label for b in part], [b.heading for b in part], True)
+        if any(keep):
+            return " ".join(b.text for b, k in zip(part, keep) if k)
+    return ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

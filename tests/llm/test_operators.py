@@ -580,6 +580,50 @@ def test_open_heads_and_elements_do_not_hide_the_page(html, want):
     assert html_text.main_text(html) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    (f"<div hidden><p>{STORY}</p></div><article><p>a b</p><p hidden=''>c</p><p hidden=hidden>d</p><div data-hidden class=has-hidden><p>e</p></div></article>", "a b e"),
+    (f"<article><p>{STORY}</p><ul><li><a href=1>one source</a></li></ul><p>{STORY}</p><ul>" + "<li><a href=1>link</a></li>" * 3 + f"</ul><p>{STORY}</p></article>", f"{STORY} one source {STORY} {STORY}"),
+    (f"<div class='content header-and-sidebar'><p>{STORY}</p></div><footer><p>{STORY}</p></footer>", STORY), (f"<article></article><div><p>{STORY}</p></div>", STORY),
+    ("<article>" + "<b>" * 30_000 + "x" + "<i>" * 30_000 + " y</article>", "x y"), ("<div>" * 30_000 + "x" + "</div>" * 30_000 + "<p>y", "x y"),
+    ("<article><p>one</p><nav><p>menu</p></nav><span class=ad>buy</span> two</article>", "one two"),
+])
+def test_markup_is_evidence(html, want):
+    assert html_text.main_text(html) == want
+
+
+def test_second_pass_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(2000):
+        n = rng.randint(1, 9)
+        labels, headings = [rng.choice(["good", "bad", "near", "short"]) for _ in range(n)], [rng.random() < 0.3 for _ in range(n)]
+        alone, want = rng.random() < 0.5, []
+        for k in range(n):
+            near = sorted((abs(k - j), j) for j in range(n) if labels[j] in ("good", "bad"))
+            first = [labels[j] == "good" for d, j in near if d == near[0][0]]
+            if not near:
+                want.append(alone)
+            elif len(set(first)) == 1:
+                want.append(first[0])
+            else:  # one each way at the same distance: [before, after]
+                want.append(first[1] if headings[k] else labels[k] == "near")
+        assert html_text.settle(labels, headings, alone) == want
+
+
+def test_pages_without_markup_that_says_what_is_what():
+    import pyarrow.parquet as pq
+    from collections import Counter
+    from html import unescape
+
+    shares = []
+    for html in pq.read_table(DATA / "sf0.01" / "pages.parquet")["html"].to_pylist():
+        m = re.search(r"<article>(.*?)(</article>|$)", html, re.S)[1]
+        want = Counter(unescape(re.sub("<[^>]*>", "", re.sub(r"</?(p|h1|br)\b[^>]*>", " ", m))).split())
+        plain = re.sub(r"(</?)(article|nav|footer)>", r"\1div>", html).replace(' class="ad"', "")
+        got = Counter(html_text.main_text(plain).split())
+        shares.append(2 * (got & want).total() / max(1, got.total() + want.total()))
+    assert sum(shares) / len(shares) > 0.9
+
+
 def test_pages_equal_their_articles(spark):
     from html import unescape
 
@@ -654,6 +698,33 @@ def test_wrapped_licences(name, prefix):
     assert licences.scan_text(f"{prefix}no known line\n{prefix}Permission is hereby granted to all\n{prefix}who ask")[0] == []
 
 
+def test_licence_rules_equal_patterns_over_the_sequence():
+    rng = random.Random(5)
+    letter = {name: chr(0x4E00 + k) for k, (name, _) in enumerate(licences.SENTENCES)} | {licences.GAP: "-"}
+    rules = [(base, re.compile("".join(letter[w.rstrip("?")] + "?" * w.endswith("?") + "+" * w.endswith("?") for w in wanted))) for base, wanted in licences.RULES]
+    likely = [w.rstrip("?") for _, wanted in licences.RULES for w in wanted] + [licences.GAP] * 10
+    for _ in range(3000):
+        ids = [(rng.choice(likely), {}) for _ in range(rng.randint(0, 12))]
+        if rng.random() < 0.5:
+            ids += [(w.rstrip("?"), {}) for w in rng.choice(licences.RULES)[1] if not w.endswith("?") or rng.random() < 0.5]
+        said, at, want = "".join(letter[i] for i, _ in ids), 0, []
+        while at < len(said):
+            base, m = next(((b, m) for b, p in rules if (m := p.match(said, at)) and m.end() > at), (None, None))
+            if m:
+                want.append(licences._name(base, {}) if base != "CC" and base != "SPDX" else base)
+            at = m.end() if m else at + 1
+        got = licences.match_rules([(i, {"cc": "by", "spdx": "x"} if i in ("cc_work", "spdx") else {}) for i, _ in ids])
+        assert [g.split("-BY")[0].split(":")[0] for g in got] == want
+
+
+def test_licence_words_apart_by_any_space(spark):
+    cases = {"All rights  reserved.": ["All-Rights-Reserved"], "This work is in the public \t domain.": ["Public-Domain"], "# All rights\n# reserved.": ["All-Rights-Reserved"], "IN  THE PUBLIC": []}
+    for text, want in cases.items():
+        assert licences.scan_text(text)[0] == want
+    got = [(r["doc_id"], r["n_licences"], r["licences"], r["sentences"]) for r in licences.scan(clashing(spark)).collect()]
+    assert sorted(got, key=repr) == sorted([(i, 0, "", "") for i, _ in ODD], key=repr)
+
+
 def test_lines_without_end_are_scanned_in_time():
     import time
 
