@@ -79,13 +79,10 @@ class Block:
     heading: bool = False
     item: bool = False
     text: str = ""
+    #: Share of its characters that are in links.
+    links: float = 0.0
     label: str = ""
 
-    @property
-    def links(self) -> float:
-        """Share of its characters that are in links."""
-        return self.linked / max(1, sum(map(len, self.text.split())))
-
 
 def boilerplate(tag: str, attributes: str, in_article: bool) -> int:
     """How sure a container's markup is that it holds no main text: 0, 1 (class words) or 2. A header inside an article is the article's own."""
@@ -121,7 +118,8 @@ class _Open:
         self.depths: dict[str, list[int]] = {}
         self.blocks: list[int] = []
         self.article = self.link = -1
-        self.asides = [-1, -1, -1]  # by how sure the markup is
+        self.asides = [-1, -1, -1]  # outermost boilerplate containers by how sure the markup is
+        self.aside = 0  # the surest of them
 
     def push(self, tag: str, aside: int, article: bool) -> None:
         depth = len(self.tags)
@@ -131,6 +129,7 @@ class _Open:
             self.blocks.append(depth)
         if aside and self.asides[aside] < 0:
             self.asides[aside] = depth
+            self.aside = max(self.aside, aside)
         if article and self.article < 0:
             self.article = depth
         if tag == "a" and self.link < 0:
@@ -141,17 +140,18 @@ class _Open:
             self.depths[self.tags.pop()].pop()
             if self.blocks and self.blocks[-1] == at:
                 self.blocks.pop()
-        self.article, self.link = (-1 if x >= depth else x for x in (self.article, self.link))
-        self.asides = [-1 if x >= depth else x for x in self.asides]
+        if self.article >= depth:
+            self.article = -1
+        if self.link >= depth:
+            self.link = -1
+        if self.aside:
+            self.asides = [-1 if x >= depth else x for x in self.asides]
+            self.aside = max((k for k, x in enumerate(self.asides) if x >= 0), default=0)
 
     def last(self, tag: str) -> int:
         """Depth of the innermost open element of a tag; -1 without one."""
         return at[-1] if (at := self.depths.get(tag)) else -1
 
-    @property
-    def aside(self) -> int:
-        return max((k for k, x in enumerate(self.asides) if x >= 0), default=0)
-
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page in order, with what the markup says of them."""
@@ -160,9 +160,13 @@ def blocks_of(html: str) -> list[Block]:
 
     def flush(opened: str = "") -> None:
         nonlocal now
-        now.text = " ".join("".join(now.parts).split())
-        if now.text:
-            out.append(now)
+        if now.parts:
+            said = "".join(now.parts).split()
+            if said:
+                now.text = " ".join(said)
+                if now.linked:
+                    now.links = now.linked / (len(now.text) - len(said) + 1)
+                out.append(now)
         now = Block(main=stack.article >= 0, aside=stack.aside, heading=opened in HEADINGS, item=opened in ITEMS)
 
     def say(chunk: str) -> None:
@@ -170,7 +174,7 @@ def blocks_of(html: str) -> list[Block]:
             stack.close(len(stack.tags) - 1)
             now.aside = stack.aside
         if chunk:
-            said = unescape(chunk)
+            said = unescape(chunk) if "&" in chunk else chunk
             now.parts.append(said)
             if stack.link >= 0:
                 now.linked += sum(map(len, said.split()))
@@ -223,6 +227,13 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
+def stop_words(text: str, enough: float) -> float:
+    """The share of a text's words that are stop words, signs around them aside; a lower bound of it if that is enough."""
+    words = text.lower().split()
+    bare = sum(map(STOP_WORDS.__contains__, words)) / len(words)
+    return bare if bare >= enough else sum(w in STOP_WORDS for w in (_EDGES.sub("", w) for w in words)) / len(words)
+
+
 def classify(block: Block) -> str:
     """First pass: good, near, short or bad."""
     n = len(block.text)
@@ -230,8 +241,7 @@ def classify(block: Block) -> str:
         return "bad" if not block.main or n >= SHORT_CHARS and not block.item else "short"
     if n < SHORT_CHARS:
         return "short"
-    words = [_EDGES.sub("", w) for w in block.text.lower().split()]
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
+    stops = stop_words(block.text, STOPS_NEAR if block.main else STOPS_GOOD)
     if stops >= (STOPS_NEAR if block.main else STOPS_GOOD):
         return "good" if block.main or n > LONG_CHARS else "near"
     return "near" if block.main or stops >= STOPS_NEAR or n > LONG_CHARS else "bad"
