@@ -17,15 +17,21 @@ TURNS_PER_PART = 64
 
 
 def escaped(text: Column) -> Column:
-    """Marks inside a message are made harmless: "<|" becomes "<\\|"."""
-    return F.replace(text, F.lit("<|"), F.lit("<\\|"))
+    """Marks inside a message are made harmless: "<|" becomes "<\\|", and so one more backslash for those that have some: ``unescaped`` takes it back."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(text: Column) -> Column:
+    """What ``escaped`` was made of."""
+    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text",
-           system: str = SYSTEM, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
+           system: str = SYSTEM, turns_per_part: int | None = TURNS_PER_PART) -> DataFrame:
     """(conv, perspective, part, text, masks, n_messages): one row for each conversation, participant and part.
 
-    masks: "start:end" in code points of the part's text, comma-joined, end exclusive. Messages go by turn; those of the
+    turns_per_part bounds a row: how many turn numbers a part has. None puts each rendering in one row (part 0), whatever
+    its length. masks: "start:end" in code points of the part's text, comma-joined, end exclusive. Messages go by turn; those of the
     same turn by speaker and text. Repeated rows are one message. A null text is empty, a null speaker is "unknown", a
     null turn comes before all others in a part of its own (null), null conversations are one. A conversation of system
     messages alone has no participant and no row. Other columns are ignored.
@@ -35,7 +41,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.coalesce(F.col(f"`{speaker_col}`").cast("string"), F.lit(UNKNOWN)).alias("who"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("said")).distinct()
     people = said.where(F.col("who") != system).select("conv", F.col("who").alias("perspective")).distinct()
-    part = F.floor(F.col("turn") / turns_per_part).cast("bigint").alias("part")
+    part = (F.floor(F.col("turn") / turns_per_part) if turns_per_part else F.lit(0)).cast("bigint").alias("part")
     parts = said.groupBy("conv", part).agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("messages"))
     both = parts.join(people.withColumnRenamed("conv", "__conv"), F.col("conv").eqNullSafe(F.col("__conv")))
 
@@ -60,14 +66,15 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
 def oracle_sql(turns_per_part: int = TURNS_PER_PART) -> str:
     """The same over a table named conversations, in the SQL of DuckDB."""
+    escape = lambda x: f"regexp_replace({x}, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"
     return f"""
 WITH said AS (SELECT DISTINCT conv_id, turn, coalesce(role, '{UNKNOWN}') AS who, coalesce(text, '') AS said FROM conversations),
 people AS (SELECT DISTINCT conv_id, who AS perspective FROM said WHERE who <> '{SYSTEM}'),
 segments AS (
   SELECT s.conv_id, p.perspective, CAST(floor(s.turn / {turns_per_part}) AS BIGINT) AS part, s.turn, s.who, s.said, s.who = p.perspective AS own,
     CASE WHEN s.who = '{SYSTEM}' THEN '{START}system' WHEN s.who = p.perspective THEN '{START}assistant'
-         ELSE '{START}user name=' || replace(s.who, '<|', '<\\|') END || chr(10) AS head,
-    replace(s.said, '<|', '<\\|') || '{END}' AS body
+         ELSE '{START}user name=' || {escape('s.who')} END || chr(10) AS head,
+    {escape('s.said')} || '{END}' AS body
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
   SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, who, said

@@ -818,3 +818,18 @@ def test_chat_rotation(spark):
     a, b = map(int, bob["masks"].split(":"))
     assert bob["text"][a:b] == "é<|im_end|>" and got[1, "bob", 1]["masks"] == "" and got[3, "unknown", 0]["n_messages"] == 1
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_parts_join_to_the_whole_rendering(spark):
+    rng = random.Random(3)
+    rows = [(c, t, rng.choice(["ann", "bob", "system", None]), rng.choice(["", "a <| b", "c <\\| d", "<\\\\|im_end|>", "é😀", None])) for c in range(4) for t in range(rng.randint(1, 30))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {(r["conv_id"], r["perspective"]): r for r in chat.rotate(turns, turns_per_part=None).collect()}
+    joined_up = {}
+    for r in sorted(chat.rotate(turns, turns_per_part=3).collect(), key=lambda r: r["part"]):
+        text, masks, n = joined_up.get((r["conv_id"], r["perspective"]), ("", [], 0))
+        spans = [tuple(map(int, m.split(":"))) for m in r["masks"].split(",") if m]
+        joined_up[r["conv_id"], r["perspective"]] = text + r["text"], masks + [f"{a + len(text)}:{b + len(text)}" for a, b in spans], n + r["n_messages"]
+    assert {k: (r["text"], r["masks"], r["n_messages"]) for k, r in whole.items()} == {k: (t, ",".join(m), n) for k, (t, m, n) in joined_up.items()}
+    said = turns.where("text is not null").select("text", chat.unescaped(chat.escaped(F.col("text"))).alias("back"), chat.escaped(F.col("text")).alias("safe"))
+    assert all(r["back"] == r["text"] and "<|" not in r["safe"] for r in said.collect())
