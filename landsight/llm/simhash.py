@@ -5,7 +5,8 @@ them. With 8 bytes and up to 3 differing bits (``STRICT``), two fingerprints tha
 so at least 3 of the 24 triples: the four bytes of a half, each way to cut the positions in halves below, hold 4 triples,
 and any 5 positions hold 3 of one half. Pairs with fewer shared triples than this guaranteed minimum go unread; the others are
 verified by their bits. ``NEAR`` finds texts whose sets of five-word shingles are 0.8 similar or more: such texts differ
-in 15 % of the bits of a long fingerprint, and nearly always share one of its triples.
+in 15 % of the bits of a long fingerprint, give or take some, and mostly share one of its triples. Pairs well under that link, pairs
+near it are verified by the shingles of their texts, where both are not joined already.
 
 Two rounds. In the first, every member of a posting list is compared with the list's least one, each with the few that it
 shares most lists with, which settles dense groups with a few comparisons a member. Components come from rounds of star contraction with each round's edges written
@@ -29,12 +30,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, forget, stored
+from .common import bounded_batches, forget, sendable, stored
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """Shingle words, bytes of a fingerprint (a multiple of 8), triples of positions, the least of them that a linked pair shares, differing bits."""
+    """Shingle words, bytes of a fingerprint (a multiple of 8), triples of positions, the least of them that a linked pair shares, differing bits.
+
+    With a similarity, pairs of up to ``sure_bits`` link, and others of up to ``far_bits`` if their shingles are so similar
+    (in long lists, up to ``max_bits``). Without one, ``max_bits`` decides.
+    """
 
     words: int
     size: int
@@ -43,12 +48,15 @@ class Scheme:
     max_bits: int
     #: Whether a linked pair shares two more positions than those of a shared triple.
     extends: bool
+    similarity: float | None = None
+    sure_bits: int = 0
+    far_bits: int = 0
 
 
 SEED = 42
 #: Ways to cut eight positions in halves of which no two share a triple.
 _HALVES = [((0, 1, 2, 3), (4, 5, 6, 7)), ((0, 1, 4, 5), (2, 3, 6, 7)), ((0, 2, 4, 6), (1, 3, 5, 7))]
-STRICT = Scheme(3, 8, tuple(t for way in _HALVES for half in way for t in combinations(half, 3)), 3, 3, True)
+STRICT = Scheme(3, 8, tuple(t for way in _HALVES for half in way for t in combinations(half, 3)), 3, 3, True, None, 3, 3)
 
 
 def spread_triples(size: int, n: int, seed: int = 1) -> tuple[tuple[int, int, int], ...]:
@@ -61,7 +69,7 @@ def spread_triples(size: int, n: int, seed: int = 1) -> tuple[tuple[int, int, in
 
 
 #: At similarity 0.8 the expected angle gives 77.6 of 512 differing bits, with a standard deviation of 8.
-NEAR = Scheme(5, 64, spread_triples(64, 96), 1, 80, False)
+NEAR = Scheme(5, 64, spread_triples(64, 144), 1, 80, False, 0.8, 58, 102)
 #: Least members that a node is compared with in the first round.
 COMPARED = 3
 #: A text's shingle hashes are tallied so many at a time: bounds memory on very long texts.
@@ -102,9 +110,9 @@ def fingerprint(text: bytes | None, scheme: Scheme = STRICT, seed: int = SEED) -
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = STRICT) -> DataFrame:
-    """(id, fp, node): one row per row of docs. Null and empty texts have zeros; a null id stays null.
+    """(id, fp, node, said): one row per row of docs. Null and empty texts have zeros; a null id stays null.
 
-    fp holds 64-bit words. node names the fingerprint: its one word, or a hash of its words.
+    fp holds 64-bit words. node names the fingerprint: its one word, or a hash of its words. said is a hash of the text.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -115,10 +123,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(t.as_py(), scheme) for t in texts]
             flat = np.concatenate(fps) if fps else np.zeros(0, np.int64)
             ends = np.arange(len(fps) + 1) * (scheme.size // 8)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), b.column(2)], ["id", "fp", "said"])
 
-    picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = picked.mapInArrow(rows, f"id {kind}, fp array<bigint>")
+    picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("said", F.xxhash64("text"))
+    found = picked.mapInArrow(rows, f"id {kind}, fp array<bigint>, said bigint")
     return found.withColumn("node", F.get("fp", F.lit(0)) if scheme.size == 8 else F.xxhash64("fp"))
 
 
@@ -152,12 +160,12 @@ def extended(rows: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs (a, b) whose fingerprints differ in few enough bits."""
+    """(a, b, bits): the pairs whose fingerprints differ in few enough bits to link or to be looked at."""
     if scheme.size == 8:
-        return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= scheme.max_bits)
+        return pairs.withColumn("bits", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).where(F.col("bits") <= scheme.far_bits)
     one, two = (nodes.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}")) for n in ("a", "b"))
     bits = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    return pairs.join(one, "a").join(two, "b").where(bits <= scheme.max_bits).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", bits.alias("bits")).where(F.col("bits") <= scheme.far_bits)
 
 
 def forest(left: np.ndarray, right: np.ndarray, roots: tuple[np.ndarray, np.ndarray], max_bits: int) -> list[tuple[int, int]]:
@@ -196,10 +204,10 @@ def _chunk_links(max_bits: int):
     return found
 
 
-def links(nodes: DataFrame, scheme: Scheme = STRICT, pair_up_to: int = 48, chunk: int = 1024, extend_over: int = 1 << 14) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of nodes that the first round linked, and (a, b): further links, between nodes of different roots.
+def links(nodes: DataFrame, scheme: Scheme = STRICT, pair_up_to: int = 48, chunk: int = 1024, extend_over: int = 1 << 14) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, root) of nodes that the first round linked; (a, b): further links, between nodes of different roots; (a, b): pairs to look at.
 
-    Together they join what any chain of links joins. nodes: node, fp.
+    The first two together join what any chain of links joins. nodes: node, fp.
     """
     key = stored(postings(nodes, scheme), "postings")
     sizes = key.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("least")).where("m > 1")
@@ -209,9 +217,10 @@ def links(nodes: DataFrame, scheme: Scheme = STRICT, pair_up_to: int = 48, chunk
     tally = lists.where("node != least").groupBy("node", "least").agg(F.count("*").alias("shared"))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("back"), "least"))), 1, COMPARED)  # of a list for each triple
     star = tally.groupBy("node").agg(best.alias("best")).select(F.explode("best.least").alias("a"), F.col("node").alias("b"))
-    near = verified(star, nodes, scheme)
+    near = stored(verified(star, nodes, scheme), "near")
     none = nodes.sparkSession.createDataFrame([], "node bigint, root bigint")
-    roots = components(near)
+    sure = F.col("bits") <= scheme.sure_bits
+    roots = components(near.where(sure))
     roots = none if roots is None else stored(roots, "roots")
     tagged = lists.join(roots, "node", "left").select("key", "node", "m", F.coalesce("root", "node").alias("root"))
     mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
@@ -230,7 +239,7 @@ def links(nodes: DataFrame, scheme: Scheme = STRICT, pair_up_to: int = 48, chunk
         mine = F.pmod(F.xxhash64("node"), n).cast("int")
         spread = rows.join(nodes.select("node", "fp"), "node").select("key", "node", "root", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
         spread = spread.select("key", "node", "root", "fp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-        return spread.groupBy("key", "i", "j").applyInPandas(_chunk_links(scheme.max_bits), "a bigint, b bigint")
+        return spread.groupBy("key", "i", "j").applyInPandas(_chunk_links(scheme.max_bits), "a bigint, b bigint").withColumn("bits", F.lit(0))
 
     long = F.col("m") > pair_up_to
     over = long & (F.col("m") > extend_over) if scheme.extends else F.lit(False)
@@ -241,9 +250,9 @@ def links(nodes: DataFrame, scheme: Scheme = STRICT, pair_up_to: int = 48, chunk
     if scheme.extends and not rest.where(over).isEmpty():
         more = stored(extended(rest.where(over), scheme), "extended")
         parts.append(dealt(more.join(more.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")))
-    more = stored(reduce(DataFrame.union, parts).distinct(), "links")
+    more = stored(reduce(DataFrame.unionByName, parts).distinct(), "links")
     forget(rest)
-    return roots, more
+    return roots, more.where(sure).select("a", "b"), near.unionByName(more).where(~sure).select("a", "b")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame | None:
@@ -282,23 +291,57 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame | None:
     raise RuntimeError(f"components not settled in {most_rounds} rounds")
 
 
+def merged(rooted: DataFrame, edges: DataFrame) -> DataFrame:
+    """rooted (node, first, root) after links (a, b) between nodes."""
+    at = [rooted.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in ("a", "b")]
+    last = components(edges.join(at[0], "a").join(at[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    if last is None:
+        return rooted
+    last = last.select(F.col("node").alias("root"), F.col("root").alias("last"))
+    return stored(rooted.join(last, "root", "left").select("node", "first", F.coalesce("last", "root").alias("root")), "rooted")
+
+
+def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, scheme: Scheme, seed: int = SEED) -> DataFrame:
+    """(node, shingles): the different shingles' hashes of the texts whose hash (said) is wanted for a node."""
+    bounded_batches(docs.sparkSession)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column(1).cast(pa.binary() if b.column(1).type == pa.string() else pa.large_binary()).to_pylist():
+                w = (text or b"").lower().split()
+                out.append(np.unique([xxhash.xxh64_intdigest(b" ".join(w[k : k + scheme.words]), seed) for k in range(max(1, len(w) - scheme.words + 1))]).astype(np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("said", F.xxhash64("text"))
+    # Copies of a text are told apart from it no more here: one is read.
+    once = texts.join(sendable(wanted), "said").select("node", "text").dropDuplicates(["node"])
+    return once.mapInArrow(rows, "node bigint, shingles array<bigint>")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = STRICT, **sizes: int) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of docs.
 
-    component_id is the smallest id among all rows reachable by links of at most the scheme's differing bits. Null or empty
-    texts share a fingerprint of zeros and link like any other. Rows with a null id take part and get their component's
-    smallest id (null if it has none). Repeated rows are all returned. Other columns of docs are ignored. An empty table
-    gives an empty result.
+    component_id is the smallest id among all rows reachable by the scheme's links. Null or empty texts share a fingerprint
+    of zeros and link like any other. Rows with a null id take part and get their component's smallest id (null if it has
+    none). Repeated rows are all returned. Other columns of docs are ignored. An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, id_col, text_col, scheme), "prints")
-    nodes = stored(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("first")), "nodes")
-    roots, more = links(nodes, scheme, **sizes)
-    rooted = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    top = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    last = components(more.join(top[0], "a", "left").join(top[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    if last is not None:
-        rooted = rooted.join(last.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select("node", "first", F.coalesce("last", "root").alias("root"))
-    rooted = stored(rooted, "rooted")
+    nodes = stored(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("first"), F.min("said").alias("said")), "nodes")
+    roots, more, open_pairs = links(nodes, scheme, **sizes)
+    rooted = stored(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    rooted = merged(rooted, more)
+    if scheme.similarity is not None:
+        at = [rooted.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in ("a", "b")]
+        apart = stored(open_pairs.join(at[0], "a").join(at[1], "b").where("ra != rb").select("a", "b").distinct(), "apart")
+        if not apart.isEmpty():
+            names = apart.select(F.col("a").alias("node")).union(apart.select("b")).distinct()
+            wanted = stored(nodes.join(names, "node", "left_semi").select("node", "said"), "wanted")
+            sets = stored(shingle_sets(docs, text_col, wanted, scheme), "sets")
+            one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in ("a", "b"))
+            both = F.size(F.array_intersect("sa", "sb"))
+            alike = apart.join(one, "a").join(two, "b").where(both >= F.lit(scheme.similarity) * (F.size("sa") + F.size("sb") - both))
+            rooted = merged(rooted, alike.select("a", "b"))
     owner = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
     whole = F.concat_ws("", F.transform("fp", lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))))
     return prints.join(owner, "node").select(F.col("id").alias(id_col), whole.alias("fingerprint"), "component_id")

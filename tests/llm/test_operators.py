@@ -84,7 +84,8 @@ def test_simhash_links_of_crowded_buckets(spark, sizes):
     prints += [prints[0] & (1 << 24) - 1 | rng.getrandbits(40) << 24 for _ in range(30)]
     signed = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
     nodes = spark.createDataFrame([(p, [p]) for p in signed], "node long, fp array<long>")
-    roots, more = simhash.links(nodes, **sizes)
+    roots, more, open_pairs = simhash.links(nodes, **sizes)
+    assert open_pairs.isEmpty()
     edges = [tuple(r) for r in roots.collect()] + [tuple(r) for r in more.collect()]
     want = plain_components([(p, p & (1 << 64) - 1) for p in signed])
     assert joined_by(signed, edges) == want
@@ -120,7 +121,7 @@ def test_near_scheme_finds_texts_of_similarity_08(spark):
         words = rng.choices(vocabulary, k=rng.randint(60, 400))
         base.append(words)
         rows.append((3 * k, " ".join(words)))
-        edited = [w if rng.random() > 0.02 else rng.choice(vocabulary) for w in words]
+        edited = [w if rng.random() > (0.015, 0.02, 0.03)[k % 3] else rng.choice(vocabulary) for w in words]
         rows.append((3 * k + 1, " ".join(edited)))
         rows.append((3 * k + 2, " ".join(words[: len(words) // 2] + rng.choices(vocabulary, k=len(words) // 2))))
     crowd = base[0]
@@ -131,8 +132,9 @@ def test_near_scheme_finds_texts_of_similarity_08(spark):
         got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), scheme=simhash.NEAR, **how).collect()}
         pairs = [(3 * k, 3 * k + 1) for k in range(60)]
         wanted = [p for p in pairs if similarity(*p) >= 0.8] + [(0, 1000 + k) for k in range(50)]
-        assert len(wanted) > 80 and sum(got[a] == got[b] for a, b in wanted) >= 0.9 * len(wanted)
+        assert len(wanted) > 80 and sum(got[a] == got[b] for a, b in wanted) >= 0.95 * len(wanted)
         assert all(got[3 * k] != got[3 * k + 2] for k in range(60))
+        assert not any(got[a] == got[b] for a, b in pairs if similarity(a, b) < 0.8 and a > 0)
 
 
 def test_simhash_edges(spark):
