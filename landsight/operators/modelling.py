@@ -112,11 +112,14 @@ def mean_ranks(values: DataFrame, x: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str, least: int = 6) -> DataFrame:
-    """(n, rho): rank correlation with mean ranks on ties; NULL with fewer than ``least`` rows."""
+    """(n, rho): rank correlation with mean ranks on ties; NULL with fewer than ``least`` rows.
+
+    The values are stored first: means worked out twice may differ in their last bits, and then would not meet their ranks.
+    """
     def rank(x: str) -> Column:
         return F.col(f"__rank_{x}")
 
-    out = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
+    out = stored(df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna(), "pairs")
     for x in ("a", "b"):
         out = out.join(mean_ranks(out.select(x), x).withColumnRenamed("rank", f"__rank_{x}"), x)
     return out.agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.corr(rank("a"), rank("b"))).alias("rho"))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import sys
 
 import numpy as np
@@ -70,6 +71,12 @@ def test_held_out_year_does_not_leak_and_predictor_helps(spark):
     assert got["x"] < got["none"]
 
 
+def test_spearman_of_values_that_come_out_otherwise_when_worked_out_again(spark):
+    noisy = F.udf(lambda k: k + random.random() / 1e6, "double").asNondeterministic()
+    got = modelling.spearman(spark.range(20).select(noisy("id").alias("a"), (-F.col("id")).alias("b")), "a", "b").first()
+    assert got["n"] == 20 and np.isclose(got["rho"], -1)
+
+
 def test_published_sign_test(spark):
     df = spark.createDataFrame([(k < 15,) for k in range(21)], "w boolean")
     got = modelling.sign_test(df, F.col("w")).first()
