@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.base import c, micros, ratio, trailing
+from ..functions.base import c, micros, ratio, trailing, with_quantile
 
 
 def by_time(keys: list[str], ts: str = "ts") -> W.WindowSpec:
@@ -18,11 +18,14 @@ def by_time(keys: list[str], ts: str = "ts") -> W.WindowSpec:
 
 
 def clear_flags(df: DataFrame, keys: list[str], value: str, ts: str = "ts", days: int = 90, q: float = 0.8, share: float = 0.8, least: int = 5, out: str = "clear") -> DataFrame:
-    """Adds a flag: the value reaches ``share`` of the trailing quantile; false with fewer than ``least`` values."""
+    """Adds a flag: the value reaches ``share`` of the trailing quantile; false with fewer than ``least`` values.
+
+    A value may be just that share, so the quantile is that of the SQL to the last bit, which ``percentile`` is not.
+    """
     w = by_time(keys, ts).rangeBetween(*trailing(days))
-    enough = F.count(value).over(w) >= least
-    top = F.percentile(c(value), F.lit(q)).over(w)
-    return df.withColumn(out, F.coalesce(enough & (c(value) >= F.lit(share) * top), F.lit(False)))
+    seen = df.withColumn("__seen", F.sort_array(F.collect_list(c(value).cast("double")).over(w)))
+    top = with_quantile(seen, "__seen", q, "__top")
+    return top.withColumn(out, F.coalesce((F.size("__seen") >= least) & (c(value) >= F.lit(share) * F.col("__top")), F.lit(False))).drop("__seen", "__top")
 
 
 def causal_smooth(df: DataFrame, keys: list[str], value: str, ts: str = "ts", q: float = 0.9, quantile_days: int = 7, mean_days: int = 15, out: str = "smooth") -> DataFrame:
