@@ -2,8 +2,8 @@
 
 Two bigram models of the same form, one of the target texts and one of all texts, share one vocabulary: all words of the
 corpus (runs of letters, digits, underscores and non-ASCII bytes, as they are spelt, and every other sign that is no space).
-As a history, a word stands for itself if it is one of the ``HISTORIES`` most frequent; all others are one history together, the
-start of a text is another. Smoothing is additive: p(w|h) = (c(h,w) + ADDED) / (c(h) + ADDED * V). The loss of a token thus
+As a history every word stands for itself, and the start of a text is another; ``histories`` can join all words but the most
+frequent ones into one history, for a coarser model. Smoothing is additive: p(w|h) = (c(h,w) + ADDED) / (c(h) + ADDED * V). The loss of a token thus
 is a sum over two events, the word after its history and the history alone, and a document's loss one over its events. Every document is left
 out of the counts that score it, from the background's always, from the target's if it is a target text. A document's score
 is the mean over its tokens of target loss minus background loss in bits: the lower, the more it is like the target. Against
@@ -11,7 +11,7 @@ the uniform model, an event counts only where other documents have it.
 
 The counts are taken over every document and grow with the corpus, so no one holds them. A first pass counts the words and
 finds the most frequent pairs. Frequent events (histories, these pairs, frequent words after the joint history) are tallied
-by each task and their totals sent to the tasks that score: ``HISTORIES`` and twice ``FREQUENT`` at most. All others are
+by each task and their totals sent to the tasks that score: three times ``FREQUENT`` at most. All others are
 shuffled once, as (event, document, times), to the task that counts an event and hands back what it changes in the loss of each
 document, to be summed. No text is shuffled unless there are more targets than a broadcast may hold, whose ids then take a join to reach the
 texts.
@@ -30,9 +30,9 @@ from .common import SENT_ROWS, bounded_batches, forget, sendable, stored, text_o
 
 #: What is added to each count.
 ADDED = 0.001
-#: Words that are histories of their own, at most; words after the joint history, and pairs, that are tallied apart, at most;
-#: tokens whose other events make a partition (on the average).
-HISTORIES, FREQUENT, PER_PARTITION = 1 << 12, 1 << 16, 1 << 22
+#: Histories, words after a joint history, and pairs that are tallied apart, at most of each; tokens whose other events make
+#: a partition (on the average).
+FREQUENT, PER_PARTITION = 1 << 16, 1 << 21
 #: Bytes of texts that are cut into words together (a longer text is taken alone), and events that a task tallies together.
 TOGETHER, TALLIED = 1 << 20, 1 << 22
 #: A frequent word or pair is at least one in so many tokens: bounds the rows that are sorted for the most frequent ones.
@@ -164,7 +164,7 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(rows, "pair boolean, number bigint, n bigint").groupBy("pair", "number").agg(F.sum("n").alias("n"))
 
 
-def _events_of(words: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _events_of(words: np.ndarray, sizes: np.ndarray, own: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text its events and how often it has each."""
     histories = histories_of(words, sizes, own)
     both = np.stack((after(histories, words), alone(histories)))
@@ -174,7 +174,7 @@ def _events_of(words: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> Iterato
         at += n
 
 
-def document_events(docs: DataFrame, text: str, key: str, target: str, own: np.ndarray, hot: np.ndarray) -> DataFrame:
+def document_events(docs: DataFrame, text: str, key: str, target: str, own: np.ndarray | None, hot: np.ndarray) -> DataFrame:
     """(event, key, n, in_target): how often each document has its events; frequent ones come once a task, summed, without a key."""
     sent = docs.sparkSession.sparkContext.broadcast((own, hot))
     names = ["event", "key", "n", "in_target"]
@@ -236,7 +236,7 @@ def _counted(vocabulary: int):
     return rows
 
 
-def hot_changes(docs: DataFrame, id_col: str, text: str, key: str, own: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray], vocabulary: int) -> DataFrame:
+def hot_changes(docs: DataFrame, id_col: str, text: str, key: str, own: np.ndarray | None, table: tuple[np.ndarray, np.ndarray, np.ndarray], vocabulary: int) -> DataFrame:
     """(id, key, n_tokens, background, outside, inside): changes that frequent events make; for the target's model, of a text outside and of one inside it."""
     sent = docs.sparkSession.sparkContext.broadcast((own, *table))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -263,12 +263,13 @@ def hot_changes(docs: DataFrame, id_col: str, text: str, key: str, own: np.ndarr
     return docs.select(f"`{id_col}`", text, key).mapInArrow(rows, f"`{id_col}` {kind}, key bigint, n_tokens bigint, background double, outside double, inside double")
 
 
-def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_targets: int = SENT_ROWS, histories: int = HISTORIES, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_targets: int = SENT_ROWS, histories: int | None = None, frequent: int = FREQUENT) -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score): one row per row of docs, mean bits a token.
 
     ``targets`` names the ids of the target texts in a column of the same name (null or repeated ids add nothing). Null and
     empty texts have no tokens and zeros. Ids may be null or repeated; every row is a text of its own, also one that repeats
-    another. Without target texts the target model is uniform. Other columns are ignored.
+    another. Without target texts the target model is uniform. Other columns are ignored. ``histories``: how many words are
+    histories of their own, the others being one together; None: all.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -284,10 +285,11 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
         """The numbers of the most frequent words or pairs, most frequent first, at most n; none that is rarer than one in ``SEEN`` tokens."""
         return counts.where((F.col("pair") == pair) & (F.col("n") >= tokens // SEEN)).orderBy(F.desc("n"), "number").limit(n).select("number").toPandas()["number"].to_numpy(np.int64)
 
-    words = most(False, max(histories, frequent)).view(np.uint64)
-    own, known = np.sort(words[:histories]), words[:frequent]
-    every = np.concatenate((own, np.array([_START, _RARE])))
-    hot = np.unique(np.concatenate((alone(every), after(np.full(len(known), _RARE), known), most(True, frequent))))
+    words = most(False, max(histories or 0, frequent)).view(np.uint64)
+    own, known = None if histories is None else np.sort(words[:histories]), words[:frequent]
+    every = np.concatenate((known if own is None else own, np.array([_START, _RARE])))
+    joint = known[:0] if own is None else after(np.full(len(known), _RARE), known)
+    hot = np.unique(np.concatenate((alone(every), joint.view(np.int64), most(True, frequent))))
 
     marks = stored(wanted, "targets")
     flagged = picked.join(sendable(marks, sent_targets), id_ == F.col("__id"), "left").select(text, "__key", F.col("__id").isNotNull().alias("__in"))

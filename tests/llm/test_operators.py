@@ -788,6 +788,15 @@ def test_language_model_equals_brute_force(spark, how):
         assert a[:2] == b[:2] and np.allclose(a[2:], [*b[2:], b[2] - b[3]], atol=1e-9)
 
 
+def test_every_word_is_a_history_however_many_there_are(spark):
+    rng = random.Random(6)
+    said = [f"w{k}" for k in range(5000)]
+    rows = [(k, " ".join(said[(first + n) % 5000] for n in range(1500))) for k in range(12) for first in [rng.randrange(5000)]]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1,), (2,)], "doc_id long")).collect()
+    for a, b in zip(sorted(map(tuple, got)), plain_losses(rows, {1, 2}, 1 << 16)):
+        assert a[:2] == b[:2] and np.allclose(a[2:4], b[2:], atol=1e-9)
+
+
 def test_language_model_tells_texts_with_a_copy_apart(spark):
     docs = texts(spark, "sf0.01")
     got = lm_score.score(docs, docs.where("doc_id % 3 = 0").select("doc_id")).toPandas().set_index("doc_id")["background_loss"]
