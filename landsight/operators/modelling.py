@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -18,6 +20,8 @@ from .siting import binomial_tail
 SEASON = ["doy_s1", "doy_c1", "doy_s2", "doy_c2"]
 # Fixed value: the penalties that are tried.
 ALPHAS = np.logspace(-2, 3, 20)
+#: Rows of a group that a task scores together.
+TOGETHER = 1 << 16
 
 
 def ridge_loo(x: np.ndarray, y: np.ndarray, alphas: np.ndarray = ALPHAS) -> tuple[np.ndarray, float, float]:
@@ -41,49 +45,181 @@ def ridge_loo(x: np.ndarray, y: np.ndarray, alphas: np.ndarray = ALPHAS) -> tupl
     return coef, float(my - mx @ coef), float(a)
 
 
-def fit_predict(train: pd.DataFrame, test: pd.DataFrame, feats: list[str], base: list[str], target: str) -> np.ndarray:
-    """Predictions for a held-out part; predictors are clipped to the training range, then standardised by it."""
-    a, b = train[feats].to_numpy(float), test[feats].to_numpy(float)
-    if feats:
-        b = np.clip(b, a.min(0), a.max(0))
-        mean, sd = a.mean(0), a.std(0)
-        sd[sd == 0] = 1
-        a, b = (a - mean) / sd, (b - mean) / sd
-    coef, free, _ = ridge_loo(np.hstack([a, train[base].to_numpy(float)]), train[target].to_numpy(float))
-    return np.hstack([b, test[base].to_numpy(float)]) @ coef + free
+class Moments:
+    """Counts, means and co-moments of a group's rows by year and site, and the ridge regressions of its held-out years.
 
+    Variables: the season's terms, the predictors, the target. A site's row of a design is a linear function of a few
+    numbers (one, the season's terms, the predictors), so what a fit, its predictions and its left-out residuals need of
+    the rows is small, however many they are.
+    """
 
-def loyo(df: DataFrame, feats: list[str], group: list[str], site: str = "site", year: str = "year", target: str = "lfmc", least: int = 30, season_per_site: bool = True) -> DataFrame:
+    def __init__(self, cells: pd.DataFrame, season_per_site: bool, least: int) -> None:
+        wide = lambda x: np.array([*cells[x]], float).reshape(len(cells), -1)
+        self.n, self.mean, self.lo, self.hi = cells["__n"].to_numpy(float), wide("__mean"), wide("__lo"), wide("__hi")
+        k = self.mean.shape[1]
+        i, j = np.triu_indices(k)
+        self.co = np.zeros((len(cells), k, k))
+        self.co[:, i, j] = self.co[:, j, i] = wide("__co")
+        self.year, self.site = cells["__year"].to_numpy(object), cells["__site"].to_numpy(object)
+        self.sites = sorted({s for s in self.site if s is not None})
+        self.per_site, self.least, self.feats = season_per_site, least, k - len(SEASON) - 1
+
+    def held(self) -> list[str]:
+        """The years that have enough rows outside."""
+        return [y for y in sorted({y for y in self.year if y is not None}) if self.n[self.year != y].sum() >= self.least]
+
+    def fit(self, held: str, with_feats: bool) -> Ridge:
+        keep, last = self.year != held, len(SEASON)
+        used = [*range(last + self.feats * with_feats), self.mean.shape[1] - 1]
+        n, mean, co = self.n[keep], self.mean[keep][:, used], self.co[keep][:, used][:, :, used]
+        total, feats = n.sum(), len(used) - last - 1
+        middle, scale = n @ mean / total, np.ones(len(used))
+        own = slice(last, last + feats)
+        lo, hi = self.lo[keep, :feats].min(0), self.hi[keep, :feats].max(0)
+        middle[:last] = 0
+        off = mean - middle
+        spread = np.sqrt(n @ (np.einsum("cii->ci", co) + off**2) / total)
+        scale[own] = np.where((lo == hi) | (spread[own] == 0), 1, spread[own])
+        off, co = off / scale, co / scale[:, None] / scale
+        # Sums of products of one and the variables, by row of cells.
+        sums = np.empty((len(n), len(used) + 1, len(used) + 1))
+        sums[:, 0, 0], sums[:, 0, 1:], sums[:, 1:, 0] = n, n[:, None] * off, n[:, None] * off
+        sums[:, 1:, 1:] = n[:, None, None] * (co + off[:, :, None] * off[:, None])
+        size = feats + len(self.sites) * (1 + last) if self.per_site else feats + len(self.sites) + last
+        gram, to_target, first = np.zeros((size, size)), np.zeros(size), np.zeros(size)
+        for s in {*self.site[keep]}:
+            w, (rows, cols) = sums[self.site[keep] == s].sum(0), self._columns(s, feats)
+            gram[np.ix_(rows, rows)] += w[:-1, :-1][np.ix_(cols, cols)]
+            to_target[rows] += w[cols, -1]
+            first[rows] += w[cols, 0]
+        first /= total
+        values, vectors = np.linalg.eigh(gram - total * np.outer(first, first))
+        return Ridge(self, feats, total, middle[own], scale[own], lo, hi, middle[-1], first, np.maximum(values, 0), vectors, vectors.T @ to_target)
+
+    def _columns(self, site: str | None, feats: int) -> tuple[list[int], list[int]]:
+        """Which columns of the design a site's row fills, and with which of its numbers."""
+        last = len(SEASON)
+        rows, cols = [*range(feats)], [*range(1 + last, 1 + last + feats)]
+        if site is not None:
+            k = self.sites.index(site)
+            rows, cols = (rows + [feats + k * (1 + last) + r for r in range(1 + last)], cols + [*range(1 + last)]) if self.per_site else ([*rows, feats + k], [*cols, 0])
+        return (rows, cols) if self.per_site else (rows + [feats + len(self.sites) + r for r in range(last)], cols + [*range(1, 1 + last)])
+
+
+@dataclass
+class Ridge:
+    """The ridge regressions of all penalties for a held-out year, in the eigenvectors of the centred design."""
+
+    moments: Moments
+    feats: int
+    n: float
+    middle: np.ndarray
+    scale: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    target: float
+    first: np.ndarray
+    values: np.ndarray
+    vectors: np.ndarray
+    to_target: np.ndarray
+
+    def of_site(self, site: str | None) -> np.ndarray:
+        """A site's numbers to the eigenvectors' coordinates."""
+        rows, cols = self.moments._columns(site, self.feats)
+        to = np.zeros((len(self.first), 1 + len(SEASON) + self.feats))
+        to[rows, cols] = 1
+        to[:, 0] -= self.first
+        return self.vectors.T @ to
+
+    def weights(self, site: str | None, alphas: np.ndarray = ALPHAS) -> np.ndarray:
+        """What a site's numbers are multiplied by to predict how far the target is from its mean, a row for each penalty."""
+        return (self.to_target / (self.values + alphas[:, None])) @ self.of_site(site)
+
+    def errors(self, site: str | None, x: np.ndarray, alphas: np.ndarray = ALPHAS) -> np.ndarray:
+        """Sums of squared left-out residuals of a site's training rows for each penalty. x: season, predictors, target."""
+        last = len(SEASON)
+        z = np.hstack([np.ones((len(x), 1)), x[:, :last], (x[:, last : last + self.feats] - self.middle) / self.scale])
+        to = self.of_site(site)
+        i, j = np.triu_indices(z.shape[1])
+        square = np.einsum("pi,ap,pj->aij", to, 1 / (self.values + alphas[:, None]), to, optimize=True)
+        hat = (z[:, i] * z[:, j]) @ (square[:, i, j] * np.where(i == j, 1, 2)).T
+        e = x[:, -1:] - self.target - z @ self.weights(site, alphas).T
+        return ((e / (1 - hat - 1 / self.n)) ** 2).sum(0)
+
+
+def dealt(rows: DataFrame, cells: DataFrame, group: list[str], together: int) -> tuple[DataFrame, DataFrame]:
+    """rows and cells by group and ``__chunk``: a group's rows in chunks of about ``together``, each with all cells of the group."""
+    chunks = cells.groupBy(*group).agg(F.ceil(F.sum("__n") / together).cast("int").alias("__chunks"))
+    some = rows.withColumn("__at", F.monotonically_increasing_id()).join(chunks, group).withColumn("__chunk", F.pmod(F.xxhash64("__at"), "__chunks").cast("int"))
+    return some.drop("__at", "__chunks"), cells.join(chunks, group).withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))).drop("__chunks")
+
+
+def loyo(df: DataFrame, feats: list[str], group: list[str], site: str = "site", year: str = "year", target: str = "lfmc", least: int = 30, season_per_site: bool = True, together: int = TOGETHER) -> DataFrame:
     """df's complete rows with ``pred`` and ``clim``, each year predicted from a group's other years.
 
-    A group (a camera) goes to one task per held-out year; its samples are hundreds to thousands. Years with fewer than
-    ``least`` training rows have no predictions and are left out.
+    The regressions come from the moments of a group's years and sites, and their penalties from the left-out residuals of
+    all rows, which are scored in chunks of about ``together``; so no task holds a group (a camera), whose samples may be
+    millions. What is held of a group at once is a row for each of its years and sites. Years with fewer than ``least``
+    training rows have no predictions and are left out.
     """
     feats = [f for f in feats if not (season_per_site and f in SEASON)]
     rows = df.dropna(subset=[*feats, target, *SEASON])
-    years = rows.groupBy(*group).agg(F.sort_array(F.collect_set(year)).alias("__years"))
-    spread = rows.join(years, group).withColumn("__held", F.explode("__years")).drop("__years")
-    schema = T.StructType([*rows.schema.fields, T.StructField("pred", T.DoubleType()), T.StructField("clim", T.DoubleType())])
-    names = rows.columns
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = pdf[year] == pdf["__held"]
-        base = []
-        for s in sorted(pdf[site].unique()):
-            own = (pdf[site] == s).astype(float)
-            for h in ["", *(SEASON if season_per_site else [])]:
-                pdf[f"__{s}_{h}"] = own * (pdf[h] if h else 1.0)
-                base.append(f"__{s}_{h}")
-        base += [] if season_per_site else SEASON
-        train, test = pdf[~held], pdf[held].copy()
-        if len(train) < least or not len(test):
-            return pd.DataFrame(columns=[*names, "pred", "clim"])
-        train = train.sort_values([site, year, target, *feats])
-        test["pred"] = fit_predict(train, test, feats, base, target)
-        test["clim"] = fit_predict(train, test, [], base, target)
-        return test[[*names, "pred", "clim"]]
-
-    return spread.groupBy(*group, "__held").applyInPandas(one, schema)
+    named = [F.col(f"`{g}`") for g in group]
+    values = [F.col(f"`{x}`").cast("double") for x in [*SEASON, *feats, target]]
+    place = [F.col(f"`{year}`").cast("string").alias("__year"), F.col(f"`{site}`").cast("string").alias("__site")]
+    slim = rows.select(*named, *place, *(v.alias(f"__v{k}") for k, v in enumerate(values)))
+    v = [f"__v{k}" for k in range(len(values))]
+    own = v[len(SEASON) : -1]
+    doubles = lambda x: F.array(*x).cast("array<double>")
+    cells = slim.groupBy(*named, "__year", "__site").agg(
+        F.count("*").alias("__n"), doubles(F.avg(x) for x in v).alias("__mean"), doubles(F.covar_pop(x, y) for k, x in enumerate(v) for y in v[k:]).alias("__co"),
+        doubles(F.min(x) for x in own).alias("__lo"), doubles(F.max(x) for x in own).alias("__hi"))
+    cells = cells.select(*(F.col(f"`{x}`").alias(x) for x in cells.columns))  # else its keys are those of the rows, which it meets again
+    keys = [rows.schema[g] for g in group]
+
+    def scored(key: tuple, pdf: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        out, moments = [], Moments(cells, season_per_site, least)
+        x, years = pdf[v].to_numpy(float), pdf["__year"].to_numpy(object)
+        at = pdf.groupby(pdf["__site"].to_numpy(object), dropna=False).indices
+        for held in moments.held() if len(pdf) else []:
+            sums = []
+            for fit in (moments.fit(held, True), moments.fit(held, False)):
+                each = [fit.errors(None if pd.isna(s) else s, x[k[years[k] != held]]) for s, k in at.items()]
+                sums.append(np.sum(each, 0))
+            out.append((*key[: len(group)], held, *sums))
+        return pd.DataFrame(out, columns=[*group, "__year", "__pred", "__clim"])
+
+    def chosen(key: tuple, scores: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        out, moments = [], Moments(cells, season_per_site, least)
+        for held, mine in scores.groupby("__year"):
+            parts = []
+            for name, fit in (("__pred", moments.fit(held, True)), ("__clim", moments.fit(held, False))):
+                best = int(np.argmin([math.fsum(a) for a in zip(*mine[name])]))
+                parts.append((fit, ALPHAS[best : best + 1]))
+            for s in moments.site[moments.year == held]:
+                pred, clim = (fit.weights(s, alpha)[0] for fit, alpha in parts)
+                fit, last = parts[0][0], len(SEASON)
+                out.append((*key, held, s, fit.target, pred[: 1 + last], pred[1 + last :] / fit.scale, fit.middle, fit.lo, fit.hi, clim))
+        return pd.DataFrame(out, columns=[*group, "__year", "__site", "__free", "__base", "__w", "__middle", "__low", "__high", "__season"])
+
+    chunks, sent = dealt(slim, cells, group, together)
+    schema = T.StructType([*keys, T.StructField("__year", T.StringType()), *(T.StructField(x, T.ArrayType(T.DoubleType())) for x in ("__pred", "__clim"))])
+    scores = chunks.groupBy(*named, "__chunk").cogroup(sent.groupBy(*named, "__chunk")).applyInPandas(scored, schema)
+    schema = T.StructType([*keys, T.StructField("__year", T.StringType()), T.StructField("__site", T.StringType()), T.StructField("__free", T.DoubleType()),
+                           *(T.StructField(x, T.ArrayType(T.DoubleType())) for x in ("__base", "__w", "__middle", "__low", "__high", "__season"))])
+    fits = scores.groupBy(*named).cogroup(cells.groupBy(*named)).applyInPandas(chosen, schema)
+    fits = fits.select(*(F.col(f"`{g}`").alias(f"__g{k}") for k, g in enumerate(group)), *(x for x in fits.columns if x not in group))
+
+    def season(w: str) -> Column:
+        return reduce(lambda s, k: s + F.get(w, F.lit(k + 1)) * values[k], range(len(SEASON)), F.col("__free") + F.get(w, F.lit(0)))
+
+    def with_predictors(s: Column, k: int) -> Column:
+        at = lambda x: F.get(x, F.lit(k))
+        return s + at("__w") * (F.least(F.greatest(values[len(SEASON) + k], at("__low")), at("__high")) - at("__middle"))
+
+    same = [F.col(f"`{g}`") == F.col(f"__g{k}") for k, g in enumerate(group)]
+    met = rows.join(fits, reduce(Column.__and__, [*same, place[0] == F.col("__year"), place[1].eqNullSafe(F.col("__site"))]))
+    return met.select(*(F.col(f"`{x}`") for x in rows.columns), reduce(with_predictors, range(len(feats)), season("__base")).alias("pred"), season("__season").alias("clim"))
 
 
 def metrics(pred: DataFrame, group: list[str], target: str = "lfmc", year: str = "year", critical: float = 80.0) -> DataFrame:

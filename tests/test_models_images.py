@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import random
 import sys
 
@@ -71,6 +72,62 @@ def test_held_out_year_does_not_leak_and_predictor_helps(spark):
     assert got["x"] < got["none"]
 
 
+def plain_loyo(pdf, feats, per_site):
+    """{id: (pred, clim)} with each held-out year's training rows in one table."""
+    out = {}
+    for _, own in pdf.groupby("cam"):
+        for held in own["year"].dropna().unique():
+            train, test = own[own["year"] != held], own[own["year"] == held]
+            if len(train) < 30:
+                continue
+            both = []
+            for used in ([f for f in feats if not (per_site and f in modelling.SEASON)], []):
+                a, b = train[used].to_numpy(float), test[used].to_numpy(float)
+                if used:
+                    b = np.clip(b, a.min(0), a.max(0))
+                    sd = np.where(a.std(0) == 0, 1, a.std(0))
+                    a, b = (a - a.mean(0)) / sd, (b - a.mean(0)) / sd
+                for s in sorted(own["site"].dropna().unique()):
+                    for h in [None, *(modelling.SEASON if per_site else [])]:
+                        a, b = (np.column_stack([x, (t["site"] == s) * (t[h] if h else 1.0)]) for x, t in ((a, train), (b, test)))
+                if not per_site:
+                    a, b = np.hstack([a, train[modelling.SEASON]]), np.hstack([b, test[modelling.SEASON]])
+                coef, free, _ = modelling.ridge_loo(a, train["lfmc"].to_numpy(float))
+                both.append(b @ coef + free)
+            out |= {i: (p, q) for i, p, q in zip(test["id"], *both)}
+    return out
+
+
+@pytest.mark.parametrize(("feats", "per_site"), [(["x", "z"], True), (["x", "doy_s1"], False), ([], True)])
+def test_years_predicted_from_moments_and_chunks_equal_whole_tables(spark, feats, per_site):
+    rng = random.Random(4)
+    rows = []
+    for k in range(700):
+        year, day = rng.randint(2010, 2014), dt.date(2011, 1, 1) + dt.timedelta(days=rng.randint(0, 360))
+        x, site = rng.gauss(1e4, 3) + (year == 2012) * 20, "new" if year == 2013 and rng.random() < 0.3 else rng.choice(["a", "b"])
+        rows.append((k, rng.choice([1, 1, 1, 2, 2, None]), None if k % 31 == 0 else site, None if k % 29 == 0 else year, day, x, 7.1 if year != 2014 else 8.0, 100 + 2 * x + 20 * math.cos(day.timetuple().tm_yday / 58) + rng.gauss(0, 5)))
+    rows += [(1000 + k, 3, "a", 2010 + k % 2, dt.date(2011, 1, 1 + k), 1.0, 1.0, 1.0) for k in range(20)]  # too few
+    rows += [(2000, 1, "a", 2010, dt.date(2011, 1, 1), None, 1.0, 1.0), (2001, 1, "a", 2010, dt.date(2011, 1, 1), 1.0, 1.0, float("nan"))]
+    df = spark.createDataFrame(rows, "id int, cam int, site string, year int, date date, x double, z double, lfmc double")
+    df = df.withColumns(dict(zip(modelling.SEASON, frames.season("date"))))
+    want = plain_loyo(df.toPandas().dropna(subset=[*feats, "lfmc"]), feats, per_site)
+    got = modelling.loyo(df, feats, ["cam"], season_per_site=per_site, together=40)
+    assert got.columns == [*df.columns, "pred", "clim"]
+    got = {r["id"]: (r["pred"], r["clim"]) for r in got.collect()}
+    assert len(want) > 500 and got.keys() == want.keys()
+    assert all(np.allclose(got[i], want[i], rtol=1e-7, atol=1e-6) for i in want)
+    assert modelling.loyo(df.limit(0), feats, ["cam"], season_per_site=per_site).count() == 0
+
+
+def test_no_task_is_given_all_rows_of_a_camera(spark):
+    rows = spark.range(0, 20_000, 1, 3).select(F.lit(1).alias("cam"), F.lit("a").alias("site"), F.lit(2000).alias("year"))
+    cells = rows.groupBy("cam", "site", "year").agg(F.count("*").alias("__n"))
+    chunks, sent = modelling.dealt(rows, cells.select(*(F.col(x).alias(x) for x in cells.columns)), ["cam"], 1000)
+    sizes = [r["count"] for r in chunks.groupBy("cam", "__chunk").count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 20 and max(sizes) < 1300
+    assert sent.groupBy("cam", "__chunk").agg(F.sum("__n").alias("n")).where("n = 20000").count() == 20
+
+
 def test_spearman_of_values_that_come_out_otherwise_when_worked_out_again(spark):
     noisy = F.udf(lambda k: k + random.random() / 1e6, "double").asNondeterministic()
     got = modelling.spearman(spark.range(20).select(noisy("id").alias("a"), (-F.col("id")).alias("b")), "a", "b").first()
