@@ -10,8 +10,8 @@ in 15 % of the bits of a long fingerprint, and nearly always share one of its tr
 Two rounds. In the first, every member of a posting list is compared with the list's least one, each with the few that it
 shares most lists with, which settles dense groups with a few comparisons a member. Components come from rounds of star contraction with each round's edges written
 to the shared folder. The second round takes the lists that still hold several components and tallies the shared triples of
-pairs from different ones; long lists are dealt into chunks, each pair of chunks a task's group of bounded size
-that returns a spanning forest of its links. Lists over ``extend_over`` are first split by two more byte positions where the
+pairs from different ones (with ``NEAR``, whose links need share but one, a list's pairs are verified in it); long lists
+are dealt into chunks, each pair of chunks a task's group of bounded size that returns a spanning forest of its links. Lists over ``extend_over`` are first split by two more byte positions where the
 scheme guarantees these. Equal fingerprints are one node from the start. Nothing is collected to the driver but row counts.
 """
 
@@ -151,13 +151,17 @@ def extended(rows: DataFrame, scheme: Scheme) -> DataFrame:
     return rows.select("node", "root", F.explode(F.coalesce(*out)).alias("key"))
 
 
+def differing(one: Column, two: Column, scheme: Scheme) -> Column:
+    """In how many bits two arrays of words differ."""
+    return reduce(Column.__add__, (F.bit_count(F.get(one, F.lit(k)).bitwiseXOR(F.get(two, F.lit(k)))) for k in range(scheme.size // 8)))
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """The pairs (a, b) whose fingerprints differ in few enough bits."""
     if scheme.size == 8:
         return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= scheme.max_bits)
     one, two = (nodes.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}")) for n in ("a", "b"))
-    bits = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    return pairs.join(one, "a").join(two, "b").where(bits <= scheme.max_bits).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(differing(F.col("fp_a"), F.col("fp_b"), scheme) <= scheme.max_bits).select("a", "b")
 
 
 def forest(left: np.ndarray, right: np.ndarray, roots: tuple[np.ndarray, np.ndarray], max_bits: int) -> list[tuple[int, int]]:
@@ -219,9 +223,17 @@ def links(nodes: DataFrame, scheme: Scheme = STRICT, pair_up_to: int = 48, chunk
     forget(lists)
 
     def paired(rows: DataFrame) -> DataFrame:
-        other = lambda a: F.filter("own", lambda b: (a["node"] < b["node"]) & (a["root"] != b["root"]))
+        # Where one shared triple is enough, a list's pairs are verified where they meet, and only links leave it; else they are tallied over all lists.
+        at_once = scheme.least_shared == 1
+        apart = lambda a, b: (a["node"] < b["node"]) & (a["root"] != b["root"])
+        linked = lambda a, b: apart(a, b) & (differing(a["fp"], b["fp"], scheme) <= scheme.max_bits)
+        other = lambda a: F.filter("own", lambda b: (linked if at_once else apart)(a, b))
         pairs = F.flatten(F.transform("own", lambda a: F.transform(other(a), lambda b: F.struct(a["node"].alias("a"), b["node"].alias("b")))))
-        held = rows.groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("own"))  # pair_up_to at most
+        if at_once:
+            rows = rows.join(nodes.select("node", "fp"), "node")
+        held = rows.groupBy("key").agg(F.collect_list(F.struct(*(x for x in rows.columns if x in ("node", "root", "fp")))).alias("own"))  # pair_up_to at most
+        if at_once:
+            return held.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
         tally = held.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
         return verified(tally.where(F.col("shared") >= scheme.least_shared).select("a", "b"), nodes, scheme)
 

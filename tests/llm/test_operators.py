@@ -90,6 +90,33 @@ def test_simhash_links_of_crowded_buckets(spark, sizes):
     assert joined_by(signed, edges) == want
 
 
+def test_pairs_of_crowded_lists_leave_them_only_as_links(spark, monkeypatch):
+    rng = random.Random(8)
+    scheme, prints = simhash.NEAR, []
+    for triple in scheme.triples[:40]:  # 45 strangers share a triple; some have a kin of 40 to 120 other bits
+        same = [rng.getrandbits(8) for _ in triple]
+        for k in range(45):
+            p = bytearray(rng.randbytes(64)) if k % 5 else bytearray(x ^ sum(1 << b for b in range(8) if rng.random() < 0.03 * (k % 4 + 1)) for x in (prints[-1] if prints else bytes(64)))
+            for at, byte in zip(triple, same):
+                p[at] = byte
+            prints.append(bytes(p))
+    fps = np.array([np.frombuffer(p, np.int64) for p in prints])
+    nodes = spark.createDataFrame([(k, f.tolist()) for k, f in enumerate(fps)], "node long, fp array<long>")
+    seen, plain = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *rest: (seen.append(pairs.count()), plain(pairs, *rest))[1])
+    roots, more = simhash.links(nodes, scheme)
+    assert max(seen) <= simhash.COMPARED * len(prints)  # pairs that are joined with fingerprints
+    keys, want = {}, []
+    for k, p in enumerate(prints):
+        for n, t in enumerate(scheme.triples):
+            keys.setdefault((n, *(p[x] for x in t)), []).append(k)
+    for a, b in {(a, b) for own in keys.values() for a in own for b in own if a < b}:
+        if np.bitwise_count((fps[a] ^ fps[b]).view(np.uint64)).sum() <= scheme.max_bits:
+            want.append((a, b))
+    assert len(want) > 50 and more.count() > 0
+    assert joined_by(range(len(prints)), [tuple(r) for r in roots.collect()] + [tuple(r) for r in more.collect()]) == joined_by(range(len(prints)), want)
+
+
 def joined_by(nodes, edges):
     top = {n: n for n in nodes}
 
