@@ -174,10 +174,59 @@ def _events_of(words: np.ndarray, sizes: np.ndarray, own: np.ndarray | None) ->
         at += n
 
 
-def document_events(docs: DataFrame, text: str, key: str, target: str, own: np.ndarray | None, hot: np.ndarray) -> DataFrame:
-    """(event, key, n, in_target): how often each document has its events; frequent ones come once a task, summed, without a key."""
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: what they have in common is then easily compressed."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _numbers(data: bytes, n: int, kind: type | None = None) -> np.ndarray:
+    """What ``_planes`` was given; without a kind, unsigned numbers of as many bytes as there are."""
+    flat = np.frombuffer(data, np.uint8).reshape(-1, n).T
+    return np.ascontiguousarray(flat).view(kind or f"u{flat.shape[1]}").ravel()
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in as few bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def packed(event: np.ndarray, doc: np.ndarray, n: np.ndarray, keys: np.ndarray, flags: np.ndarray, parts: int) -> Iterator[tuple]:
+    """(part, size, event, n, doc, keys, flags): a row for each of ``parts`` ranges of events, which are sent by their differences.
+
+    doc: of each event the place of its document among keys and flags.
+    """
+    order = np.argsort(event.view(np.uint64))
+    event, doc, n = event.view(np.uint64)[order], doc[order], n[order]
+    part = part_of(event, parts)
+    at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
+    for k, to in zip(at, [*at[1:], len(part)]):
+        met, place = np.unique(doc[k:to], return_inverse=True)
+        yield int(part[k]), int(to - k), _planes(np.diff(event[k:to], prepend=np.uint64(0))), _planes(_least(n[k:to])), _planes(_least(place)), _planes(keys[met]), flags[met].tobytes()
+
+
+def part_of(event: np.ndarray, parts: int) -> np.ndarray:
+    """The range, one of ``parts``, that each unsigned event is in."""
+    return ((event >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def unpacked(size: int, event: bytes, n: bytes, doc: bytes, keys: bytes, flags: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(event, n, in_target, key) of a row of ``packed``."""
+    place, n = _numbers(doc, size), _numbers(n, size).astype(np.int64)
+    target = np.frombuffer(flags, bool)
+    return np.cumsum(_numbers(event, size, np.uint64), dtype=np.uint64).view(np.int64), n, np.where(target[place], n, 0), _numbers(keys, len(target), np.int64)[place]
+
+
+PACKED = "part int, size int, event binary, n binary, doc binary, keys binary, flags binary, in_target binary"
+
+
+def document_events(docs: DataFrame, text: str, key: str, target: str, own: np.ndarray | None, hot: np.ndarray, parts: int) -> DataFrame:
+    """How often each document has its events, as ``packed`` says for the texts of a block; frequent ones come once a task, summed (n, in_target), without documents."""
     sent = docs.sparkSession.sparkContext.broadcast((own, hot))
-    names = ["event", "key", "n", "in_target"]
+    names = [x.split()[0] for x in PACKED.split(", ")]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         histories, frequent = sent.value
@@ -188,17 +237,25 @@ def document_events(docs: DataFrame, text: str, key: str, target: str, own: np.n
                 each = [*_events_of(*words_of(texts[at:to]), histories)]
                 events, times = (np.concatenate(x) for x in zip(*each))
                 sizes = [len(x) for x, _ in each]
-                key, flag = np.repeat(keys[at:to], sizes), np.repeat(flags[at:to], sizes)
+                doc = np.repeat(np.arange(at, to), sizes)
                 place = _places(frequent, events)
                 is_hot = place >= 0
                 np.add.at(totals[0], place[is_hot], times[is_hot])
-                np.add.at(totals[1], place[is_hot & flag], times[is_hot & flag])
+                inside = is_hot & flags[doc]
+                np.add.at(totals[1], place[inside], times[inside])
                 cold = ~is_hot
-                yield pa.RecordBatch.from_arrays([pa.array(events[cold]), pa.array(key[cold]), pa.array(times[cold]), pa.array(np.where(flag, times, 0)[cold])], names)
+                found = [(*r, None) for r in packed(events[cold], doc[cold], times[cold], keys, flags, parts)]
+                for k in range(0, len(found), 1 << 10):
+                    yield batch(found[k : k + (1 << 10)])
         found = np.flatnonzero(totals[0])
-        yield pa.RecordBatch.from_arrays([pa.array(frequent[found]), pa.array([None] * len(found), pa.int64()), pa.array(totals[0, found]), pa.array(totals[1, found])], names)
+        found = found[np.argsort(frequent[found].view(np.uint64))]
+        part, out = part_of(frequent[found].view(np.uint64), parts), []
+        for p in np.unique(part).tolist():
+            mine = found[part == p]
+            out.append((p, len(mine), _planes(frequent[mine]), _planes(totals[0, mine]), None, None, None, _planes(totals[1, mine])))
+        yield batch(out)
 
-    return docs.select(text, key, target).mapInArrow(rows, "event bigint, key bigint, n bigint, in_target bigint")
+    return docs.select(text, key, target).mapInArrow(rows, PACKED)
 
 
 def change(events: np.ndarray, others: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -208,17 +265,32 @@ def change(events: np.ndarray, others: np.ndarray, vocabulary: int) -> np.ndarra
 
 
 def _counted(vocabulary: int):
-    """One partition of events: (key, event, x, y); the changes that an event makes to a document (background, target), or a frequent event's counts."""
+    """Events of whole parts, sorted by part: (key, event, x, y); the changes that an event makes to a document (background, target), or a frequent event's counts."""
     names = ["key", "event", "x", "y"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches) if (batches := [*batches]) else None
-        if whole is None or not whole.num_rows:
-            return
-        event, n, t = (whole.column(c).to_numpy() for c in ("event", "n", "in_target"))
-        summed = whole.column("key").is_null().to_numpy()
-        key = whole.column("key").fill_null(0).to_numpy()
-        del whole
+        held: list[dict] = []
+        for b in batches:
+            for row in b.to_pylist():
+                if held and row["part"] != held[0]["part"]:
+                    yield from counted(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from counted(held)
+
+    def counted(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        each = []
+        for r in held:
+            if r["doc"] is None:
+                size = r["size"]
+                event, n, t = (_numbers(r[x], size, np.int64) for x in ("event", "n", "in_target"))
+                each.append((event, n, t, np.zeros(size, np.int64), np.ones(size, bool)))
+            else:
+                each.append((*unpacked(r["size"], r["event"], r["n"], r["doc"], r["keys"], r["flags"]), np.zeros(r["size"], bool)))
+        held.clear()
+        event, n, t, key, summed = (np.concatenate(x) for x in zip(*each))
+        del each
         order = np.argsort(event)
         event, n, t, summed, key = (x[order] for x in (event, n, t, summed, key))
         first = np.flatnonzero(np.concatenate(([True], event[1:] != event[:-1])))
@@ -293,9 +365,9 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
 
     marks = stored(wanted, "targets")
     flagged = picked.join(sendable(marks, sent_targets), id_ == F.col("__id"), "left").select(text, "__key", F.col("__id").isNotNull().alias("__in"))
-    events = document_events(flagged, "__text", "__key", "__in", own, hot)
     parts = max(spark.sparkContext.defaultParallelism, -(-tokens // PER_PARTITION))
-    sums = events.repartition(parts, "event").mapInArrow(_counted(vocabulary), "key bigint, event bigint, x double, y double")
+    events = document_events(flagged, "__text", "__key", "__in", own, hot, parts)
+    sums = events.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_counted(vocabulary), "key bigint, event bigint, x double, y double")
     sums = stored(sums.groupBy("key", "event").agg(F.sum("x").alias("x"), F.sum("y").alias("y")), "changes")
 
     table = sums.where("event is not null").toPandas().sort_values("event")  # at most the frequent events

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import DATA
@@ -815,6 +816,20 @@ def test_language_model_equals_brute_force(spark, how):
         assert a[:2] == b[:2] and np.allclose(a[2:], [*b[2:], b[2] - b[3]], atol=1e-9)
 
 
+def test_events_are_sent_in_few_bytes_and_come_back(spark):
+    rng = np.random.default_rng(4)
+    event, doc, n = rng.integers(-(1 << 63), (1 << 63) - 1, 200_000), rng.integers(0, 300, 200_000), rng.integers(1, 3, 200_000)
+    n[7] = 70_000
+    keys, flags = rng.integers(-(1 << 63), (1 << 63) - 1, 300), rng.random(300) < 0.5
+    rows = [*lm_score.packed(event, doc, n, keys, flags, 20)]
+    back = [lm_score.unpacked(*r[1:]) for r in rows]
+    got = sorted(zip(*(np.concatenate(x).tolist() for x in zip(*back))))
+    assert got == sorted(zip(event.tolist(), n.tolist(), np.where(flags[doc], n, 0).tolist(), keys[doc].tolist()))
+    assert [r[0] for r in rows] == list(range(20))
+    assert sum(len(pa.compress(x, "lz4_raw", asbytes=True)) for r in rows for x in r[2:]) < 10 * len(event)
+    assert [*lm_score.packed(event[:0], doc[:0], n[:0], keys, flags, 20)] == []
+
+
 def test_every_word_is_a_history_however_many_there_are(spark):
     rng = random.Random(6)
     said = [f"w{k}" for k in range(5000)]
