@@ -9,12 +9,12 @@ out of the counts that score it, from the background's always, from the target's
 is the mean over its tokens of target loss minus background loss in bits: the lower, the more it is like the target. Against
 the uniform model, an event counts only where other documents have it.
 
-The counts are taken over every document and grow with the corpus, so no one holds them. A first pass counts the words and
-finds the most frequent pairs. Frequent events (histories, these pairs, frequent words after the joint history) are tallied
-by each task and their totals sent to the tasks that score: three times ``FREQUENT`` at most. All others are
-shuffled once, as (event, document, times), to the task that counts an event and hands back what it changes in the loss of each
-document, to be summed. No text is shuffled unless there are more targets than a broadcast may hold, whose ids then take a join to reach the
-texts.
+The counts are taken over every document and grow with the corpus, so no one holds them. A first pass counts the words. Texts
+are then dealt to chunks of some millions of tokens. A chunk sends each of its events once, with how often its texts have it, to the
+task that counts a range of events, and gets back in the same order how often all texts have it; no document and no event
+travels back. Each text's loss is then summed where the text is, so what is shuffled is the texts once, and the different events of each
+chunk: it follows the corpus, however long the texts are and however many ranges there are. Targets, if a broadcast may not hold them,
+are joined with ids alone and dealt to the chunks beside the texts.
 """
 
 from __future__ import annotations
@@ -23,22 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT_ROWS, bounded_batches, forget, sendable, stored, text_of
+from .common import SENT_ROWS, bounded_batches, forget, stored, text_of
 
 #: What is added to each count.
 ADDED = 0.001
-#: Histories, words after a joint history, and pairs that are tallied apart, at most of each; tokens whose other events make
-#: a partition (on the average).
-FREQUENT, PER_PARTITION = 1 << 16, 1 << 21
-#: Bytes of texts that are cut into words together (a longer text is taken alone), and events that a task tallies together.
+#: Tokens whose events make a partition, and tokens of the texts of a chunk (on the average).
+PER_PARTITION, PER_CHUNK = 1 << 22, 1 << 22
+#: Bytes of texts that are cut into words together (a longer text is taken alone), and words that a task tallies together.
 TOGETHER, TALLIED = 1 << 20, 1 << 22
-#: A frequent word or pair is at least one in so many tokens: bounds the rows that are sorted for the most frequent ones.
-SEEN = 1 << 22
-#: A word pair is a candidate for the frequent ones if it is one in so many of those tallied together.
-RARE = 1 << 18
 
 # Sorts of bytes; 0 white space and control, 1 of words, 2 signs.
 _SORT = np.array([1 if b >= 128 or chr(b).isalnum() or b == 95 else 0 if b <= 32 or b == 127 else 2 for b in range(256)], np.uint8)
@@ -133,27 +129,23 @@ def _as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(pair, number, n): how often each word occurs (pair false), and the pairs that are frequent somewhere, there."""
+    """(number, n): how often each word occurs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def tally() -> Iterator[pa.RecordBatch]:
-            words, pairs = (np.concatenate(x) for x in zip(*held))
-            for is_pair, numbers, least in ((False, words, 1), (True, pairs, max(2, len(pairs) // RARE))):
-                found, n = np.unique(numbers, return_counts=True)
-                found, n = found[n >= least].view(np.int64), n[n >= least]
-                for k in range(0, len(found), 1 << 16):
-                    part = slice(k, k + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n[part]), is_pair)), pa.array(found[part]), pa.array(n[part])], ["pair", "number", "n"])
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            for k in range(0, len(found), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(found[part].view(np.int64)), pa.array(n[part])], ["number", "n"])
 
         for b in batches:
             texts = _as_bytes(b.column(0))
             for at, to in _blocks(texts):
-                words, sizes = words_of(texts[at:to])
-                held.append((words, after(histories_of(words, sizes), words)))
-                size += len(words)
+                held.append(words_of(texts[at:to])[0])
+                size += len(held[-1])
                 if size >= TALLIED:
                     yield from tally()
                     held.clear()
@@ -161,7 +153,7 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
         if held:
             yield from tally()
 
-    return docs.select(text).mapInArrow(rows, "pair boolean, number bigint, n bigint").groupBy("pair", "number").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(rows, "number bigint, n bigint").groupBy("number").agg(F.sum("n").alias("n"))
 
 
 def _events_of(words: np.ndarray, sizes: np.ndarray, own: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -216,46 +208,98 @@ def unpacked(size: int, event: bytes, n: bytes, doc: bytes, keys: bytes, flags:
     return np.cumsum(_numbers(event, size, np.uint64), dtype=np.uint64).view(np.int64), n, np.where(target[place], n, 0), _numbers(keys, len(target), np.int64)[place]
 
 
-PACKED = "part int, size int, event binary, n binary, doc binary, keys binary, flags binary, in_target binary"
-
-
-def document_events(docs: DataFrame, text: str, key: str, target: str, own: np.ndarray | None, hot: np.ndarray, parts: int) -> DataFrame:
-    """How often each document has its events, as ``packed`` says for the texts of a block; frequent ones come once a task, summed (n, in_target), without documents."""
-    sent = docs.sparkSession.sparkContext.broadcast((own, hot))
-    names = [x.split()[0] for x in PACKED.split(", ")]
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
-
-    def batch(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        histories, frequent = sent.value
-        totals = np.zeros((2, len(frequent)), np.int64)
-        for b in batches:
-            texts, keys, flags = _as_bytes(b.column(0)), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for at, to in _blocks(texts):
-                each = [*_events_of(*words_of(texts[at:to]), histories)]
-                events, times = (np.concatenate(x) for x in zip(*each))
-                sizes = [len(x) for x, _ in each]
-                doc = np.repeat(np.arange(at, to), sizes)
-                place = _places(frequent, events)
-                is_hot = place >= 0
-                np.add.at(totals[0], place[is_hot], times[is_hot])
-                inside = is_hot & flags[doc]
-                np.add.at(totals[1], place[inside], times[inside])
-                cold = ~is_hot
-                found = [(*r, None) for r in packed(events[cold], doc[cold], times[cold], keys, flags, parts)]
-                for k in range(0, len(found), 1 << 10):
-                    yield batch(found[k : k + (1 << 10)])
-        found = np.flatnonzero(totals[0])
-        found = found[np.argsort(frequent[found].view(np.uint64))]
-        part, out = part_of(frequent[found].view(np.uint64), parts), []
-        for p in np.unique(part).tolist():
-            mine = found[part == p]
-            out.append((p, len(mine), _planes(frequent[mine]), _planes(totals[0, mine]), None, None, None, _planes(totals[1, mine])))
-        yield batch(out)
-
-    return docs.select(text, key, target).mapInArrow(rows, PACKED)
+def _pressed(data: bytes) -> bytes:
+    """Fewer bytes than the shuffle's own compression makes of these, which knows repetitions only."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpressed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _summed(events: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different events, and the sums of their numbers."""
+    event, n = np.concatenate(events), np.concatenate(n)
+    order = np.argsort(event)
+    event, n = event[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], event[1:] != event[:-1])))
+    return event[first], np.add.reduceat(n, first)
+
+
+def _chunk(table: pa.Table) -> pa.Table:
+    """The texts of a chunk. A row without a text says that those of its id are target texts."""
+    no_text = pc.is_null(table["text"])
+    marked, table = table.filter(no_text)["id"], table.filter(pc.invert(no_text))
+    if not len(marked):
+        return table
+    return table.set_column(table.schema.get_field_index("inside"), "inside", pc.is_in(table["id"], value_set=marked.combine_chunks()))
+
+
+def _texts(table: pa.Table) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Blocks of a chunk's texts, and which of these are target texts."""
+    for b in table.select(["text", "inside"]).to_batches():
+        texts, inside = _as_bytes(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for at, to in _blocks(texts):
+            yield texts[at:to], inside[at:to]
+
+
+def chunk_events(dealt: DataFrame, own: np.ndarray | None, parts: int) -> DataFrame:
+    """The different events of each chunk as ``packed`` has them; for documents there are two of one key, the chunk: its other texts and its target texts."""
+    sent = dealt.sparkSession.sparkContext.broadcast(own)
+    names, kinds = ["part", "size", "event", "n", "doc", "keys", "flags"], [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+
+    def rows(table: pa.Table) -> pa.Table:
+        held: tuple[list, list] = ([], [])
+        for texts, inside in _texts(_chunk(table)):
+            words, sizes = words_of(texts)
+            histories, of_target = histories_of(words, sizes, sent.value), np.repeat(inside, sizes)
+            both = np.stack((after(histories, words), alone(histories)))
+            for k in (0, 1):
+                held[k].append(np.unique(both[:, of_target == k].ravel(), return_counts=True))
+        each = [_summed(*zip(*h)) if sum(len(x) for x, _ in h) else (np.zeros(0, np.int64),) * 2 for h in held]
+        held[0].clear(), held[1].clear()
+        event, n = (np.concatenate(x) for x in zip(*each))
+        doc = np.repeat(np.arange(2), [len(x) for x, _ in each])
+        found = [(*r[:2], *map(_pressed, r[2:])) for r in packed(event, doc, n, np.full(2, table["chunk"][0].as_py()), np.array([False, True]), parts)]
+        return pa.table([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names)
+
+    return dealt.groupBy("chunk").applyInArrow(rows, "part int, size int, event binary, n binary, doc binary, keys binary, flags binary")
+
+
+TOTALS = ["chunk", "part", "size", "n", "in_target"]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For whole ranges, sorted: to each chunk, of its different events of a range in their order, how often all texts and the target texts have them."""
+    held: list[dict] = []
+    for b in batches:
+        for row in b.to_pylist():
+            if held and row["part"] != held[0]["part"]:
+                yield from _counts(held)
+                held = []
+            held.append(row)
+    if held:
+        yield from _counts(held)
+
+
+def _counts(held: list[dict]) -> Iterator[pa.RecordBatch]:
+    part, ends = held[0]["part"], np.cumsum([r["size"] for r in held])
+    event, n, t, chunk = (np.concatenate(x) for x in zip(*(unpacked(r["size"], *(_unpressed(r[x]) for x in ("event", "n", "doc", "keys", "flags"))) for r in held)))
+    held.clear()
+    new = np.concatenate(([True], event[1:] != event[:-1]))  # the first of the two that a chunk may have of an event
+    new[ends[:-1]] = True
+    order = np.argsort(event)
+    first = np.concatenate(([True], event[order[1:]] != event[order[:-1]]))
+    group = np.empty(len(event), np.int64)
+    group[order] = np.cumsum(first) - 1
+    at = np.flatnonzero(first)
+    sums, found = [np.add.reduceat(x[order], at) for x in (n, t)], []
+    for begin, end in zip([0, *ends[:-1]], ends):
+        mine = group[begin:end][new[begin:end]]
+        found.append((int(chunk[begin]), part, len(mine), *(_pressed(_planes(_least(x[mine]))) for x in sums)))
+    for k in range(0, len(found), 1 << 10):
+        columns = zip(*found[k : k + (1 << 10)])
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], TOTALS)
 
 
 def change(events: np.ndarray, others: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -264,122 +308,77 @@ def change(events: np.ndarray, others: np.ndarray, vocabulary: int) -> np.ndarra
     return np.where(single, 1.0, -1.0) * np.log2(1 + others / (ADDED * np.where(single, max(1, vocabulary), 1)))
 
 
-def _counted(vocabulary: int):
-    """Events of whole parts, sorted by part: (key, event, x, y); the changes that an event makes to a document (background, target), or a frequent event's counts."""
-    names = ["key", "event", "x", "y"]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for b in batches:
-            for row in b.to_pylist():
-                if held and row["part"] != held[0]["part"]:
-                    yield from counted(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from counted(held)
-
-    def counted(held: list[dict]) -> Iterator[pa.RecordBatch]:
-        each = []
-        for r in held:
-            if r["doc"] is None:
-                size = r["size"]
-                event, n, t = (_numbers(r[x], size, np.int64) for x in ("event", "n", "in_target"))
-                each.append((event, n, t, np.zeros(size, np.int64), np.ones(size, bool)))
-            else:
-                each.append((*unpacked(r["size"], r["event"], r["n"], r["doc"], r["keys"], r["flags"]), np.zeros(r["size"], bool)))
-        held.clear()
-        event, n, t, key, summed = (np.concatenate(x) for x in zip(*each))
-        del each
-        order = np.argsort(event)
-        event, n, t, summed, key = (x[order] for x in (event, n, t, summed, key))
-        first = np.flatnonzero(np.concatenate(([True], event[1:] != event[:-1])))
-        all_n, all_t = np.add.reduceat(n, first), np.add.reduceat(t, first)
-        done = summed[first]
-        yield pa.RecordBatch.from_arrays([pa.array([None] * int(done.sum()), pa.int64()), pa.array(event[first][done]), pa.array(all_n[done].astype(float)), pa.array(all_t[done].astype(float))], names)
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(event))))
-        some = np.flatnonzero(~summed & (all_n[group] > n))  # others have it too
-        event, group, n, t, key = event[some], group[some], n[some], t[some], key[some]
-        x, y = (n * change(event, others, vocabulary) for others in (all_n[group] - n, all_t[group] - t))
-        for k in range(0, len(key), 1 << 16):
-            part = slice(k, k + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array([None] * len(key[part]), pa.int64()), pa.array(x[part]), pa.array(y[part])], names)
-
-    return rows
-
-
-def hot_changes(docs: DataFrame, id_col: str, text: str, key: str, own: np.ndarray | None, table: tuple[np.ndarray, np.ndarray, np.ndarray], vocabulary: int) -> DataFrame:
-    """(id, key, n_tokens, background, outside, inside): changes that frequent events make; for the target's model, of a text outside and of one inside it."""
-    sent = docs.sparkSession.sparkContext.broadcast((own, *table))
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "key", "n_tokens", "background", "outside", "inside"]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        histories, hot, in_all, in_target = sent.value
-        for b in batches:
-            texts = _as_bytes(b.column(1))
-            sums, counts = np.zeros((3, len(texts))), np.zeros(len(texts), np.int64)
-            for at, to in _blocks(texts):
-                words, sizes = words_of(texts[at:to])
-                counts[at:to] = sizes
-                each = [*_events_of(words, sizes, histories)]
-                events, n = (np.concatenate(x) for x in zip(*each))
-                row = np.repeat(np.arange(at, to), [len(x) for x, _ in each])
-                place = _places(hot, events)
-                some = place >= 0
-                place, row, n, events = place[some], row[some], n[some], events[some]
-                for k, others in enumerate((in_all[place] - n, in_target[place], np.maximum(in_target[place] - n, 0))):
-                    sums[k] += np.bincount(row, n * change(events, others, vocabulary), len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts), *map(pa.array, sums)], names)
-
-    return docs.select(f"`{id_col}`", text, key).mapInArrow(rows, f"`{id_col}` {kind}, key bigint, n_tokens bigint, background double, outside double, inside double")
-
-
-def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_targets: int = SENT_ROWS, histories: int | None = None, frequent: int = FREQUENT) -> DataFrame:
+def losses(dealt: DataFrame, totals: DataFrame, id_col: str, own: np.ndarray | None, vocabulary: int) -> DataFrame:
+    """(id, n_tokens, target_loss, background_loss) of the texts of each chunk, from the totals of its events."""
+    sent = dealt.sparkSession.sparkContext.broadcast(own)
+    kind = dealt.schema["id"].dataType.simpleString()
+    uniform = float(np.log2(max(1, vocabulary)))
+
+    def rows(table: pa.Table, counted: pa.Table) -> pa.Table:
+        events, times, sizes, tokens, inside = [], [], [], [], []
+        table = _chunk(table)
+        for texts, flags in _texts(table):
+            words, of_text = words_of(texts)
+            each = [*_events_of(words, of_text, sent.value)]
+            events.append(np.concatenate([x for x, _ in each]))
+            times.append(np.concatenate([_least(n) for _, n in each]))
+            sizes.append(np.array([len(x) for x, _ in each], np.int64))
+            tokens.append(of_text)
+            inside.append(flags)
+        n_tokens = np.concatenate(tokens)
+        known, place = np.unique(np.concatenate(events).view(np.uint64), return_inverse=True)
+        found = sorted(counted.to_pylist(), key=lambda r: r["part"])
+        in_all, in_target = (np.concatenate([np.zeros(0, np.int64), *(_numbers(_unpressed(r[x]), r["size"]).astype(np.int64) for r in found)]) for x in ("n", "in_target"))
+        if len(in_all) != len(known):
+            raise ValueError(f"a chunk had {len(in_all)} events when they were counted and has {len(known)} now: its texts have changed meanwhile")
+        del known, found, counted
+        sums, at = [], 0
+        for event, n, size, flags in zip(events, times, sizes, inside):
+            mine, n = place[at : at + len(event)], n.astype(np.int64)
+            at += len(event)
+            row = np.repeat(np.arange(len(size)), size)
+            others = in_target[mine] - np.where(flags[row], n, 0), in_all[mine] - n
+            sums.append([np.bincount(row, n * change(event, x, vocabulary), len(size)) for x in others])
+        target, background = (np.where(n_tokens > 0, uniform + np.concatenate(x) / np.maximum(n_tokens, 1), 0.0) for x in zip(*sums))
+        return pa.table([table["id"], pa.array(n_tokens), pa.array(target), pa.array(background)], [id_col, "n_tokens", "target_loss", "background_loss"])
+
+    return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(rows, f"`{id_col}` {kind}, n_tokens bigint, target_loss double, background_loss double")
+
+
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_targets: int = SENT_ROWS, histories: int | None = None, frequent: int | None = None) -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score): one row per row of docs, mean bits a token.
 
     ``targets`` names the ids of the target texts in a column of the same name (null or repeated ids add nothing). Null and
     empty texts have no tokens and zeros. Ids may be null or repeated; every row is a text of its own, also one that repeats
     another. Without target texts the target model is uniform. Other columns are ignored. ``histories``: how many words are
-    histories of their own, the others being one together; None: all.
+    histories of their own, the others being one together; None: all. ``frequent`` is for older callers: frequent events are
+    counted like all others.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    id_, text = F.col(f"`{id_col}`"), F.col("__text")
-    picked = docs.select(id_, text_of(text_col).alias("__text")).withColumn("__key", F.xxhash64(id_, text))
-    wanted = targets.select(id_.alias("__id")).where("__id is not null").distinct()
-
-    counts = stored(word_counts(picked, "__text"), "words")
-    of_words = counts.where("not pair").agg(F.count("*"), F.sum("n")).first()
-    vocabulary, tokens = of_words[0], of_words[1] or 0
-
-    def most(pair: bool, n: int) -> np.ndarray:
-        """The numbers of the most frequent words or pairs, most frequent first, at most n; none that is rarer than one in ``SEEN`` tokens."""
-        return counts.where((F.col("pair") == pair) & (F.col("n") >= tokens // SEEN)).orderBy(F.desc("n"), "number").limit(n).select("number").toPandas()["number"].to_numpy(np.int64)
-
-    words = most(False, max(histories or 0, frequent)).view(np.uint64)
-    own, known = None if histories is None else np.sort(words[:histories]), words[:frequent]
-    every = np.concatenate((known if own is None else own, np.array([_START, _RARE])))
-    joint = known[:0] if own is None else after(np.full(len(known), _RARE), known)
-    hot = np.unique(np.concatenate((alone(every), joint.view(np.int64), most(True, frequent))))
-
-    marks = stored(wanted, "targets")
-    flagged = picked.join(sendable(marks, sent_targets), id_ == F.col("__id"), "left").select(text, "__key", F.col("__id").isNotNull().alias("__in"))
-    parts = max(spark.sparkContext.defaultParallelism, -(-tokens // PER_PARTITION))
-    events = document_events(flagged, "__text", "__key", "__in", own, hot, parts)
-    sums = events.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_counted(vocabulary), "key bigint, event bigint, x double, y double")
-    sums = stored(sums.groupBy("key", "event").agg(F.sum("x").alias("x"), F.sum("y").alias("y")), "changes")
-
-    table = sums.where("event is not null").toPandas().sort_values("event")  # at most the frequent events
-    arrays = tuple(table[c].to_numpy(kind) for c, kind in (("event", np.int64), ("x", float), ("y", float)))
-    rows = stored(hot_changes(picked, id_col, "__text", "__key", own, arrays, vocabulary), "scores")
+    id_, text = F.col(f"`{id_col}`"), text_of(text_col)
+
+    counts = stored(word_counts(docs.select(text.alias("text")), "text"), "words")
+    vocabulary, tokens = counts.agg(F.count("*"), F.sum("n")).first()
+    tokens = tokens or 0
+    own = None
+    if histories is not None:
+        own = np.sort(counts.orderBy(F.desc("n"), "number").limit(histories).select("number").toPandas()["number"].to_numpy(np.int64).view(np.uint64))
     forget(counts)
-    # Rows of one key have the same events each: a key's sum is shared by them.
-    copies = rows.groupBy("key").count()
-    cold = sums.where("event is null").join(copies, "key").select("key", (F.col("x") / F.col("count")).alias("__x"), (F.col("y") / F.col("count")).alias("__y"))
-    out = rows.join(cold, "key", "left").join(marks, id_ == F.col("__id"), "left")
-    uniform = F.lit(float(np.log2(max(1, vocabulary))))
-    mean = lambda x: F.when(F.col("n_tokens") > 0, uniform + x / F.col("n_tokens")).otherwise(F.lit(0.0))
-    target = F.when(F.col("__id").isNotNull(), F.col("inside")).otherwise(F.col("outside"))
-    out = out.select(id_, "n_tokens", mean(target + F.coalesce("__y", F.lit(0.0))).alias("target_loss"), mean(F.col("background") + F.coalesce("__x", F.lit(0.0))).alias("background_loss"))
+
+    at_least = spark.sparkContext.defaultParallelism
+    parts, chunks = (max(at_least, -(-tokens // n)) for n in (PER_PARTITION, PER_CHUNK))
+    marks = stored(targets.select(id_.alias("marked")).where("marked is not null").distinct(), "targets")
+    picked = docs.select(F.pmod(F.xxhash64(id_, text), F.lit(chunks)).alias("chunk"), id_.alias("id"), text.alias("text"))
+    if marks.limit(sent_targets + 1).count() <= sent_targets:
+        flagged = picked.join(F.broadcast(marks), F.col("id") == F.col("marked"), "left").select("chunk", "id", "text", F.col("marked").isNotNull().alias("inside"))
+    else:
+        told = picked.select("chunk", "id").join(marks.hint("merge"), F.col("id") == F.col("marked")).select("chunk", "id").distinct()
+        flagged = picked.withColumn("inside", F.lit(False)).union(told.select("chunk", "id", F.lit(None).cast("string"), F.lit(True)))
+    # Both uses of the dealt texts read one shuffle; chunks are dealt by their hashes, so there are more partitions than chunks.
+    dealt = flagged.repartition(2 * chunks, "chunk")
+    events = chunk_events(dealt, own, parts).repartitionById(parts, F.col("part")).sortWithinPartitions("part")
+    totals = events.mapInArrow(_counted, "chunk bigint, part int, size int, n binary, in_target binary").repartition(2 * chunks, "chunk")
+    out = stored(losses(dealt, totals, id_col, own, vocabulary), "scores")
+    forget(marks)
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

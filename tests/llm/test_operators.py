@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -830,6 +831,25 @@ def test_events_are_sent_in_few_bytes_and_come_back(spark):
     assert [*lm_score.packed(event[:0], doc[:0], n[:0], keys, flags, 20)] == []
 
 
+def shuffled(spark):
+    """Bytes that all tasks so far have written for shuffles."""
+    time.sleep(0.3)
+    spark.range(1).count()  # the store takes the sums of tasks that end this long after the ones before
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_what_is_shuffled_follows_the_corpus_not_the_partitions(spark, monkeypatch):
+    docs = texts(spark, "sf0.01").select("doc_id", "text")
+    seen = []
+    for per in (1 << 30, 1 << 12):
+        monkeypatch.setattr(lm_score, "PER_PARTITION", per)
+        before = shuffled(spark)
+        assert lm_score.score(docs, docs.where("doc_id % 3 = 0").select("doc_id"), frequent=0).count() == 1000
+        seen.append(shuffled(spark) - before)
+    assert 1 << 20 < seen[1] < 1.3 * seen[0]
+
+
 def test_every_word_is_a_history_however_many_there_are(spark):
     rng = random.Random(6)
     said = [f"w{k}" for k in range(5000)]
