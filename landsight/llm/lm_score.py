@@ -220,6 +220,8 @@ def _unpressed(data: bytes) -> bytes:
 def _summed(events: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The different events, and the sums of their numbers."""
     event, n = np.concatenate(events), np.concatenate(n)
+    if not len(event):
+        return event, n
     order = np.argsort(event)
     event, n = event[order], n[order]
     first = np.flatnonzero(np.concatenate(([True], event[1:] != event[:-1])))
@@ -235,12 +237,12 @@ def _chunk(table: pa.Table) -> pa.Table:
     return table.set_column(table.schema.get_field_index("inside"), "inside", pc.is_in(table["id"], value_set=marked.combine_chunks()))
 
 
-def _texts(table: pa.Table) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Blocks of a chunk's texts, and which of these are target texts."""
-    for b in table.select(["text", "inside"]).to_batches():
-        texts, inside = _as_bytes(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+def _texts(table: pa.Table) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Blocks of a chunk's texts, which of these are target texts, and how many rows each stands for."""
+    for b in table.select(["text", "inside", "copies"]).to_batches():
+        texts, inside, copies = _as_bytes(b.column(0)), *(b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
         for at, to in _blocks(texts):
-            yield texts[at:to], inside[at:to]
+            yield texts[at:to], inside[at:to].astype(bool), copies[at:to]
 
 
 def chunk_events(dealt: DataFrame, own: np.ndarray | None, parts: int) -> DataFrame:
@@ -250,13 +252,14 @@ def chunk_events(dealt: DataFrame, own: np.ndarray | None, parts: int) -> DataFr
 
     def rows(table: pa.Table) -> pa.Table:
         held: tuple[list, list] = ([], [])
-        for texts, inside in _texts(_chunk(table)):
+        for texts, inside, copies in _texts(_chunk(table)):
             words, sizes = words_of(texts)
             histories, of_target = histories_of(words, sizes, sent.value), np.repeat(inside, sizes)
-            both = np.stack((after(histories, words), alone(histories)))
+            both, times = np.stack((after(histories, words), alone(histories))), np.repeat(copies, sizes)
             for k in (0, 1):
-                held[k].append(np.unique(both[:, of_target == k].ravel(), return_counts=True))
-        each = [_summed(*zip(*h)) if sum(len(x) for x, _ in h) else (np.zeros(0, np.int64),) * 2 for h in held]
+                event, n = both[:, of_target == k], times[of_target == k]
+                held[k].append(np.unique(event.ravel(), return_counts=True) if (n == 1).all() else _summed([*event], [n, n]))
+        each = [_summed(*zip(*h)) for h in held]
         held[0].clear(), held[1].clear()
         event, n = (np.concatenate(x) for x in zip(*each))
         doc = np.repeat(np.arange(2), [len(x) for x, _ in each])
@@ -299,7 +302,7 @@ def _counts(held: list[dict]) -> Iterator[pa.RecordBatch]:
         found.append((int(chunk[begin]), part, len(mine), *(_pressed(_planes(_least(x[mine]))) for x in sums)))
     for k in range(0, len(found), 1 << 10):
         columns = zip(*found[k : k + (1 << 10)])
-        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], TOTALS)
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], TOTALS)
 
 
 def change(events: np.ndarray, others: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -308,8 +311,8 @@ def change(events: np.ndarray, others: np.ndarray, vocabulary: int) -> np.ndarra
     return np.where(single, 1.0, -1.0) * np.log2(1 + others / (ADDED * np.where(single, max(1, vocabulary), 1)))
 
 
-def losses(dealt: DataFrame, totals: DataFrame, id_col: str, own: np.ndarray | None, vocabulary: int) -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss) of the texts of each chunk, from the totals of its events."""
+def losses(dealt: DataFrame, totals: DataFrame, own: np.ndarray | None, vocabulary: int) -> DataFrame:
+    """(id, copies, n_tokens, target_loss, background_loss) of the texts of each chunk, from the totals of its events."""
     sent = dealt.sparkSession.sparkContext.broadcast(own)
     kind = dealt.schema["id"].dataType.simpleString()
     uniform = float(np.log2(max(1, vocabulary)))
@@ -317,7 +320,7 @@ def losses(dealt: DataFrame, totals: DataFrame, id_col: str, own: np.ndarray | N
     def rows(table: pa.Table, counted: pa.Table) -> pa.Table:
         events, times, sizes, tokens, inside = [], [], [], [], []
         table = _chunk(table)
-        for texts, flags in _texts(table):
+        for texts, flags, _ in _texts(table):
             words, of_text = words_of(texts)
             each = [*_events_of(words, of_text, sent.value)]
             events.append(np.concatenate([x for x, _ in each]))
@@ -340,9 +343,9 @@ def losses(dealt: DataFrame, totals: DataFrame, id_col: str, own: np.ndarray | N
             others = in_target[mine] - np.where(flags[row], n, 0), in_all[mine] - n
             sums.append([np.bincount(row, n * change(event, x, vocabulary), len(size)) for x in others])
         target, background = (np.where(n_tokens > 0, uniform + np.concatenate(x) / np.maximum(n_tokens, 1), 0.0) for x in zip(*sums))
-        return pa.table([table["id"], pa.array(n_tokens), pa.array(target), pa.array(background)], [id_col, "n_tokens", "target_loss", "background_loss"])
+        return pa.table([table["id"], table["copies"], pa.array(n_tokens), pa.array(target), pa.array(background)], ["id", "copies", "n_tokens", "target_loss", "background_loss"])
 
-    return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(rows, f"`{id_col}` {kind}, n_tokens bigint, target_loss double, background_loss double")
+    return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(rows, f"id {kind}, copies bigint, n_tokens bigint, target_loss double, background_loss double")
 
 
 def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_targets: int = SENT_ROWS, histories: int | None = None, frequent: int | None = None) -> DataFrame:
@@ -369,16 +372,17 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     at_least = spark.sparkContext.defaultParallelism
     parts, chunks = (max(at_least, -(-tokens // n)) for n in (PER_PARTITION, PER_CHUNK))
     marks = stored(targets.select(id_.alias("marked")).where("marked is not null").distinct(), "targets")
-    picked = docs.select(F.pmod(F.xxhash64(id_, text), F.lit(chunks)).alias("chunk"), id_.alias("id"), text.alias("text"))
+    picked = docs.select(F.pmod(F.xxhash64(id_, text), F.lit(chunks)).cast("int").alias("chunk"), id_.alias("id"), text.alias("text"))
     if marks.limit(sent_targets + 1).count() <= sent_targets:
         flagged = picked.join(F.broadcast(marks), F.col("id") == F.col("marked"), "left").select("chunk", "id", "text", F.col("marked").isNotNull().alias("inside"))
     else:
         told = picked.select("chunk", "id").join(marks.hint("merge"), F.col("id") == F.col("marked")).select("chunk", "id").distinct()
         flagged = picked.withColumn("inside", F.lit(False)).union(told.select("chunk", "id", F.lit(None).cast("string"), F.lit(True)))
-    # Both uses of the dealt texts read one shuffle; chunks are dealt by their hashes, so there are more partitions than chunks.
-    dealt = flagged.repartition(2 * chunks, "chunk")
+    # Both uses of the dealt texts read one shuffle. Rows of one id and one text come to one chunk, as a row and a number.
+    dealt = flagged.repartitionById(chunks, F.col("chunk")).groupBy("chunk", "id", "text").agg(F.max("inside").alias("inside"), F.count("*").alias("copies"))
     events = chunk_events(dealt, own, parts).repartitionById(parts, F.col("part")).sortWithinPartitions("part")
-    totals = events.mapInArrow(_counted, "chunk bigint, part int, size int, n binary, in_target binary").repartition(2 * chunks, "chunk")
-    out = stored(losses(dealt, totals, id_col, own, vocabulary), "scores")
+    totals = events.mapInArrow(_counted, "chunk int, part int, size int, n binary, in_target binary").repartitionById(chunks, F.col("chunk"))
+    out = losses(dealt, totals, own, vocabulary).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    out = stored(out.select(F.col("id").alias(id_col), "n_tokens", "target_loss", "background_loss"), "scores")
     forget(marks)
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

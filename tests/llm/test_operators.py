@@ -859,6 +859,18 @@ def test_every_word_is_a_history_however_many_there_are(spark):
         assert a[:2] == b[:2] and np.allclose(a[2:4], b[2:], atol=1e-9)
 
 
+@pytest.mark.parametrize("sent_targets", [0, 9])
+def test_rows_that_repeat_id_and_text_are_texts_of_their_own(spark, sent_targets):
+    rows = [(1, "a b c a"), (2, "b c d"), (3, "a b"), (None, "b c"), (3, "c d e f"), (4, "")]
+    rows = [x for x, n in zip(rows, (700, 1, 30, 500, 1, 90)) for _ in range(n)]
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(3,), (4,)], "doc_id long")
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = sorted(map(tuple, lm_score.score(df, marks, sent_targets=sent_targets).collect()), key=order)
+    assert len(got) == len(rows)
+    for a, b in zip(got, sorted(plain_losses(rows, {3, 4}, 1 << 16), key=order)):
+        assert a[:2] == b[:2] and np.allclose(a[2:4], b[2:], atol=1e-9)
+
+
 def test_language_model_tells_texts_with_a_copy_apart(spark):
     docs = texts(spark, "sf0.01")
     got = lm_score.score(docs, docs.where("doc_id % 3 = 0").select("doc_id")).toPandas().set_index("doc_id")["background_loss"]
