@@ -150,7 +150,7 @@ def s18_s19_mosaic_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT fire, site, round(dist, 3) + 0.0 AS dist FROM (SELECT fire, site, sqrt(pow((c.lat - p.lat) * {KY}, 2) + pow((c.lon - p.lon) * (111320 * cos(radians(p.lat))), 2)) AS dist FROM {PLACES} p, {CAMERAS} c) WHERE dist <= 30000")
 def j8_within_30km(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = joins.within(places(spark, sf_dir), cameras(spark, sf_dir), 30_000.0, digits=3)
+    w = joins.within(places(spark, sf_dir).select("fire", "lat", "lon"), cameras(spark, sf_dir).select("site", "lat", "lon"), 30_000.0, digits=3)
     return w.select(F.col("l_fire").alias("fire"), F.col("r_site").alias("site"), "dist")
 
 

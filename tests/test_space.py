@@ -1,6 +1,7 @@
 """Camera model, terrain, lines of sight, siting, components, calibration."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -118,6 +119,21 @@ def test_rows_of_one_place_take_one_distance(spark, monkeypatch):
     assert 0 < taken.value < 10
 
 
+def test_pairs_of_one_place_are_dealt_to_all_tasks_and_none_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PACK", 20, raising=False)
+    rng = np.random.default_rng(6)
+    at = [(36.0, -120.0)] * 300 + [(float(x), float(y)) for x, y in zip(36 + rng.integers(0, 9, 90) / 10, -120 + rng.integers(0, 9, 90) / 10)] + [(None, -120.0)] * 5
+    rows = [(k, *x) for k, x in enumerate(at)] + [(0, 36.0, -120.0)] * 3  # a row may occur again
+    side = spark.createDataFrame(rows, "id long, lat double, lon double")
+    got = joins.within(side, side, 15_000.0, digits=3).withColumn("task", F.spark_partition_id()).collect()
+    near = lambda a, b: math.hypot((b[1] - a[1]) * 110540, (b[2] - a[2]) * 111320 * math.cos(math.radians(a[1])))
+    held = [r for r in rows if r[1] is not None]
+    want = [(*a, *b, round(near(a, b), 3)) for a in held for b in held if near(a, b) <= 15_000]
+    assert sorted(r[:7] for r in map(tuple, got)) == sorted(want)
+    most = max(Counter(r["task"] for r in got).values())
+    assert most < len(got) / 2
+
+
 def test_ratio_matches_meet_in_blocks_and_equal_a_plain_loop(spark, monkeypatch):
     for name, n in (("SIDE_A", 7), ("SIDE_B", 5)):
         monkeypatch.setattr(joins, name, n, raising=False)
